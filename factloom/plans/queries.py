@@ -1,0 +1,26 @@
+"""Registered queries of the core and their SQL counterparts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from factloom.operators import history
+from factloom.session import table
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_found(spark, sf_dir)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.fact_versions(table(spark, sf_dir, "fact_snapshots")).select("id", "from_ts", "to_ts")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p3_found": p3_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
