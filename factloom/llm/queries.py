@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import batch_dedup, components, near_dup, term_scores
+from factloom.llm import batch_dedup, components, leakage, near_dup, reading, term_scores
 from factloom.session import table
 
 
@@ -34,8 +34,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.supersession_groups(table(spark, sf_dir, "facts"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.hard_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")
+    return reading.reading_levels(documents, reading.fit(documents.filter(reading.is_english(documents["lang"])), labels))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_classes, p5_found, p5_residual_top, p6_found, p7_found]
+    found = [p1_found, p1_classes, p5_found, p5_residual_top, p6_found, p7_found, p8_found, p8_spans, p10_found, p10_levels]
     return {q.__name__: q for q in found}
 
 
@@ -71,4 +88,9 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
             reach(id, other) AS (SELECT u, v FROM b UNION SELECT reach.id, b.v FROM reach JOIN b ON reach.other = b.u)
             SELECT id, min(least(id, other)) AS group_id FROM reach GROUP BY id""",
+        "p8_found": """WITH i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items),
+            g AS (SELECT DISTINCT item_id, array_to_string(w[k + 1 : k + 12], ' ') AS phrase FROM i, unnest(range(len(w) - 11)) AS t(k)),
+            d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+            h AS (SELECT doc_id, array_to_string(w[k + 1 : k + 12], ' ') AS phrase FROM d, unnest(range(len(w) - 11)) AS t(k))
+            SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (phrase)""",
     }
