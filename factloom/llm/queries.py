@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import batch_dedup, components, leakage, near_dup, reading, term_scores
+from factloom.llm import batch_dedup, components, leakage, near_dup, neighbours, pii, reading, term_scores
 from factloom.session import table
 
 
@@ -18,6 +18,24 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(table(spark, sf_dir, "facts"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_items(*[table(spark, sf_dir, t) for t in ("facts", "session_lines", "name_roster")])
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pii.stored_texts(table(spark, sf_dir, "facts"), table(spark, sf_dir, "session_lines"))
+    return pii.redact(texts, pii.roster(table(spark, sf_dir, "name_roster"))).select("tbl", "rec_key", "redacted")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_fact_pairs(table(spark, sf_dir, "fact_vectors"))
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbours.fact_neighbours(table(spark, sf_dir, "fact_vectors"))
+    return near.select("id", "rank", "near_id", near["score"].cast("decimal(6,4)").alias("score"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_scores.top_terms(term_scores.term_scores(table(spark, sf_dir, "facts")))
 
@@ -52,7 +70,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_classes, p5_found, p5_residual_top, p6_found, p7_found, p8_found, p8_spans, p10_found, p10_levels]
+    found = [p1_found, p1_classes, p2_found, p2_redacted, p4_found, p4_nearest, p5_found, p5_residual_top, p6_found, p7_found, p8_found, p8_spans, p10_found, p10_levels]
     return {q.__name__: q for q in found}
 
 
