@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import batch_dedup, components, leakage, near_dup, neighbours, pii, reading, term_scores
+from factloom.llm import batch_dedup, components, leakage, mixing, near_dup, neighbours, pii, reading, term_scores
 from factloom.session import table
 
 
@@ -60,6 +60,18 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report()
+
+
+def p9_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).copies()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.hard_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
@@ -70,7 +82,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_classes, p2_found, p2_redacted, p4_found, p4_nearest, p5_found, p5_residual_top, p6_found, p7_found, p8_found, p8_spans, p10_found, p10_levels]
+    found = [p1_found, p1_classes, p2_found, p2_redacted, p4_found, p4_nearest, p5_found, p5_residual_top, p6_found, p7_found, p8_found, p8_spans, p9_found, p9_report, p9_copies, p10_found, p10_levels]
     return {q.__name__: q for q in found}
 
 

@@ -132,8 +132,14 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     mass = rows[[f"s{k}" for k in sorted(per_level)]].fillna(0.0).to_numpy()
     grade = mass @ np.array(sorted(per_level)) / mass.sum(axis=1)
     model = LevelModel(dict(zip(rows["w"], grade)), np.zeros(1), np.ones(1), np.zeros(1))
-    known = words.orderBy("doc_id").select("level", "words").toPandas()
-    model.calibrate(np.array([model.describe(w) for w in known["words"]]), known["level"].to_numpy())
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "level": b["level"], "features": [shared.value.describe(w) for w in b["words"]]})
+
+    known = words.mapInPandas(describe, "doc_id long, level int, features array<double>").orderBy("doc_id").toPandas()
+    model.calibrate(np.stack(known["features"].to_numpy()), known["level"].to_numpy())
     return model
 
 
