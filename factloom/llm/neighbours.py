@@ -117,12 +117,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return best, who
 
 
-def _windows(width: int, k: int, block: int):
+def _windows(width: int, k: int, block: int, min_score: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # ordering, ids, unit vectors, best scores and ids so far of the last block
 
         def out(best: np.ndarray, who: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-            real = best > -2
+            real = best >= max(min_score, -1.5)
+            some = real.any(axis=1)
+            best, who, ids, real = best[some], who[some], ids[some], real[some]
             offsets = pa.array(np.append(0, np.cumsum(real.sum(axis=1))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(v[real])) for v in (who, best)]
             return pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["cls", "near", "score"])
@@ -172,11 +174,11 @@ def _windows(width: int, k: int, block: int):
     return compare
 
 
-def class_neighbours(classes: DataFrame, width: int, k: int = K, orderings: int = ORDERINGS, block: int = BLOCK) -> DataFrame:
-    """(cls, near: array of (score, cls) best first): up to k similar classes of (cls, payload)."""
+def class_neighbours(classes: DataFrame, width: int, k: int = K, orderings: int = ORDERINGS, block: int = BLOCK, min_score: float = -1.0) -> DataFrame:
+    """(cls, near: array of (score, cls) best first): up to k similar classes of (cls, payload), none below ``min_score``."""
     placed = classes.select("cls", "payload").mapInArrow(_orderings(width, orderings), "m int, place long, cls long, payload binary")
     sorted_keys = placed.repartitionByRange("m", "place").sortWithinPartitions("m", "place").select("m", "cls", "payload")
-    windows = sorted_keys.mapInArrow(_windows(width, k, block), "cls long, near array<long>, score array<float>")
+    windows = sorted_keys.mapInArrow(_windows(width, k, block, min_score), "cls long, near array<long>, score array<float>")
     lists = windows.groupBy("cls").agg(F.flatten(F.collect_list(F.arrays_zip("score", "near"))).alias("all"))
     best = F.transform(
         F.array_distinct(F.transform("all", lambda x: x["near"])),
@@ -197,7 +199,7 @@ def nearest(vectors: DataFrame, key: str, width: int, k: int = K, min_score: flo
     members = cut(rounded.groupBy("id").agg(F.min("cls").alias("cls")))
     held = members.select("cls").distinct()
     classes = cut(rounded.groupBy("cls").agg(F.first("payload").alias("payload")).join(held, "cls", "left_semi"))
-    near = cut(class_neighbours(classes, width, k, orderings, block))
+    near = cut(class_neighbours(classes, width, k, orderings, block, min_score))
     # the first ids of each class, by salted halves so that a class of very many copies isn't one task's
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     some = salted.withColumn("n", F.row_number().over(W.partitionBy("cls", "salt").orderBy("id"))).filter(F.col("n") <= k + 1)
