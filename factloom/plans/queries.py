@@ -1,26 +1,632 @@
-"""Registered queries of the core and their SQL counterparts."""
+"""Registered queries of the core and their SQL counterparts. Names start with the survey's operator IDs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.operators import history
+from factloom.functions import scoring, text
+from factloom.functions import values as V
+from factloom.functions.dates import utc_text
+from factloom.operators import attest, graph, history, ingest, insights, rank, reports, setops, similar, store_view
+from factloom.plans import oracle as O
 from factloom.session import table
 
+NOW = "2026-05-01 00:00:00"
+QUERY = "which kernel owns the weekly ledger of the operator"
+CHECK = "what do we know about the retired weekly ledger of bramble"
+PARITY_DAY = "2025-09-14"
+KEY = b"parity-key"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def now():
+    return F.to_timestamp(F.lit(NOW))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_view.tidy(table(spark, sf_dir, "facts"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "session_lines")
+    return lines.select("line_id", F.coalesce("message.content", F.lit("")).alias("prompt"))
+
+
+_PROMPTS = "p AS (SELECT line_id, coalesce(message.content, '') AS prompt FROM session_lines)"
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_found(spark, sf_dir)
+    return r7_select_recall(spark, sf_dir)
+
+
+# --- views, predicates, lifecycle filters ---------------------------------------------------------
+
+
+@query(f"WITH {O.FACTS} SELECT id, kind, status, confidence, source, date_key, day, valid_from, valid_to FROM f")
+def s7_store_view(spark, d):
+    f = facts(spark, d)
+    return f.select("id", "kind", "status", "confidence", "source", "date_key", *[F.unix_micros(c).alias(c) for c in ("day", "valid_from", "valid_to")])
+
+
+@query(f"WITH {O.FACTS}, {O.live(NOW)} SELECT id, kind FROM l")
+def f11_live_facts(spark, d):
+    return store_view.live(facts(spark, d), now()).select("id", "kind")
+
+
+@query(f"WITH {O.FACTS}, {O.live(NOW)} SELECT source, count(*) AS n FROM l WHERE source IN ('shared', 'ops') OR source LIKE 'a%' GROUP BY source")
+def f14_scoped_counts(spark, d):
+    f = store_view.live(facts(spark, d), now())
+    return f.filter(F.col("source").isin("shared", "ops") | F.col("source").startswith("a")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {O.FACTS} SELECT id, date_key FROM f WHERE kind = 'decision' AND date_key >= '2026-01-01'")
+def f15_attribute_filter(spark, d):
+    return facts(spark, d).filter((F.col("kind") == "decision") & (F.col("date_key") >= "2026-01-01")).select("id", "date_key")
+
+
+@query(f"WITH {O.FACTS} SELECT id FROM f WHERE contains(lower(content), 'weekly') AND contains(lower(content), 'ledger')")
+def f16_all_terms(spark, d):
+    return similar.find_by_terms(facts(spark, d), ["weekly", "ledger"]).select("id")
+
+
+@query(
+    f"""WITH {O.FACTS} SELECT id, len(content) BETWEEN 180 AND 1200
+    AND NOT (contains(content, 'VERDICT:') OR contains(content, 'Answer on the first line') OR contains(content, 'EARLIER:') OR contains(content, '{{"') OR contains(content, '":"') OR contains(content, 'json'))
+    AND len(content) - len(replace(content, '/', '')) <= 6 AND len(content) - len(replace(content, ':', '')) <= 8 AS prose FROM f"""
+)
+def f17_prose(spark, d):
+    return facts(spark, d).select("id", text.is_prose(F.col("content")).alias("prose"))
+
+
+@query(
+    f"""WITH {O.FACTS}, t AS (SELECT id, regexp_replace(translate(content, '’‘“”', '''''""'), '^[\\s"'']+|[\\s"'']+$', '', 'g') AS t FROM f)
+    SELECT id, len(t) >= 12 AND NOT contains(t, '?') AND NOT regexp_matches(t, {O.quoted(V.CHAT_SHAPES)}, 'i') AS lesson FROM t"""
+)
+def f18_lesson(spark, d):
+    return facts(spark, d).select("id", text.is_lesson(F.col("content")).alias("lesson"))
+
+
+@query(f"WITH {_PROMPTS}, t AS (SELECT line_id, ltrim(prompt, ' \n\t\r') AS t, prompt FROM p) SELECT line_id, t <> '' AND NOT regexp_matches(t, {O.quoted(V.GENUINE_TAG)}) AND (starts_with(t, '{{\"') OR starts_with(t, '[{{\"') OR starts_with(t, '```') OR starts_with(t, '<command-') OR starts_with(t, '<task-notification') OR starts_with(t, '<system-reminder') OR regexp_matches(t, {O.quoted(V.NOISE_DUMPS)})) AS structural, {O.matches('prompt', V.SKIP_NOISE)} AS skip FROM t")
+def f7_f9_noise(spark, d):
+    p = prompts(spark, d)
+    return p.select("line_id", text.is_structural_noise(F.col("prompt")).alias("structural"), text.is_skip_noise(F.col("prompt")).alias("skip"))
+
+
+@query()
+def f6_scrubbed_documents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return text.scrubbed(docs, "text").select("doc_id", "redactions", F.sha2("text_scrubbed", 256).alias("scrubbed_sha256"))
+
+
+# --- classification and extraction ----------------------------------------------------------------
+
+_KIND, _CONF = O.classify("content")
+
+
+@query(
+    f"""WITH {O.FACTS}, c AS (SELECT id, content, {_KIND} AS k, {_CONF} AS c, {O.matches('content', V.SKIP_NOISE)} AS noise FROM f)
+    SELECT id, CASE WHEN noise OR k IN {O.sql_in(V.EVENT_KINDS)} THEN NULL ELSE k END AS kind, CASE WHEN noise OR k IN {O.sql_in(V.EVENT_KINDS)} THEN NULL ELSE c::DOUBLE END AS confidence,
+    NOT (coalesce(CASE WHEN noise THEN NULL ELSE k END, '') IN {O.sql_in(V.AUTHORITY_KINDS)}) OR regexp_matches(content, {O.quoted(V.AUTHORITY_WORD)}, 'i') AS allowed FROM c"""
+)
+def d1c_classified(spark, d):
+    f = facts(spark, d).withColumn("c", text.classify_bullet(F.col("content")))
+    return f.select("id", F.col("c.kind").alias("kind"), F.col("c.confidence").cast("double").alias("confidence"), text.authority_allowed(F.col("c.kind"), F.col("content")).alias("allowed"))
+
+
+
+
+@query(
+    f"""WITH {_PROMPTS}, t AS (SELECT line_id, trim(lower(prompt), ' \n\t\r') AS q FROM p),
+    g AS (SELECT line_id, q, list_filter([{", ".join(f"CASE WHEN {O.matches('q', p)} THEN {O.quoted(n)} END" for n, p in V.GATE_CATEGORIES)}], lambda x: x IS NOT NULL) AS cats, {O.matches('q', V.GATE_SKIP)} AS skip FROM t)
+    SELECT line_id, NOT skip AND len(q) >= 10 AND len(cats) > 0 AS recall, CASE WHEN skip THEN 'skip_pattern' WHEN len(q) < 10 THEN 'too_short' WHEN len(cats) > 0 THEN 'matched:' || array_to_string(cats, ',') ELSE 'no_trigger' END AS reason FROM g"""
+)
+def d2c_recall_gate(spark, d):
+    p = prompts(spark, d).withColumn("g", text.recall_gate(F.col("prompt")))
+    return p.select("line_id", F.col("g.recall").alias("recall"), F.col("g.reason").alias("reason"))
+
+
+@query(
+    f"""WITH {O.FACTS} SELECT id, array_to_string(list_transform(regexp_extract_all(content, 'PR\\s*#(\\d+)', 1), lambda x: try_cast(x AS INT)::VARCHAR), ',') AS prs,
+    substr(sha256(coalesce(source_date || ':', '') || substr(content, 1, 200)), 1, 12) AS minted,
+    {O.distinct_in_order("regexp_extract_all(lower(content), '[a-z0-9]{4,}')", "x NOT IN " + O.sql_in(V.CONCEPT_STOPWORDS), V.CONCEPTS_PER_FACT)} AS concepts FROM f"""
+)
+def d3c_d5c_extracted(spark, d):
+    f = facts(spark, d)
+    return f.select(
+        "id", F.array_join(text.pr_numbers(F.col("content")).cast("array<string>"), ",").alias("prs"), text.fact_id(F.col("source_date"), F.col("content")).alias("minted"),
+        F.array_join(text.concepts(F.col("content")), " ").alias("concepts"),
+    )
+
+
+@query(
+    f"""WITH {O.FACTS}, t AS (SELECT id, regexp_replace(regexp_replace(content, '^\\[[A-Z_ -]+\\]\\s*', ''), '^\\s+|\\s+$', '', 'g') AS text, ord, kind,
+        CASE WHEN contains(upper(content), 'AGENTS.MD') THEN 'AGENTS.md' WHEN contains(upper(content), 'CLAUDE.MD') THEN 'CLAUDE.md' WHEN contains(lower(content), 'skill') THEN 'skills/review'
+        WHEN contains(lower(content), 'hook') THEN 'hooks/review' WHEN contains(lower(content), 'identity') OR contains(lower(content), 'invariant') THEN 'identity/review' ELSE 'review/project-rules.md' END AS target
+        FROM f WHERE kind IN {O.sql_in(reports.PROMOTABLE)} AND confidence >= {V.PROMOTION_CONFIDENCE} AND status <> 'superseded'),
+    n AS (SELECT *, row_number() OVER (PARTITION BY target, lower(text) ORDER BY ord) AS nth FROM t)
+    SELECT id, kind, target, CASE WHEN regexp_matches(target, '^(hooks|identity|skills)/') THEN 'high' WHEN target IN ('CLAUDE.md', 'AGENTS.md') THEN 'medium' ELSE 'low' END AS risk, text FROM n WHERE nth = 1"""
+)
+def x3_promotion_queue(spark, d):
+    return reports.promotion_queue(facts(spark, d))
+
+
+# --- scalar functions ------------------------------------------------------------------------------
+
+_KEY17 = "array_to_string(list_slice(list_filter(regexp_split_to_array(regexp_replace(lower(content), '(#\\d+|\\bpr[-\\s]?\\d+\\b|\\bn\\d+\\b|\\b\\d+\\b)', ' ', 'gi'), '\\s+'), lambda w: w <> ''), 1, 6), ' ')"
+_DEDUP_KEY = "substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(content), '^\\s+|\\s+$', '', 'g'), '\\b(claude code|the|a|an|was|were|is|are|has|had|have)\\b', '', 'g'), '[^a-z0-9 ]', '', 'g'), '\\s+', ' ', 'g')), 1, 100)"
+
+
+@query(
+    f"""WITH {O.FACTS} SELECT id, array_to_string({O.stemmed('content')}, ' ') AS tokens, len(content) // 4 AS estimate, sha256(substr(content, 1, {V.HASHED_CHARS})) AS hash,
+    regexp_replace(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, {_KEY17} AS leading FROM f"""
+)
+def n1_text_functions(spark, d):
+    c = F.col("content")
+    return facts(spark, d).select(
+        "id", F.array_join(text.recall_tokens(c), " ").alias("tokens"), text.token_estimate(c).alias("estimate"), text.content_hash(c).alias("hash"), text.slug(c).alias("slug"), text.leading_key(c).alias("leading")
+    )
+
+
+@query(f"WITH {O.FACTS} SELECT id, round({O.recency(NOW)}, 9) AS recency, {O.SUPERSESSION}::DOUBLE AS supersession, {O.TRUST}::DOUBLE AS trust FROM f")
+def n9_n11_factors(spark, d):
+    return facts(spark, d).select(
+        "id", F.round(scoring.recency(F.col("kind"), F.col("day"), now()), 9).alias("recency"),
+        scoring.supersession(F.col("deprecated"), F.col("status"), F.col("superseded_by")).cast("double").alias("supersession"), scoring.trust_factor(F.col("trust")).cast("double").alias("trust"),
+    )
+
+
+@query(
+    f"""WITH {O.FACTS}, s AS (SELECT id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM f)
+    SELECT id, len(t) AS n14, len(list_filter(t, lambda x: len(x) > 2 AND x NOT IN {O.sql_in(V.SYNTHESIS_STOPWORDS)})) AS n15 FROM s"""
+)
+def n14_n15_token_sets(spark, d):
+    c = F.col("content")
+    return facts(spark, d).select("id", F.size(text.content_tokens(c)).alias("n14"), F.size(text.synthesis_tokens(c)).alias("n15"))
+
+
+# --- ingest ---------------------------------------------------------------------------------------
+
+_PARTS_SQL = """
+    v AS (SELECT * FROM session_lines WHERE NOT coalesce(is_sidechain, false)),
+    o AS (SELECT *, message.content AS c FROM v WHERE line_type IN ('user', 'assistant')),
+    j AS (SELECT line_id, path, uuid, line_type, message.role AS role, i AS part_idx, json_extract(c::JSON, '$[' || i || ']') AS part FROM o, unnest(range(CASE WHEN starts_with(c, '[{') AND json_valid(c) THEN json_array_length(c::JSON)::BIGINT ELSE 0 END)) AS t(i)),
+    e AS (
+        SELECT line_id, part_idx, uuid, CASE part->>'type' WHEN 'text' THEN coalesce(role, line_type) WHEN 'tool_use' THEN 'assistant' ELSE 'tool' END AS actor,
+            CASE part->>'type' WHEN 'text' THEN 'text' WHEN 'tool_use' THEN 'tool_use.input' ELSE 'tool_result.content' END AS surface,
+            CASE part->>'type' WHEN 'text' THEN 'message' WHEN 'tool_use' THEN 'tool_call' ELSE 'tool_result' END AS kind,
+            CASE part->>'type' WHEN 'text' THEN coalesce(part->>'text', '') WHEN 'tool_use' THEN coalesce(part->>'input', '{}') ELSE coalesce(part->>'content', '') END AS content
+        FROM j WHERE part->>'type' IN ('text', 'tool_use', 'tool_result')
+        UNION ALL SELECT line_id, 0, uuid, coalesce(message.role, line_type), 'text', 'message', c FROM o WHERE c IS NOT NULL AND NOT (starts_with(c, '[{') AND json_valid(c))
+        UNION ALL SELECT line_id, 0, uuid, 'system', 'compactMetadata', 'compaction', compact_metadata FROM v WHERE line_type = 'system' AND compact_metadata IS NOT NULL
+        UNION ALL SELECT line_id, 0, uuid, 'system', 'pr-link', 'provenance', NULL FROM v WHERE line_type = 'pr-link')"""
+
+
+@query(f"WITH {_PARTS_SQL} SELECT line_id, part_idx, coalesce(uuid, '') || ':' || surface || ':' || kind AS event_id, actor, CASE WHEN kind = 'provenance' THEN NULL ELSE sha256(content) END AS content_sha256 FROM e WHERE kind <> 'message' OR content <> ''")
+def p2_events(spark, d):
+    e = ingest.events(table(spark, d, "session_lines"))
+    return e.select("line_id", "part_idx", "event_id", "actor", F.when(F.col("kind") != "provenance", F.sha2("content", 256)).alias("content_sha256"))
+
+
+@query()
+def p7_ingest_statistics(spark, d):
+    return ingest.ingest_statistics(table(spark, d, "session_lines"))
+
+
+@query()
+def f4_denied_events(spark, d):
+    rows = ingest.with_denials(ingest.events(table(spark, d, "session_lines")))
+    return rows.filter(F.col("denied").isNotNull()).select("line_id", "part_idx", "kind", "denied")
+
+
+@query()
+def p11_minted_facts(spark, d):
+    made = ingest.facts_from_events(ingest.sanitised(table(spark, d, "session_lines")))
+    return made.select("id", "kind", "confidence", "content", "source_date", "session", "truncated")
+
+
+@query(f"WITH {O.FACTS} SELECT session, ord // 1000 AS page, count(*) AS facts FROM f GROUP BY ALL")
+def p12_session_notes(spark, d):
+    notes = ingest.session_notes(facts(spark, d))
+    return notes.select("session", "page", (F.size(F.split("body", "\n  evidence: ")) - 1).cast("long").alias("facts"))
+
+
+# --- set operations -------------------------------------------------------------------------------
+
+
+@query(f"WITH {O.FACTS}, k AS (SELECT id, row_number() OVER (PARTITION BY {_DEDUP_KEY} ORDER BY ord) AS n FROM f) SELECT id FROM k WHERE n = 1")
+def u1s_dedup_text(spark, d):
+    return setops.dedup_text(facts(spark, d)).select("id")
+
+
+_HALVES = f"{O.FACTS}, a AS (SELECT * FROM f WHERE ord % 3 <> 0), b AS (SELECT * FROM f WHERE ord % 2 = 0)"
+
+
+def _halves(spark, d):
+    f = facts(spark, d)
+    return f.filter("ord % 3 <> 0"), f.filter("ord % 2 = 0")
+
+
+@query(f"WITH {_HALVES} SELECT id, 'old' AS side FROM a UNION ALL SELECT id, 'new' FROM b WHERE id NOT IN (SELECT id FROM a)")
+def u2s_merge_new(spark, d):
+    a, b = _halves(spark, d)
+    return setops.merge_new(a.select("id", F.lit("old").alias("side")), b.select("id", F.lit("new").alias("side")))
+
+
+@query(f"WITH {_HALVES} SELECT id, CASE WHEN id IN (SELECT id FROM b) THEN 'recent' ELSE 'live' END AS side FROM (SELECT id FROM a UNION SELECT id FROM b)")
+def u3s_keyed_union(spark, d):
+    a, b = _halves(spark, d)
+    cols = ["id", "ord", "content"]
+    return setops.keyed_union(a.select(*cols, F.lit("live").alias("side")), b.select(*cols, F.lit("recent").alias("side"))).select("id", "side")
+
+
+@query(f"WITH {_HALVES} SELECT id FROM f WHERE id NOT IN (SELECT id FROM a WHERE ord % 5 = 0) AND id NOT IN (SELECT id FROM b)")
+def u4s_new_proposals(spark, d):
+    a, b = _halves(spark, d)
+    return setops.new_proposals(facts(spark, d), a.filter("ord % 5 = 0"), b).select("id")
+
+
+@query(f"WITH {O.FACTS} SELECT id, CASE WHEN kind = 'decision' AND ord % 2 = 0 THEN 'duplicate' WHEN kind = 'decision' THEN 'approved' WHEN kind = 'bug' THEN 'rejected' ELSE 'remaining' END AS outcome FROM f")
+def u7s_queue_outcome(spark, d):
+    f = facts(spark, d)
+    return setops.partition_queue(f, f.filter("kind = 'decision'"), f.filter("kind = 'bug'"), f.filter("ord % 2 = 0")).select("id", "outcome")
+
+
+@query(f"WITH {_HALVES}, x AS (SELECT sha256(content) AS h FROM a), y AS (SELECT sha256(content) AS h FROM b) SELECT h, 'left' AS only_in FROM (SELECT h FROM x EXCEPT SELECT h FROM y) UNION ALL SELECT h, 'right' FROM (SELECT h FROM y EXCEPT SELECT h FROM x)")
+def u10s_hash_difference(spark, d):
+    a, b = (x.select(F.sha2("content", 256).alias("h")) for x in _halves(spark, d))
+    return setops.hash_difference(a, b, "h")
+
+
+@query("SELECT coalesce(nullif(trim(source), ''), 'desk') AS source, count(*) AS n FROM facts GROUP BY 1")
+def p14_filled_source(spark, d):
+    # the fill keeps what is there as it is; the count goes by the trimmed owner
+    return setops.fill_source(table(spark, d, "facts"), "desk").groupBy(F.trim("source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- aggregates and reports -----------------------------------------------------------------------
+
+
+@query(f"WITH {O.FACTS} SELECT kind, count(*) AS n FROM f GROUP BY kind")
+def a3_kind_histogram(spark, d):
+    return reports.histogram(facts(spark, d), "kind")
+
+
+@query(f"WITH {O.FACTS}, {O.live(NOW)} SELECT date_key, round(count(*) / (SELECT count(*) FROM l), 9) AS share FROM l GROUP BY date_key")
+def a2_date_shares(spark, d):
+    pool = store_view.live(facts(spark, d), now())
+    total = pool.agg(F.count(F.lit(1)).alias("total"))
+    return pool.groupBy("date_key").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("date_key", F.round(F.col("n") / F.col("total"), 9).alias("share"))
+
+
+@query(
+    f"""WITH {O.FACTS}, a AS (SELECT count(*) AS rows, count(*) FILTER (id IS NULL OR content IS NULL OR source_date IS NULL) AS malformed FROM facts),
+    b AS (SELECT count(*) AS facts, count(*) FILTER (status = 'superseded') AS superseded, count(DISTINCT kind) AS kinds, count(DISTINCT date_key) AS dates, round(avg(confidence), 4) AS mean_confidence FROM f)
+    SELECT *, facts > 0 AND malformed = 0 AS recall_ready FROM a, b"""
+)
+def a6_health(spark, d):
+    return reports.health(facts(spark, d), table(spark, d, "facts"))
+
+
+@query(
+    """WITH m AS (SELECT max(ts) AS t FROM events) SELECT event_type, count(*) AS total, count(*) FILTER (epoch_us(t) - epoch_us(ts) <= 24 * 3600e6) AS recent,
+    strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS last_at, count(*) FILTER (epoch_us(t) - epoch_us(ts) <= 24 * 3600e6) >= 5 AS flagged FROM events, m GROUP BY event_type"""
+)
+def a7_recent_counts(spark, d):
+    e = table(spark, d, "events")
+    latest = e.agg(F.max("ts")).first()[0]
+    return reports.recent_counts(e, "ts", F.lit(latest), "event_type", threshold=5).withColumn("last_at", utc_text(F.col("last_at")))
+
+
+@query("SELECT user_id, event_type AS status, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def a9_last_status(spark, d):
+    return reports.last_status(table(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+_TARGETS = {"directive": 9, "decision": 7, "bug": 7, "architecture": 7, "correction": 6}
+
+
+@query(
+    f"""WITH {O.FACTS}, p AS (SELECT id, kind, date_key, ord, CASE kind {" ".join(f"WHEN {O.quoted(k)} THEN {n}" for k, n in _TARGETS.items())} END AS target FROM f
+        WHERE kind IN {O.sql_in(_TARGETS)} AND len(content) BETWEEN 180 AND 1200 AND NOT (contains(content, 'VERDICT:') OR contains(content, 'Answer on the first line') OR contains(content, 'EARLIER:')
+        OR contains(content, '{{"') OR contains(content, '":"') OR contains(content, 'json')) AND len(content) - len(replace(content, '/', '')) <= 6 AND len(content) - len(replace(content, ':', '')) <= 8),
+    n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY date_key, ord) AS nth, greatest(1, count(*) OVER (PARTITION BY kind) // target) AS step FROM p)
+    SELECT kind, (nth - 1) // step + 1 AS pick, id, date_key FROM n WHERE (nth - 1) % step = 0 AND (nth - 1) // step + 1 <= target"""
+)
+def a13_stratified_sample(spark, d):
+    return reports.stratified(facts(spark, d), _TARGETS)
+
+
+@query(
+    f"""WITH {O.FACTS}, p AS (SELECT id, ord, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS t FROM f WHERE status <> 'superseded'),
+    n AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS nth, greatest(1, count(*) OVER () // 50) AS step FROM p)
+    SELECT id, array_to_string(t[len(t) // 2 + 1 : len(t) // 2 + 4], ' ') AS query FROM n WHERE nth % step = 0 AND len(t) >= 2 ORDER BY ord LIMIT 50"""
+)
+def a17_fuzz_queries(spark, d):
+    return reports.fuzz_queries(facts(spark, d), 50)
+
+
+@query(
+    f"""WITH {O.FACTS}, r0 AS (SELECT id, ord, date_key, coalesce(nullif(trim(session), ''), 'unknown') AS s FROM f), g AS (SELECT * FROM r0 WHERE id LIKE 'a%'),
+    b AS (SELECT * FROM r0 WHERE s IN (SELECT s FROM g) AND id NOT IN (SELECT id FROM g)),
+    x AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY ord) AS n FROM r0 WHERE date_key IN (SELECT date_key FROM g) AND id NOT IN (SELECT id FROM g) AND id NOT IN (SELECT id FROM b))
+    SELECT id, 'gold' AS why FROM g UNION ALL SELECT id, 'sibling' FROM b UNION ALL SELECT id, 'distractor' FROM x WHERE n <= 3"""
+)
+def a14_fixture_slice(spark, d):
+    f = facts(spark, d)
+    return reports.fixture_slice(f, f.filter(F.col("id").startswith("a")), graph.session_of(f), 3)
+
+
+# --- ranking and selection ------------------------------------------------------------------------
+
+_TERMS = text.query_terms(QUERY)
+_BM25 = O.bm25(_TERMS, NOW, 1)
+_BM25_MIN = O.bm25(_TERMS, NOW, text.min_matches(_TERMS))
+_LINE = "'[' || date_key || '] [' || upper(CASE WHEN kind = '' THEN 'fact' ELSE kind END) || ']' || chr(10) || CASE WHEN status = 'superseded' THEN '[SUPERSEDED] ' ELSE '' END || substr(content, 1, 320)"
+_HEADER = len(f"Memory recall (0 matches, budget {V.DEFAULT_BUDGET} tokens):") // V.CHARS_PER_TOKEN
+
+
+@query(f"WITH {_BM25} SELECT id, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank, round(score, 6) AS score, matched, pairs FROM s")
+def r1_bm25_search(spark, d):
+    return rank.ranked(rank.bm25_scores(facts(spark, d), QUERY, now())).select("id", "rank", F.round("score", 6).alias("score"), "matched", "pairs")
+
+
+@query(f"WITH {O.FACTS}, s AS (SELECT id, ord, contains(lower(content), 'weekly')::INT + contains(lower(content), 'ledger')::INT + contains(lower(content), 'owner')::INT AS score FROM f) SELECT id, score FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 20")
+def r2_keyword_query(spark, d):
+    return rank.keyword_query(facts(spark, d), ["weekly", "ledger", "owner"]).select("id", "score")
+
+
+@query(
+    f"""WITH {_BM25}, k AS (SELECT *, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY rank) > {V.MAX_PER_DATE} AS late FROM k)
+    SELECT id, rank, row_number() OVER (ORDER BY late, rank) AS position FROM c"""
+)
+def r3_date_capped(spark, d):
+    return rank.date_capped(rank.ranked(rank.bm25_scores(facts(spark, d), QUERY, now()))).select("id", "rank", "position")
+
+
+@query(
+    f"""WITH {_BM25_MIN}, k AS (SELECT *, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY rank) > {V.MAX_PER_DATE} AS late FROM k),
+    o AS (SELECT *, row_number() OVER (ORDER BY late, rank) AS position, {_LINE} AS line FROM c),
+    b AS (SELECT *, sum(len(line) // 4) OVER (ORDER BY position) + {_HEADER} AS used FROM o)
+    SELECT position, id, line, used::BIGINT AS used FROM b WHERE used <= {V.DEFAULT_BUDGET}"""
+)
+def r7_select_recall(spark, d):
+    return rank.select_recall(facts(spark, d), QUERY, now()).select("position", "id", "line", "used")
+
+
+_CHECK_TERMS = text.query_terms(CHECK, V.CHECK_STOPWORDS, 2)
+
+
+@query(
+    f"""WITH {O.bm25(text.query_terms(CHECK), NOW, 1)}, pool AS (SELECT list_filter({O.sql_list(_CHECK_TERMS)}, lambda t: list_contains({O.stemmed('content')}, t)) AS covered FROM s ORDER BY {O.RANK_ORDER} LIMIT {V.CHECK_POOL}),
+    a AS (SELECT list_distinct(flatten(list(covered))) AS found, coalesce(max(len(covered) / {len(_CHECK_TERMS)}), 0) AS overlap, count(*) FILTER (len(covered) >= 2) AS strong_hits FROM pool),
+    b AS (SELECT count(*) AS hits, max(day) AS newest FROM s)
+    SELECT {O.quoted(CHECK)} AS query, CASE WHEN hits = 0 THEN 'unknown' WHEN overlap >= 0.6 OR strong_hits >= 2 THEN 'exists' WHEN len(found) > 0 THEN 'probable' ELSE 'unknown' END AS verdict,
+    round(len(found) / {len(_CHECK_TERMS)}, 3) AS term_coverage, array_to_string(list_filter({O.sql_list(_CHECK_TERMS)}, lambda t: list_contains(found, t)), ' ') AS matched_terms,
+    hits, strong_hits, strftime(make_timestamp(newest), '%Y-%m-%d') AS freshness, (epoch_us(TIMESTAMP '{NOW}') - newest) // 86400000000 > {V.CHECK_STALE_DAYS} AS stale FROM a, b"""
+)
+def r9_existence(spark, d):
+    return rank.existence(facts(spark, d), CHECK, now()).drop("missing_terms", "advice")
+
+
+@query(f"WITH {_BM25}, k AS (SELECT *, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank FROM s) SELECT rank, id, kind, date_key, substr(content, 1, 300) AS citation FROM k WHERE rank <= 6")
+def r10_briefing(spark, d):
+    return rank.briefing(facts(spark, d), QUERY, now()).drop("verdict", "freshness")
+
+
+# --- similarity, clusters, insights ---------------------------------------------------------------
+
+_PAIRS = f"""{O.FACTS}, w AS (SELECT id, kind, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM f),
+    x AS (SELECT id, kind, t, len(t) AS n FROM w WHERE len(t) > 0)"""
+_OVERLAP = "len(list_intersect(a.t, b.t)) / (a.n + b.n - len(list_intersect(a.t, b.t)))"
+_DUPLICATES = f"""{_PAIRS}, p AS (SELECT a.id AS id_a, b.id AS id_b, {_OVERLAP} AS overlap FROM x a JOIN x b ON a.kind = b.kind AND a.id < b.id AND a.n >= {V.DEDUP_SIMILARITY} * b.n AND b.n >= {V.DEDUP_SIMILARITY} * a.n
+    WHERE {_OVERLAP} >= {V.DEDUP_SIMILARITY})"""
+
+
+@query(f"WITH {_DUPLICATES} SELECT id_a, id_b, round(overlap, 6) AS overlap FROM p")
+def j1_duplicate_pairs(spark, d):
+    return similar.duplicate_pairs(facts(spark, d)).select("id_a", "id_b", F.round("overlap", 6).alias("overlap"))
+
+
+_CLUSTERS = f"""RECURSIVE {_DUPLICATES}, e AS (SELECT id_a AS u, id_b AS v FROM p UNION SELECT id_b, id_a FROM p),
+    reach(u, v) AS (SELECT u, v FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u),
+    c AS (SELECT u AS id, min(least(u, v)) AS cluster FROM reach GROUP BY u),
+    q AS (SELECT f.id, kind, cluster, row_number() OVER (PARTITION BY cluster ORDER BY NOT starts_with(f.id, 'curated-'), -confidence, coalesce(source_date, '9999-12-31'), f.id) AS nth FROM c JOIN f ON f.id = c.id),
+    k AS (SELECT a.id, a.kind, a.cluster, b.id AS canonical FROM q a JOIN q b ON a.cluster = b.cluster AND b.nth = 1)"""
+
+
+@query(f"WITH {_CLUSTERS} SELECT id, kind, cluster, canonical FROM k")
+def c1_duplicate_clusters(spark, d):
+    return similar.duplicate_clusters(facts(spark, d))
+
+
+@query(f"WITH {_CLUSTERS} SELECT f.id, CASE WHEN canonical <> f.id THEN 'superseded' ELSE status END AS status, CASE WHEN canonical <> f.id THEN canonical ELSE superseded_by END AS superseded_by FROM f LEFT JOIN k ON f.id = k.id")
+def c5_applied_duplicates(spark, d):
+    f = facts(spark, d)
+    return similar.apply_duplicates(f, similar.duplicate_clusters(f), "2026-05-01T00:00:00Z").select("id", "status", "superseded_by")
+
+
+@query(
+    f"""WITH {_PAIRS}, y AS (SELECT x.*, (make_timestamp(f.day))::DATE AS day FROM x JOIN f USING (id) WHERE x.kind IN {O.sql_in(V.WATCHED_KINDS)}),
+    p AS (SELECT a.id AS ia, b.id AS ib, a.day AS da, b.day AS db, {_OVERLAP} AS overlap FROM y a JOIN y b ON a.id < b.id WHERE {_OVERLAP} >= {V.CONTRADICTION_LOW} AND {_OVERLAP} < {V.CONTRADICTION_HIGH}),
+    o AS (SELECT CASE WHEN coalesce(db >= da, true) THEN ia ELSE ib END AS earlier, CASE WHEN coalesce(db >= da, true) THEN ib ELSE ia END AS later, round(overlap, 3) AS overlap, coalesce(abs(db - da), 0) AS gap_days FROM p)
+    SELECT *, greatest((SELECT count(*) FROM o) - {V.CONTRADICTION_TOP}, 0) AS dropped FROM o ORDER BY overlap DESC, earlier, later LIMIT {V.CONTRADICTION_TOP}"""
+)
+def j2_r11_contradictions(spark, d):
+    return similar.top_contradictions(similar.contradiction_pairs(facts(spark, d)))
+
+
+@query()
+def c2_synthesis_clusters(spark, d):
+    return similar.synthesis_clusters(facts(spark, d))
+
+
+@query()
+def c3_consolidation_clusters(spark, d):
+    return similar.consolidation_clusters(facts(spark, d))
+
+
+@query(
+    f"""WITH {O.FACTS}, g AS (SELECT id, kind, ord, confidence, {_KEY17} AS key FROM f WHERE date_key = '{PARITY_DAY}' AND kind <> 'correction'),
+    n AS (SELECT *, count(*) OVER (PARTITION BY kind, key) AS c, row_number() OVER (PARTITION BY kind, key ORDER BY confidence DESC, ord) AS nth FROM g WHERE kind IN ('directive', 'decision', 'bug', 'architecture', 'content'))
+    SELECT id, 'A' AS tier FROM g WHERE kind IN ('status', 'dispatch', 'merge', 'config') UNION ALL SELECT id, 'B' FROM n WHERE c >= 3 AND nth > 1"""
+)
+def c4_bulk_archive(spark, d):
+    return similar.bulk_archive(facts(spark, d), PARITY_DAY)
+
+
+@query(
+    f"""WITH {_CLUSTERS}, i AS (SELECT cluster, count(*) AS recurrence, min(date_key) AS first_date, max(date_key) AS last_date, avg(confidence) AS mean FROM k JOIN f USING (id) GROUP BY cluster),
+    t AS (SELECT cluster, term, count(*) AS n FROM (SELECT cluster, unnest(list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')), lambda x: len(x) > 2 AND x NOT IN {O.sql_in(V.SYNTHESIS_STOPWORDS)})) AS term FROM k JOIN f USING (id)) GROUP BY ALL),
+    h AS (SELECT cluster, array_to_string(list(term ORDER BY nth), ', ') AS theme FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) AS nth FROM t) WHERE nth <= 5 GROUP BY cluster)
+    SELECT cluster, coalesce(theme, '') AS theme, recurrence, first_date, last_date, round(least(0.95, 0.7 + 0.05 * recurrence, mean), 2) AS confidence FROM i LEFT JOIN h USING (cluster)"""
+)
+def a4_a5_insights(spark, d):
+    f = facts(spark, d)
+    return insights.insights(similar.duplicate_clusters(f), f).select("cluster", "theme", "recurrence", "first_date", "last_date", "confidence")
+
+
+@query(f"WITH {_CLUSTERS} SELECT id FROM f WHERE id NOT IN (SELECT id FROM k)")
+def u8s_uncovered(spark, d):
+    f = facts(spark, d)
+    clusters = similar.duplicate_clusters(f)
+    return setops.uncovered(f, insights.insight_sources(insights.insights(clusters, f), clusters)).select("id")
+
+
+# --- graph and vectors ----------------------------------------------------------------------------
+
+_SESSION = "coalesce(nullif(trim(session), ''), 'unknown')"
+_CONCEPT_LIST = O.distinct_in_order("regexp_extract_all(lower(content), '[a-z0-9]{4,}')", "x NOT IN " + O.sql_in(V.CONCEPT_STOPWORDS), V.CONCEPTS_PER_FACT)
+_MENTIONS = f"mm AS (SELECT id, unnest(string_split({_CONCEPT_LIST}, ' ')) AS concept FROM f), me AS (SELECT * FROM mm WHERE concept <> '')"
+
+
+@query(f"WITH {O.FACTS}, {_MENTIONS} SELECT DISTINCT * FROM (SELECT 'fact:' || id AS source, 'source:' || source_file AS target, 'DERIVED_FROM' AS type FROM f WHERE len(trim(source_file)) > 0 UNION ALL SELECT 'session:' || {_SESSION}, 'fact:' || id, 'SUPPORTS' FROM f UNION ALL SELECT 'fact:' || id, 'concept:' || concept, 'MENTIONS' FROM me)")
+def x1_graph_edges(spark, d):
+    return graph.graph_edges(facts(spark, d))
+
+
+@query(f"WITH {O.FACTS}, {_MENTIONS} SELECT id, type, max(label) AS label FROM (SELECT 'fact:' || id AS id, 'fact' AS type, substr(content, 1, 80) AS label FROM f UNION ALL SELECT 'session:' || {_SESSION}, 'session', {_SESSION} FROM f UNION ALL SELECT 'source:' || source_file, 'source', source_file FROM f WHERE len(trim(source_file)) > 0 UNION ALL SELECT 'concept:' || concept, 'concept', concept FROM me) GROUP BY id, type")
+def x1_graph_nodes(spark, d):
+    return graph.graph_nodes(facts(spark, d))
+
+
+@query(
+    f"""WITH {_BM25}, k AS (SELECT id FROM s ORDER BY {O.RANK_ORDER} LIMIT 10), {_MENTIONS},
+    sc AS (SELECT concept, count(*) AS seeds FROM me WHERE id IN (SELECT id FROM k) GROUP BY concept), cm AS (SELECT concept, count(*) AS members FROM me WHERE concept IN (SELECT concept FROM sc) GROUP BY concept),
+    bc AS (SELECT id, sum({V.CONCEPT_WEIGHT}::DOUBLE * seeds / members) AS w FROM me JOIN sc USING (concept) JOIN cm USING (concept) GROUP BY id),
+    ss AS (SELECT {_SESSION} AS s, {V.SESSION_WEIGHT}::DOUBLE * count(*) AS w FROM f WHERE id IN (SELECT id FROM k) GROUP BY 1), bs AS (SELECT f.id, ss.w FROM f JOIN ss ON {_SESSION} = ss.s),
+    rw AS (SELECT id, sum(w) AS raw FROM (SELECT * FROM bc UNION ALL SELECT * FROM bs) WHERE id NOT IN (SELECT id FROM k) GROUP BY id),
+    gs AS (SELECT l.id, l.ord, l.confidence, raw * confidence * {O.recency(NOW)} * {O.SUPERSESSION} * {O.TRUST} AS graph_score FROM l JOIN rw ON l.id = rw.id)
+    SELECT id, round(graph_score, 6) AS graph_score, row_number() OVER (ORDER BY round(graph_score, 9) DESC, confidence DESC, ord) AS rank FROM gs WHERE graph_score > 0 ORDER BY rank LIMIT {V.EXPANSION_TOP}"""
+)
+def j3_expansion(spark, d):
+    f = facts(spark, d)
+    seeds = rank.bm25_scores(f, QUERY, now()).orderBy(*rank.rank_order()).limit(10).select("id")
+    return graph.expand(f, seeds, now()).withColumn("graph_score", F.round("graph_score", 6))
+
+
+@query(f"WITH {O.FACTS}, {_MENTIONS} SELECT concept, count(DISTINCT f.id) AS facts, count(DISTINCT {_SESSION}) AS sessions, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM me JOIN f ON f.id = me.id GROUP BY concept")
+def j13_concept_index(spark, d):
+    return graph.concept_index(facts(spark, d))
+
+
+@query(f"WITH {O.FACTS}, h AS (SELECT DISTINCT fact_id AS id, content_sha256 AS have FROM fact_vectors WHERE model_id = 'static-64' AND len(vector) > 0 AND fact_id IS NOT NULL), w AS (SELECT id, sha256(substr(content, 1, {V.HASHED_CHARS})) AS want FROM f) SELECT coalesce(w.id, h.id) AS id, CASE WHEN max(want) IS NULL THEN 'prune' WHEN coalesce(bool_or(have = want), false) THEN 'keep' ELSE 'embed' END AS action FROM w FULL JOIN h ON w.id = h.id GROUP BY 1")
+def j10_sidecar_plan(spark, d):
+    return graph.sidecar_plan(facts(spark, d), table(spark, d, "fact_vectors"), "static-64")
+
+
+_AXIS = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
+_DENSE = f"""{O.FACTS}, {O.live(NOW)}, q AS (SELECT {[float(x) for x in _AXIS]}::DOUBLE[] AS q),
+    u AS (SELECT fact_id AS id, content_sha256, list_cosine_similarity(vector::DOUBLE[], q) AS cosine FROM fact_vectors, q WHERE model_id = 'static-64' AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+    v AS (SELECT id, content_sha256, max(cosine) AS cosine FROM u GROUP BY ALL),
+    dn AS (SELECT l.id, cosine, ord FROM l JOIN v ON v.id = l.id AND sha256(substr(content, 1, {V.HASHED_CHARS})) = content_sha256 ORDER BY round(cosine, 9) DESC, ord LIMIT {V.DENSE_TOP})"""
+
+
+@query(f"WITH {_DENSE} SELECT id, round(cosine, 6) AS cosine, row_number() OVER (ORDER BY round(cosine, 9) DESC, ord) AS dense_rank FROM dn")
+def j4_dense_ranks(spark, d):
+    return graph.dense_ranks(facts(spark, d), table(spark, d, "fact_vectors"), _AXIS, now(), "static-64").withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    f"""WITH {_BM25}, sr AS (SELECT id, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS seed_rank FROM s), {_DENSE.split(f"{O.live(NOW)}, ", 1)[1]},
+    dr AS (SELECT id, row_number() OVER (ORDER BY round(cosine, 9) DESC, ord) AS dense_rank FROM dn),
+    fu AS (SELECT coalesce(sr.id, dr.id) AS id, seed_rank, dense_rank, coalesce(1.0::DOUBLE / ({V.RRF_K} + seed_rank), 0) + coalesce(1.0::DOUBLE / ({V.RRF_K} + dense_rank), 0) AS rrf FROM sr FULL JOIN dr ON sr.id = dr.id)
+    SELECT id, round(rrf, 9) AS rrf, coalesce(dense_rank <= {V.DENSE_RESERVED}, false) AND seed_rank IS NULL AS reserved FROM fu"""
+)
+def j4_fused(spark, d):
+    f = facts(spark, d)
+    seeds = rank.ranked(rank.bm25_scores(f, QUERY, now())).select("id", "rank")
+    dense = graph.dense_ranks(f, table(spark, d, "fact_vectors"), _AXIS, now(), "static-64")
+    return graph.fuse(seeds, dense).select("id", F.round("rrf", 9).alias("rrf"), "reserved")
+
+
+# --- attestation, lifecycle, projections ----------------------------------------------------------
+
+
+@query(f"WITH {O.FACTS} SELECT CASE WHEN ord % 10 = 0 THEN 'unsigned' WHEN ord % 10 = 1 THEN 'tampered' ELSE 'valid' END AS verdict, count(*) AS facts FROM f GROUP BY 1")
+def v2_a10_verdicts(spark, d):
+    f = facts(spark, d)
+    signed = attest.sign(f.filter("ord % 10 <> 0"), KEY, "k1", "2026-05-01T00:00:00Z")
+    changed = f.withColumn("content", F.when(F.col("ord") % 10 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return attest.verdict_counts(attest.verify(changed, signed, KEY))
+
+
+@query(f"WITH {O.FACTS} SELECT id, CASE WHEN ord % 7 = 0 AND status <> 'superseded' THEN 'resurrected' ELSE 'unattested' END AS finding FROM f WHERE (ord % 7 = 0 AND status <> 'superseded') OR (ord % 7 <> 0 AND status = 'superseded')")
+def j7_revocation_audit(spark, d):
+    f = facts(spark, d)
+    events = attest.revocations(f.filter("ord % 7 = 0").withColumn("status", F.lit("superseded")), KEY)
+    return attest.audit(f, events, KEY)
+
+
+@query(f"WITH {O.FACTS} SELECT id FROM f WHERE id NOT LIKE 'a%' AND NOT contains(lower(content), 'weekly ledger')")
+def c10_purged_store(spark, d):
+    f = facts(spark, d)
+    return f.filter(~F.col("id").startswith("a") & ~F.contains(F.lower("content"), F.lit("weekly ledger"))).select("id")
+
+
+@query(f"WITH {O.FACTS} SELECT 'facts/' || id || '.md' AS path, len(content) AS content_chars FROM f")
+def x2_vault_notes(spark, d):
+    f = facts(spark, d)
+    return reports.vault_notes(f).join(f.select(F.concat(F.lit("facts/"), "id", F.lit(".md")).alias("path"), F.length("content").alias("content_chars")), "path").select("path", "content_chars")
+
+
+_P3 = f"""
+    t AS (SELECT lower(trim(fact_id)) AS id, epoch_us(snapshot_at) AS moment, epoch_us(loaded_at) AS loaded, coalesce(nullif(lower(trim(status)), ''), 'current') AS status,
+        {O.instant('valid_at')} AS v, {O.instant('invalid_at')} AS i, {O.instant('superseded_at')} AS s FROM fact_snapshots WHERE snapshot_at IS NOT NULL AND fact_id IS NOT NULL),
+    h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, moment ORDER BY loaded DESC NULLS LAST, status DESC, v::VARCHAR DESC NULLS LAST, i::VARCHAR DESC NULLS LAST, s::VARCHAR DESC NULLS LAST) AS n FROM t) WHERE n = 1),
+    k AS (SELECT id, moment, CASE WHEN status = 'purged' THEN 'purged' ELSE concat_ws('|', status, coalesce(v::VARCHAR, '-'), coalesce(i::VARCHAR, '-'), coalesce(s::VARCHAR, '-')) END AS state FROM h),
+    c AS (SELECT * FROM (SELECT *, lag(state) OVER (PARTITION BY id ORDER BY moment) AS before FROM k) WHERE before IS NULL OR before <> state),
+    e AS (SELECT id, moment, lead(moment) OVER (PARTITION BY id ORDER BY moment) AS ends, state FROM c)"""
+
+
+@query(f"WITH {_P3} SELECT id, strftime(make_timestamp(moment), '%Y-%m-%dT%H:%M:%SZ') AS from_ts, coalesce(strftime(make_timestamp(ends), '%Y-%m-%dT%H:%M:%SZ'), '') AS to_ts FROM e WHERE state <> 'purged'")
+def p3_found(spark, d):
+    return history.fact_versions(table(spark, d, "fact_snapshots")).select("id", "from_ts", "to_ts")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.fact_versions(table(spark, sf_dir, "fact_snapshots")).select("id", "from_ts", "to_ts")
+@query()
+def p3_versions(spark, d):
+    return history.fact_versions(table(spark, d, "fact_snapshots"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
