@@ -40,8 +40,9 @@ def prose_lines(text: str) -> list[str]:
     """The lines of a text that are prose: without code, logs, tables, JSON, commands and headings."""
     lines = [raw.strip() for raw in text.splitlines()]
     out: list[str] = []
-    fenced, depth = False, 0
+    fenced, depth, inside = False, 0, False  # inside: the line before is prose
     for i, line in enumerate(lines):
+        before, inside = inside, False
         if _FENCE.match(line):
             fenced = not fenced
             continue
@@ -57,9 +58,10 @@ def prose_lines(text: str) -> list[str]:
         if not item and len(line) < 80 and line[-1] not in ".!?…:;,\"'”)" and len(line.split()) <= 8:
             # a short line that stands alone, or is underlined, is a heading
             after = lines[i + 1] if i + 1 < len(lines) else ""
-            if (i == 0 or not lines[i - 1]) and (not after or _RULE.match(after)):
+            if not before and (not after or _RULE.match(after)):
                 continue
         out.append(line[item.end() :] if item else line)
+        inside = True
     return out
 
 
