@@ -16,9 +16,12 @@ COLUMNS = [
 
 
 def latest(facts: DataFrame) -> DataFrame:
-    """U3s over the rows of one store: per id the row seen last (null first; then the highest ord). Null ids drop."""
+    """U3s over the rows of one store: per id the row seen last (null first; then the highest ord).
+
+    Null ids drop, and so do columns that are none of a fact, whose names operators may use for their own.
+    """
     rows = facts.filter(F.col("id").isNotNull())
-    names = [c for c in facts.columns if c != "id"]
+    names = [c for c in COLUMNS if c in facts.columns and c != "id"]
     newest = rows.groupBy("id").agg(F.max_by(F.struct(*names), F.struct("last_seen_at", "ord")).alias("r"))
     return newest.select("id", *[F.col("r")[c].alias(c) for c in names])
 
@@ -33,7 +36,7 @@ def tidy(facts: DataFrame) -> DataFrame:
     """``latest`` with kind and status trimmed and lower-cased, bounds and dates as instants.
 
     A missing status is ``current``, missing confidence 0, missing content empty. ``day`` is the instant
-    of source_date or null, ``date_key`` its text or ``unknown``. Columns beyond the fact schema pass by.
+    of source_date or null, ``date_key`` its text or ``unknown``.
     """
     status = F.lower(F.trim(F.coalesce("status", F.lit(""))))
     key = F.trim(F.coalesce("source_date", F.lit("")))
