@@ -1,7 +1,7 @@
 """Similar pairs of facts and their clusters (survey 2.9 J1, J2; 2.10 C1 to C4).
 
 Pairs come from an exact prefix join: of two token sets with Jaccard similarity s, the rarest
-``size - ceil(s * size) + 1`` tokens of both share one, so facts meet under those only. A 64-bit parity
+``size - ceil(s * size) + 1`` tokens of both share one, so facts meet under those only. A 256-bit parity
 sketch of the sets drops most false candidates before the sets themselves are compared.
 """
 
@@ -15,12 +15,13 @@ from factloom.functions import text
 from factloom.functions import values as V
 from factloom.session import cut
 
-SKETCH = "aggregate(tokens, 0L, (bits, t) -> bits ^ shiftleft(1L, cast(xxhash64(t) & 63 as int)))"
+#: Bit i of word k tells whether an odd number of tokens fall in that bin of 256
+SKETCH = "transform(sequence(0, 3), k -> aggregate(filter(tokens, t -> (shiftrightunsigned(t, 6) & 3) = k), 0L, (bits, t) -> bits ^ shiftleft(1L, cast(t & 63 as int))))"
 
 
 def similar_pairs(rows: DataFrame, tokens: Column, part: Column, low: float, high: float | None = None) -> DataFrame:
     """(a, b, overlap): pairs of ids of one part with low <= Jaccard (< high). Rows without tokens never pair."""
-    sets = cut(rows.select("id", part.alias("part"), tokens.alias("tokens")).filter(F.size("tokens") > 0).withColumn("sketch", F.expr(SKETCH)))
+    sets = cut(rows.select("id", part.alias("part"), F.array_sort(F.transform(tokens, lambda t: F.xxhash64(t))).alias("tokens")).filter(F.size("tokens") > 0).withColumn("sketch", F.expr(SKETCH)))
     exploded = sets.select("id", "part", F.size("tokens").alias("size"), "sketch", F.explode("tokens").alias("token"))
     frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     order = W.partitionBy("id").orderBy("df", "token")
@@ -33,7 +34,7 @@ def similar_pairs(rows: DataFrame, tokens: Column, part: Column, low: float, hig
     b = prefix.select("part", "token", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "place", "sketch")])
     need = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(low / (1 + low)) - F.lit(1e-9))
     most = F.least("place_a", "place_b") + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    apart = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
+    apart = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(4)), F.lit(0))
     met = a.join(b, ["part", "token"]).filter((F.col("id_a") < F.col("id_b")) & (most >= need) & (apart <= F.col("size_a") + F.col("size_b") - 2 * need))
     pairs = met.select("id_a", "id_b").distinct()
     left, right = sets.select(F.col("id").alias("id_a"), F.col("tokens").alias("t_a")), sets.select(F.col("id").alias("id_b"), F.col("tokens").alias("t_b"))
