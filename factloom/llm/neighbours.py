@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from factloom.session import cut
 
-K, ORDERINGS, BLOCK, DIMENSIONS, BITS, SEED, SALTS = 5, 6, 512, 12, 5, 20250, 16
+K, ORDERINGS, BLOCK, DIMENSIONS, BITS, SEED, SALTS = 5, 8, 1024, 12, 5, 20250, 16
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
