@@ -162,3 +162,20 @@ def test_empty_tables_very_long_texts_and_extra_columns(spark, run):
     rows = spark.createDataFrame([("a", "k", long, "2026-01-01"), ("b", "k", long + " more", "2026-01-02")], schema)
     rows = rows.withColumns({c: F.lit("clash") for c in ("part", "cls", "sig", "size", "seq", "batch", "pair", "place", "block", "a", "b")})
     assert run(rows).count() in (1, 2)
+
+
+def test_index_grown_by_batches_equals_all_at_once(spark, tmp_path):
+    rows, df = make(spark, variants(6), 6)
+    want = {r.id for r in batch_dedup.rejected_facts(df).collect()}
+    dated = batch_dedup.dated_facts(df)
+    index = batch_dedup.BatchIndex(spark, str(tmp_path / "index"), fan_out=2)
+    got, seen = set(), 0
+    for (number,) in sorted(tuple(r) for r in dated.select("batch").distinct().collect()):
+        out = index.add(dated.filter(F.col("batch") == number)).collect()
+        got |= {r.id for r in out if r.rejected}
+        seen += len(out)
+    assert got == want and seen == len({r[0] for r in rows if r[0] and re.match(r"\d{4}-", r[3] or "") and len(tokens(r[2])) >= 8})
+    assert max(int(n.split("-")[0]) for n in index.segments()) >= 1
+    again = index.add(dated.filter(F.col("batch") == number)).collect()
+    assert all(r.rejected for r in again)
+    assert index.add(dated.limit(0)).count() == 0
