@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from factloom.llm.tokens import TOKENIZER_DIR, VOCABULARY, TokenCounter
 from factloom.session import cut
 
-MAX_LABELLED, MAX_HELD_OUT, MAX_DOMAINS, BUCKETS, LABEL_NOISE, OF_WHOLE = 10_000, 2_000, 1_000, 1 << 14, 0.01, 0.5
+MAX_LABELLED, MAX_HELD_OUT, MAX_DOMAINS, BUCKETS, LABEL_NOISE, OF_WHOLE = 10_000, 2_000, 1_000, 1 << 14, 0.001, 0.5
 TRUSTS = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 STEPS, CLOSE = 60, 1e-6
 
