@@ -113,7 +113,7 @@ def deny_reason(rows: DataFrame) -> DataFrame:
 
 
 def with_denials(rows: DataFrame) -> DataFrame:
-    """adds ``denied`` = result_of_denied for results of a tool call denied earlier in the same file."""
+    """Adds ``denied`` = result_of_denied for results of a tool call denied earlier in the same file."""
     marked = deny_reason(rows)
     calls = marked.filter((F.col("kind") == "tool_call") & F.col("denied").isNotNull() & (F.length("tool_use_id") > 0))
     first = calls.groupBy("path", "tool_use_id").agg(F.min(F.struct("line_no", "line_id", "part_idx")).alias("_first"))
@@ -147,7 +147,7 @@ def event_day(rows: DataFrame) -> Column:
 
 
 def facts_from_events(rows: DataFrame) -> DataFrame:
-    """(id, kind, confidence, content, source_date, session, evidence, pr_numbers, truncated), the first of equal texts.
+    """(id, kind, confidence, content, source_date, session, evidence, pr_numbers, truncated), the first of equal texts.
 
     Noise, tool surfaces, unclassified texts and unauthorised kinds make no facts.
     """

@@ -157,7 +157,7 @@ def render_recall(included: DataFrame, matches: int, budget: int) -> str:
 
 
 def existence(facts: DataFrame, query: str, now: Column, stale_days: int = V.CHECK_STALE_DAYS, pool_size: int = V.CHECK_POOL) -> DataFrame:
-    """One row: does the store know about a query? Verdict, coverage, strong hits, freshness, staleness, advice."""
+    """One row: does the store know about a query? Verdict, coverage, strong hits, freshness, staleness, advice."""
     terms = text.query_terms(query, V.CHECK_STOPWORDS, 2)
     hits = bm25_scores(facts, query, now)
     wanted = text.strings(terms)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import scoring, text
 from factloom.functions import values as V
 from factloom.functions.dates import utc_text
-from factloom.operators import attest, graph, history, ingest, insights, rank, reports, setops, similar, store_view
+from factloom.operators import attest, extras, graph, history, ingest, insights, rank, reports, setops, similar, store_view
 from factloom.plans import oracle as O
 from factloom.session import table
 
@@ -166,6 +166,16 @@ def x3_promotion_queue(spark, d):
     return reports.promotion_queue(facts(spark, d))
 
 
+_NAMES = ["kernel", "ledger", "bramble", "weekly"]
+
+
+@query(
+    f"""WITH {O.FACTS} SELECT id, array_to_string(list_filter([nullif(kind, ''), {", ".join(f"CASE WHEN regexp_matches(lower(content), '(^|[^a-z0-9_-]){n}($|[^a-z0-9_-])') THEN {O.quoted(n)} END" for n in _NAMES)}], lambda x: x IS NOT NULL), ' ') AS entities FROM f"""
+)
+def d6c_entities(spark, d):
+    return extras.entities(facts(spark, d), _NAMES).select("id", F.array_join("entities", " ").alias("entities"))
+
+
 # --- scalar functions ------------------------------------------------------------------------------
 
 _KEY17 = "array_to_string(list_slice(list_filter(regexp_split_to_array(regexp_replace(lower(content), '(#\\d+|\\bpr[-\\s]?\\d+\\b|\\bn\\d+\\b|\\b\\d+\\b)', ' ', 'gi'), '\\s+'), lambda w: w <> ''), 1, 6), ' ')"
@@ -593,10 +603,25 @@ def j7_revocation_audit(spark, d):
     return attest.audit(f, events, KEY)
 
 
+@query(f"WITH {O.FACTS} SELECT id, CASE WHEN ord % 10 = 0 THEN 'sign' WHEN ord % 10 = 1 THEN 'review' WHEN ord % 10 = 2 THEN 'resign' ELSE 'keep' END AS action FROM f")
+def v8_resign_plan(spark, d):
+    f = facts(spark, d)
+    signed = attest.sign(f.filter("ord % 10 <> 0"), KEY, "k1", "2026-05-01T00:00:00Z").join(f.select(F.col("id").alias("fact_id"), "ord"), "fact_id")
+    signed = signed.withColumn("signature", F.when(F.col("ord") % 10 == 2, "bad").otherwise(F.col("signature"))).drop("ord")
+    changed = f.withColumn("content", F.when(F.col("ord") % 10 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return extras.resign_plan(changed, signed, KEY)
+
+
+@query()
+def n6_excerpts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.select("doc_id", extras.excerpter(text.query_terms(QUERY))("text").alias("excerpt"))
+
+
 @query(f"WITH {O.FACTS} SELECT id FROM f WHERE id NOT LIKE 'a%' AND NOT contains(lower(content), 'weekly ledger')")
 def c10_purged_store(spark, d):
-    f = facts(spark, d)
-    return f.filter(~F.col("id").startswith("a") & ~F.contains(F.lower("content"), F.lit("weekly ledger"))).select("id")
+    f = facts(spark, d).select("id", "content")
+    return reports.purge(f.filter(~F.col("id").startswith("a")), [], "weekly ledger")[0].select("id")
 
 
 @query(f"WITH {O.FACTS} SELECT 'facts/' || id || '.md' AS path, len(content) AS content_chars FROM f")
