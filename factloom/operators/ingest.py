@@ -170,7 +170,7 @@ NOTE_ROWS = 1000
 
 
 def session_notes(facts: DataFrame) -> DataFrame:
-    """(session, page, name, body): the facts of each session as notes, in order of ord.
+    """(session, page, name, body): the facts of each session as notes, in order of ord.
 
     ``ord`` is unique, so a page, which spans NOTE_ROWS values of it, is bounded whatever the size of the session.
     """

@@ -148,3 +148,29 @@ def live_secrets(lines: DataFrame, secrets: dict[str, str]) -> DataFrame:
         return lines.select("path", "line_no", F.lit("").alias("key")).limit(0)
     found = F.filter(F.array(*[F.when(F.contains("value", F.lit(v)), k) for k, v in keys.items()]), lambda k: k.isNotNull())
     return lines.select("path", "line_no", F.explode(found).alias("key"))
+
+
+def children(facts: DataFrame, parent: str) -> DataFrame:
+    """Ids of the facts that name a parent. Needs parent_fact_ids."""
+    return facts.filter(F.array_contains("parent_fact_ids", parent)).select("id")
+
+
+def proposal_queue(queue: DataFrame, candidates: DataFrame, live: DataFrame) -> DataFrame:
+    """The queue with the candidates that are neither live nor queued appended as proposed."""
+    from factloom.operators.setops import new_proposals
+
+    fresh = new_proposals(candidates, live, queue).withColumn("status", F.lit("proposed"))
+    return queue.unionByName(fresh.select(*queue.columns))
+
+
+def queue_document(rows: DataFrame, name: str, dropped: int = 0) -> DataFrame:
+    """A review queue as JSON lines (value): a head with its counts, then one line a row."""
+    head = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(0).alias("_part"), F.to_json(F.struct(F.lit(name).alias("queue"), "rows", F.lit(dropped).alias("dropped"))).alias("value"))
+    body = rows.select(F.lit(1).alias("_part"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    return head.unionAll(body).orderBy("_part", "value").select("value")
+
+
+def rebuild_summary(result: dict) -> str:
+    """What a rebuild did, as text."""
+    verdict = "promoted" if result.get("promoted") else "refused"
+    return "\n".join([f"Rebuild {verdict}", f"facts before: {result.get('before', 0)}", f"facts after: {result.get('after', 0)}", f"duplicate pairs: {result.get('duplicate_pairs', 'not checked')}"])

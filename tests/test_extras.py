@@ -85,3 +85,16 @@ def test_files(spark, tmp_path):
     assert extras.embedding_query("What did we decide about the Kernel?") == "about Kernel" and extras.embedding_query("who") == "who"
     with pytest.raises(ValueError):
         extras.machine_tag("x", {"y"})
+
+
+def test_queues_and_children(make_facts):
+    from factloom.operators import reports
+
+    f = make_facts(fact("a", "one"), fact("b", "two"), fact("c", "three")).withColumn("parent_fact_ids", F.when(F.col("id") != "a", F.array(F.lit("a"))))
+    assert sorted(r.id for r in reports.children(f, "a").collect()) == ["b", "c"]
+    rows = f.select("id", "ord", "status")
+    got = reports.proposal_queue(rows.filter("id = 'a'"), rows, rows.filter("id = 'b'")).collect()
+    assert {(r.id, r.status) for r in got} == {("a", "current"), ("c", "proposed")}
+    lines = [r.value for r in reports.queue_document(rows.select("id"), "dedup", 2).collect()]
+    assert json.loads(lines[0]) == {"queue": "dedup", "rows": 3, "dropped": 2} and len(lines) == 4
+    assert reports.rebuild_summary({"promoted": True, "before": 1, "after": 2}).startswith("Rebuild promoted\nfacts before: 1")
