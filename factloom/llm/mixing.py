@@ -92,8 +92,10 @@ def fit_domains(documents: DataFrame, targets: Targets, directory: str, vocabula
     """
     domains = len(targets.sources) + 1
     labelled = documents.filter(F.length("text") > 0).select("doc_id", domain_of(F.col("source"), targets).alias("domain"), "text")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    held_out = labelled.orderBy(F.xxhash64("doc_id").desc(), "doc_id").limit(MAX_HELD_OUT)
+    # only ids go through one task; the texts are picked where they are read
+    ids = documents.select("doc_id").distinct()
+    sample = labelled.join(F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)), "doc_id", "left_semi")
+    held_out = labelled.join(F.broadcast(ids.orderBy(F.xxhash64("doc_id").desc(), "doc_id").limit(MAX_HELD_OUT)), "doc_id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = _counter(directory, vocabulary)
@@ -106,7 +108,7 @@ def fit_domains(documents: DataFrame, targets: Targets, directory: str, vocabula
         yield pd.DataFrame({"domain": d, "bucket": k, "n": seen[d, k]})
         yield pd.DataFrame({"domain": np.arange(domains), "bucket": -1, "n": texts})
 
-    rows = sample.repartition(16).mapInPandas(count, "domain int, bucket int, n double").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.mapInPandas(count, "domain int, bucket int, n double").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()
     seen, texts = np.ones((BUCKETS, domains)) * 0.5, np.zeros(domains)
     rest = rows["bucket"] >= 0
     seen[rows["bucket"][rest], rows["domain"][rest]] += rows["n"][rest]
@@ -119,7 +121,7 @@ def fit_domains(documents: DataFrame, targets: Targets, directory: str, vocabula
         for b in batches:
             yield pd.DataFrame({"domain": b["domain"], "scores": [_mean_likelihood(shared.value, counter.pieces(t)) for t in b["text"]]})
 
-    judged = held_out.repartition(16).mapInPandas(judge, "domain int, scores array<float>").toPandas()
+    judged = held_out.mapInPandas(judge, "domain int, scores array<float>").toPandas()
     if not len(judged):
         return likelihood * np.float32(0), prior
     scores, truth = np.stack(judged["scores"].to_numpy()).astype(float), judged["domain"].to_numpy()
