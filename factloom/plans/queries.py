@@ -481,12 +481,29 @@ def j2_r11_contradictions(spark, d):
     return similar.top_contradictions(similar.contradiction_pairs(facts(spark, d)))
 
 
-@query()
+def _greedy(pool: str, similarity: float) -> str:
+    """CTEs up to c (id, kind, cluster): first fit over pool (id, kind, ord, t), as similar.greedy_clusters."""
+    return f"""RECURSIVE {O.FACTS}, pool AS ({pool}), g AS (SELECT *, len(t) AS n FROM pool WHERE len(t) > 0),
+    e AS (SELECT CASE WHEN (a.ord, a.id) > (b.ord, b.id) THEN a.id ELSE b.id END AS x, CASE WHEN (a.ord, a.id) > (b.ord, b.id) THEN b.id ELSE a.id END AS y FROM g a JOIN g b ON a.kind = b.kind AND a.id < b.id WHERE {_OVERLAP} >= {similarity}),
+    reach(x, y) AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+    every AS (SELECT x, y FROM reach UNION SELECT y, y FROM e UNION SELECT x, x FROM e),
+    c AS (SELECT x AS id, arg_min(y, (f.ord, f.id)) AS cluster FROM every JOIN f ON f.id = every.y GROUP BY x)"""
+
+
+_SYNTHESIS_POOL = f"SELECT id, kind, ord, list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')), lambda w: len(w) > 2 AND w NOT IN {O.sql_in(V.SYNTHESIS_STOPWORDS)}) AS t FROM f WHERE status <> 'superseded' AND confidence >= {V.SYNTHESIS_CONFIDENCE}"
+_CONSOLIDATION_POOL = f"SELECT * FROM (SELECT id, kind, ord, list_distinct(regexp_extract_all(regexp_replace(lower(content), '(#\\d+|\\bpr[-\\s]?\\d+\\b|\\bn\\d+\\b)', ' ', 'gi'), '[a-z0-9]+')) AS t FROM f WHERE status = 'current' AND kind IN {O.sql_in(V.DURABLE_KINDS)}) WHERE len(t) >= 3"
+
+
+@query(f"WITH {_greedy(_SYNTHESIS_POOL, V.SYNTHESIS_SIMILARITY)} SELECT c.id, f.kind, cluster FROM c JOIN f ON f.id = c.id")
 def c2_synthesis_clusters(spark, d):
     return similar.synthesis_clusters(facts(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {_greedy(_CONSOLIDATION_POOL, V.CONSOLIDATION_SIMILARITY)}, m AS (SELECT c.id, f.kind, cluster, confidence, date_key FROM c JOIN f ON f.id = c.id),
+    b AS (SELECT cluster, arg_max(id, (confidence, date_key, id)) AS canonical FROM m GROUP BY cluster HAVING count(*) >= 2 AND count(DISTINCT date_key) >= 2)
+    SELECT id, kind, cluster, canonical FROM m JOIN b USING (cluster)"""
+)
 def c3_consolidation_clusters(spark, d):
     return similar.consolidation_clusters(facts(spark, d))
 
