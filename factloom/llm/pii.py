@@ -45,6 +45,15 @@ _NUMBER_FORMS = {
     "national": re.compile(r"[^\d\n]{0,24}?(?<![\w])([XYZ]?\d{7,8}[- ]?[A-Z])(?!\w)", re.IGNORECASE),
     "passport": re.compile(r"[^\d\n]{0,24}?(?<![\w])([A-Z]{1,2}\d{6,9})(?!\w)", re.IGNORECASE),
 }
+# The same numbers where they stand before their cue; the gap ends where the cue begins and holds no end of a sentence
+_NUMBERS_BEFORE = {
+    "social": re.compile(r"(?<![\w./+-])(\d{3}([- .]?)\d{2}\2\d{4})(?!\w)(?P<gap>[^\d\n.;!?]{0,24})\Z"),
+    "tax": re.compile(r"(?<![\w./+-])(\d{2} \d{3} \d{3} \d{3}|\d{2}-\d{7}|\d{3}-\d{2}-\d{4}|\d{9,11})(?!\w)(?P<gap>[^\d\n.;!?]{0,24})\Z"),
+    "national": re.compile(r"(?<![\w./+-])([XYZ]?\d{7,8}[- ]?[A-Z])(?!\w)(?P<gap>[^\d\n.;!?]{0,24})\Z", re.IGNORECASE),
+    "passport": re.compile(r"(?<![\w./+-])([A-Z]{1,2}\d{6,9})(?!\w)(?P<gap>[^\d\n.;!?]{0,24})\Z", re.IGNORECASE),
+}
+# What stands between a cue and a number of something else: the end of a clause or another cue
+_PARTED = re.compile(r"(?<!\bno)(?<!\bnr)[.,;!?](?=\s)|(?<!\w)(?:" + "|".join(map(re.escape, IDENTITY_CUES)) + r")(?!\w)", re.IGNORECASE)
 _PHONE_FORMS = [
     re.compile(r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"),
     re.compile(r"\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,5}(?:[ .\-/]?\d{2,8}){1,5}(?![\d])"),
@@ -118,8 +127,8 @@ class Scanner:
                 emails.append(span)
             if "street" in what:
                 streets += _street(text, start, end)
-            if "identity" in what and (span := _identity(text, low, start, end, word)):
-                identities.append(span)
+            if "identity" in what:
+                identities += _identity(text, low, start, end, word)
             if "phone" in what and (span := _phone(text, start)):
                 phones.append(span)
             if "call" in what and (span := _cued_phone(text, end)):
@@ -197,14 +206,20 @@ def _email(text: str, low: str, start: int, end: int, word: str) -> tuple[int, i
     return m.start(), stop
 
 
-def _identity(text: str, low: str, start: int, end: int, word: str) -> tuple[int, int] | None:
+def _identity(text: str, low: str, start: int, end: int, word: str) -> list[tuple[int, int]]:
+    """The number after the cue; also the one before it if none follows, or if it is the nearer one of the same sentence."""
     if start and (low[start - 1].isalnum() or low[start - 1] == "_"):
-        return None
+        return []
     kind = IDENTITY_CUES[word]
     if end < len(low) and low[end].isalpha() and word not in ("social security", "taxpayer", "tax no"):
-        return None
-    m = _NUMBER_FORMS[kind].match(text, end)
-    return m.span(1) if m else None
+        return []
+    after = _NUMBER_FORMS[kind].match(text, end)
+    out = [after.span(1)] if after else []
+    if before := _NUMBERS_BEFORE[kind].search(text, max(0, start - 40), start):
+        gap, other = before["gap"], text[end : after.start(1)] if after else ""
+        if not after or ("," not in gap and (len(gap) < len(other) or _PARTED.search(other))):
+            out.append(before.span(1))
+    return out
 
 
 def _phone(text: str, start: int) -> tuple[int, int] | None:

@@ -31,6 +31,9 @@ CASES = [
     ("M. Kiklosk and Zatrul B. Vaestaen-Fitrol and Élowen O'Tarrick and A. MacDigol", [("person", x) for x in ("M. Kiklosk", "Zatrul B. Vaestaen-Fitrol", "Élowen O'Tarrick", "A. MacDigol")]),
     ("Amber alert level 3, Reed-style lookup, Kiklosk said, reed kiklosks, amber.kiklosk@h.test", [("email", "amber.kiklosk@h.test")]),
     ('[{"text": "so\\nAmber Kiklosk\\n415-555-0102\\nxy@h.test"}]', [("person", "Amber Kiklosk"), ("phone", "415-555-0102"), ("email", "xy@h.test")]),
+    ("form still shows 973-16-5852 as the taxpayer, or 938-27-8311 (SSN)\n99175384H is the DNI; X98966302, passport", [("identity", x) for x in ("973-16-5852", "938-27-8311", "99175384H", "X98966302")]),
+    ("973-16-5852 as the taxpayer. Tax ID 12-3456789; 974-16-5853 for the taxpayer, tax id 98-7654321", [("identity", x) for x in ("973-16-5852", "12-3456789", "974-16-5853", "98-7654321")]),
+    ("order 12-3456788, tax id 98-7654321; commit b199395824. Passport X98966302, 10-3456789\ntaxpayer", [("identity", "98-7654321"), ("identity", "X98966302")]),
     ("", []),
     ("ſİK amber kiklosk", [("person", "amber kiklosk")]),
 ]
