@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.operators.numbering import numbered
 
 
 def first_by(rows: DataFrame, keys: list, order: list) -> DataFrame:
@@ -28,14 +29,27 @@ def merge_new(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def keyed_union(live: DataFrame, recent: DataFrame) -> DataFrame:
-    """U3s: one row per id (or content hash); the recent side wins, the place is that of the first occurrence."""
-    both = live.withColumn("_side", F.lit(0)).unionByName(recent.withColumn("_side", F.lit(1)))
+    """U3s: one row per id (or content hash); the recent side wins, the place is that of the first occurrence.
+
+    Columns that only one side has are null on the other.
+    """
+    both = live.withColumn("_side", F.lit(0)).unionByName(recent.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     key = F.coalesce("id", F.sha2(F.coalesce("content", F.lit("")), 256))
-    names = live.columns
+    names = [c for c in both.columns if c != "_side"]
     merged = both.groupBy(key.alias("_key")).agg(F.max_by(F.struct(*names), F.struct("_side", "ord")).alias("_r"), F.min(F.struct("_side", "ord")).alias("_at"))
     return merged.select("_r.*", "_at").withColumn("place", F.struct("_at._side", "_at.ord")).drop("_at")
 
 
+def merged_store(live: DataFrame, recent: DataFrame, order: list) -> DataFrame:
+    """U3s for a store: a live id keeps its ord, new ones are numbered on from the greatest in the given order."""
+    if "ord" not in live.columns:
+        live = numbered(live, [F.col("id")], "ord")
+    last = live.agg(F.coalesce(F.max("ord").cast("long"), F.lit(0)).alias("_last"))
+    fresh = numbered(recent, order, "_nth").crossJoin(F.broadcast(last)).withColumn("ord", F.col("_last") + F.col("_nth")).drop("_last", "_nth")
+    merged = keyed_union(live.withColumn("ord", F.col("ord").cast("long")), fresh)
+    return merged.withColumn("ord", F.coalesce("place.ord", "ord")).drop("place")
+
+
 def new_proposals(candidates: DataFrame, live: DataFrame, queued: DataFrame) -> DataFrame:
     """U4s: candidates whose id is neither live nor queued, each once."""
     fresh = candidates.join(live.select("id"), "id", "left_anti").join(queued.select("id"), "id", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.functions import values as V
-from factloom.operators import graph, ingest, rank, similar, store_view
+from factloom.operators import graph, ingest, rank, setops, similar, store_view
 from factloom.sources.store import FactStore
 
 
@@ -46,16 +46,12 @@ class RecallEngine:
 def rebuild(store: FactStore, lines: DataFrame, min_share: float = 0.5) -> dict:
     """C11: session lines to events to facts, merged into a store behind gates; returns what it did.
 
-    Refuses a result without facts or much smaller than the store. Duplicates of the new store are reported, not applied.
+    The newly made row of an id wins; every other fact stays with all its columns. Refuses a result without facts or much smaller than the store. Duplicates of the new store are reported, not applied.
     """
-    made = ingest.facts_from_events(ingest.sanitised(lines)).withColumns({"status": F.lit("current"), "evidence": F.array("evidence"), "ord": F.lit(0)})
+    made = ingest.facts_from_events(ingest.sanitised(lines)).withColumns({"status": F.lit("current"), "evidence": F.array("evidence")})
     live = store.load()
     before = live.count()
-    if before:
-        shared = [c for c in live.columns if c in made.columns]
-        merged = live.select(*shared).unionByName(made.select(*shared).join(live.select("id"), "id", "left_anti"))
-    else:
-        merged = made
+    merged = setops.merged_store(live, made, [F.col("source_date"), F.col("id")])
     after = merged.count()
     if not after or after < min_share * before:
         return {"promoted": False, "before": before, "after": after}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factloom.operators import ingest
-from factloom.operators.setops import keyed_union
+from factloom.operators.setops import merged_store
 from factloom.sources.store import FactStore
 
 
@@ -61,14 +61,16 @@ def denials(events: DataFrame) -> DataFrame:
 
 
 def upsert(store: FactStore):
-    """A foreachBatch function that merges each batch of facts into a store; the newer row of an id wins."""
+    """A foreachBatch function that merges each batch of facts into a store; the newer row of an id wins.
+
+    Columns that only the store or only the batch has stay; new ids are numbered on from the store's greatest ord.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         live = store.load()
         if not live.columns or not store.data.exists():
             store.replace_all(batch)
             return
-        shared = [c for c in live.columns if c in batch.columns]
-        store.replace_all(keyed_union(live.select(*shared), batch.select(*shared)).drop("place"))
+        store.replace_all(merged_store(live, batch, [F.col("ord"), F.col("id")] if "ord" in batch.columns else [F.col("id")]))
 
     return write

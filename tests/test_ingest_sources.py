@@ -123,6 +123,23 @@ def test_engine_and_rebuild(spark, transcript, tmp_path, make_facts):
     assert e.existence("kernel").first().verdict == "exists" and e.briefing("kernel").count() == 1
 
 
+@pytest.mark.parametrize("kind", [store.FactStore, store.ParquetStore])
+def test_rebuild_keeps_old_facts_whole(spark, transcript, tmp_path, make_facts, kind):
+    lines = jsonl.session_lines(jsonl.read_lines(spark, transcript)).filter("not malformed")
+    made = ingest.facts_from_events(ingest.sanitised(lines)).first()
+    old = {"id": "old", "content": "x", "status": "superseded", "source": "me", "source_file": "f.md", "machine": "m", "valid_at": "2026-01-01", "invalid_at": "2026-02-01", "superseded_by": "b", "superseded_at": "2026-02-01"}
+    old |= {"supersession_reason": "newer", "deprecated": True, "trust": "high", "extra": "{}", "evidence": [("e", "p", 3)], "pr_numbers": [5]}
+    s = kind(spark, str(tmp_path / "store"))
+    s.replace_all(make_facts(old, {"id": made.id, "content": "stale", "kind": "bug", "ord": 4}, {"id": "other", "ord": 7}))
+    assert rebuild(s, lines)["after"] == 3
+    got = {r.id: r.asDict(recursive=True) for r in s.load().collect()}
+    assert {k: got["old"][k] for k in old if k not in ("evidence", "pr_numbers")} == {k: v for k, v in old.items() if k not in ("evidence", "pr_numbers")}
+    assert got["old"]["evidence"] == [{"event_id": "e", "path": "p", "line": 3}] and [int(n) for n in got["old"]["pr_numbers"]] == [5]
+    assert (got[made.id]["content"], got[made.id]["kind"], got[made.id]["ord"]) == (made.content, "decision", 4) and got[made.id]["evidence"][0]["line"] == made.evidence.line
+    s.replace_all(make_facts(old, {"id": "other", "ord": 7}))
+    assert rebuild(s, lines)["after"] == 3 and {r.id: r.ord for r in s.load().collect()} == {"old": 0, "other": 7, made.id: 8}
+
+
 def test_store_view_takes_latest_row(make_facts):
     f = make_facts({"id": "a", "content": "x", "kind": " Bug ", "status": None, "source": " "}, {"id": "a", "content": "x", "kind": "bug", "status": "SUPERSEDED ", "source": "me"})
     row = store_view.tidy(f).first()

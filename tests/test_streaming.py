@@ -24,3 +24,11 @@ def test_stream_denials_windows_and_upsert(spark, transcript, tmp_path, make_fac
     write(rows, 0)
     write(rows.filter("id = 'a'").withColumn("content", F.lit("new")), 1)
     assert {r.id: r.content for r in store.load().collect()} == {"a": "new", "b": "y"}
+
+
+def test_upsert_keeps_columns_of_both_sides(spark, tmp_path, make_facts):
+    store = ParquetStore(spark, str(tmp_path / "s"))
+    write = streaming.upsert(store)
+    write(make_facts({"id": "a", "content": "x", "trust": "high"}, {"id": "b", "content": "y", "superseded_by": "a"}), 0)
+    write(make_facts({"id": "c", "content": "z"}, {"id": "a", "content": "new"}).select("id", "ord", "content").withColumn("seen", F.lit(1)), 1)
+    assert {r.id: (r.ord, r.content, r.superseded_by, r.seen) for r in store.load().collect()} == {"a": (0, "new", None, 1), "b": (1, "y", "a", None), "c": (2, "z", None, 1)}
