@@ -2,7 +2,8 @@
 
 Vectors are scaled to length 1 and rounded to 16 bits a component (similarities carry an error of
 about 1e-5). ``ORDERINGS`` times they are projected with another rotation, shifted and sorted along a
-Hilbert curve; Spark range-partitions the keys of all orderings at once, and within the sorted
+Hilbert curve (a second key orders what shares a coarse cell, so a dense cell is neither one task's nor
+in arbitrary order); Spark range-partitions the keys of all orderings at once, and within the sorted
 stream every vector is compared with those of its own block of ``BLOCK`` and of both blocks beside it.
 The best of each window are merged over the orderings and re-ranked.
 
@@ -22,11 +23,14 @@ from pyspark.sql import functions as F
 
 from factloom.session import cut
 
-K, ORDERINGS, BLOCK, DIMENSIONS, BITS, SEED, SALTS = 5, 8, 1024, 12, 5, 20250, 16
+K, ORDERINGS, BLOCK, DIMENSIONS, BITS, FINE, SEED, SALTS = 5, 8, 1024, 12, 5, 5, 20250, 16
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Places along the Hilbert curve of integer points (rows of ``cells``, ``bits`` bits a coordinate)."""
+def hilbert_keys(cells: np.ndarray, bits: int, fine: int = 0) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+    """Places along the Hilbert curve of integer points (rows of ``cells``, ``bits`` bits a coordinate).
+
+    With ``fine``, the place of the coarse cell (all but the last ``fine`` bits) and the place within it.
+    """
     axes = [c.astype(np.uint32) for c in cells.T]
     one = np.uint32(1)
     top = np.uint32(1 << (bits - 1))
@@ -47,11 +51,15 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     while q > 1:
         flip = np.where((axes[-1] & q) != 0, flip ^ np.uint32(q - 1), flip)
         q = np.uint32(q >> 1)
-    key = np.zeros(len(cells), np.uint64)
-    for b in range(bits - 1, -1, -1):
-        for a in axes:
-            key = (key << np.uint64(1)) | (((a ^ flip) >> np.uint32(b)) & one).astype(np.uint64)
-    return key.astype(np.int64)
+
+    def key(high: int, low: int) -> np.ndarray:
+        out = np.zeros(len(cells), np.uint64)
+        for b in range(high - 1, low - 1, -1):
+            for a in axes:
+                out = (out << np.uint64(1)) | (((a ^ flip) >> np.uint32(b)) & one).astype(np.uint64)
+        return out.astype(np.int64)
+
+    return (key(bits, fine), key(fine, 0)) if fine else key(bits, 0)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -92,15 +100,15 @@ def _orderings(width: int, orderings: int):
     rng = np.random.default_rng(SEED)
     turns = [np.linalg.qr(rng.standard_normal((width, width)))[0][:, : min(DIMENSIONS, width)] for _ in range(orderings)]
     shifts = rng.random((orderings, min(DIMENSIONS, width)))
-    cells, spread = 1 << BITS, 3 / np.sqrt(width)
+    cells, spread = 1 << (BITS + FINE), 3 / np.sqrt(width)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _unit(_matrix(b.column(1), width))
             for m, (turn, shift) in enumerate(zip(turns, shifts)):
                 at = ((x @ turn) / spread + 1) / 2 + (shift - 0.5) / 4
-                keys = hilbert_keys(np.clip(at * cells, 0, cells - 1).astype(np.uint32), BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), m, np.int32)), pa.array(keys), b.column(0), b.column(1)], ["m", "place", "cls", "payload"])
+                coarse, fine = hilbert_keys(np.clip(at * cells, 0, cells - 1).astype(np.uint32), BITS + FINE, FINE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), m, np.int32)), pa.array(coarse), pa.array(fine), b.column(0), b.column(1)], ["m", "place", "within", "cls", "payload"])
 
     return place
 
@@ -176,8 +184,8 @@ def _windows(width: int, k: int, block: int, min_score: float):
 
 def class_neighbours(classes: DataFrame, width: int, k: int = K, orderings: int = ORDERINGS, block: int = BLOCK, min_score: float = -1.0) -> DataFrame:
     """(cls, near: array of (score, cls) best first): up to k similar classes of (cls, payload), none below ``min_score``."""
-    placed = classes.select("cls", "payload").mapInArrow(_orderings(width, orderings), "m int, place long, cls long, payload binary")
-    sorted_keys = placed.repartitionByRange("m", "place").sortWithinPartitions("m", "place").select("m", "cls", "payload")
+    placed = classes.select("cls", "payload").mapInArrow(_orderings(width, orderings), "m int, place long, within long, cls long, payload binary")
+    sorted_keys = placed.repartitionByRange("m", "place", "within").sortWithinPartitions("m", "place", "within").select("m", "cls", "payload")
     windows = sorted_keys.mapInArrow(_windows(width, k, block, min_score), "cls long, near array<long>, score array<float>")
     lists = windows.groupBy("cls").agg(F.flatten(F.collect_list(F.arrays_zip("score", "near"))).alias("all"))
     best = F.transform(

@@ -25,6 +25,22 @@ def test_hilbert_keys_are_a_curve():
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_fine_keys_refine_the_curve():
+    cells = np.random.default_rng(5).integers(0, 1 << 10, (500, 6))
+    coarse, fine = neighbours.hilbert_keys(cells, 10, 5)
+    whole = [int(c) << 30 | int(f) for c, f in zip(coarse, fine)]
+    assert (coarse == neighbours.hilbert_keys(cells >> 5, 5)).all() and (np.argsort(whole) == np.argsort(neighbours.hilbert_keys(cells, 10))).all()
+
+
+def test_recall_within_one_coarse_cell(spark):
+    rng = np.random.default_rng(4)
+    groups = rng.standard_normal(64) / 8 + 0.0005 * rng.standard_normal((400, 64))
+    x = np.repeat(groups, 6, axis=0) + 0.0001 * rng.standard_normal((2400, 64))
+    ids = [f"f{i:05}" for i in range(len(x))]
+    got = {(r.id, r.near_id) for r in neighbours.nearest(frame(spark, [(i, "m", v.tolist()) for i, v in zip(ids, x)]), "fact_id", 64, block=64).collect()}
+    assert len(got & brute(ids, x)) >= 0.9 * len(brute(ids, x))
+
+
 def test_recall_against_brute_force(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((300, 64))
