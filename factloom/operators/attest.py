@@ -91,18 +91,22 @@ def sign(facts: DataFrame, key: bytes, key_id: str, signed_at: str) -> DataFrame
 
 
 def verify(facts: DataFrame, envelopes: DataFrame, key: bytes) -> DataFrame:
-    """V2: (id, verdict): unsigned, tampered (hash, algorithm or signature differ) or valid."""
+    """V2: (id, verdict): unsigned, tampered (hash, algorithm or signature differ), parent-suspect or valid.
+
+    Where a fact's own hashes hold and only the signature fails, its parents have changed, if it names any.
+    """
     own = hashed(facts).select("id", F.col("fact_hash").alias("now_fact"), F.col("source_hash").alias("now_source"), "parents")
     both = own.join(envelopes.withColumnRenamed("fact_id", "id"), "id", "left").withColumn("expected", _signer(key)("now_fact", "now_source", "parents"))
-    good = (F.col("now_fact") == F.col("fact_hash")) & (F.col("now_source") == F.col("source_hash")) & (F.col("alg") == "hmac-sha256") & (F.col("expected") == F.col("signature"))
-    return both.select("id", F.when(F.col("signature").isNull(), "unsigned").when(F.coalesce(good, F.lit(False)), "valid").otherwise("tampered").alias("verdict"))
+    own_holds = F.coalesce((F.col("now_fact") == F.col("fact_hash")) & (F.col("now_source") == F.col("source_hash")) & (F.col("alg") == "hmac-sha256"), F.lit(False))
+    verdict = F.when(F.col("signature").isNull(), "unsigned").when(~own_holds, "tampered").when(F.col("expected") == F.col("signature"), "valid").when(F.size("parents") > 0, "parent-suspect")
+    return both.select("id", verdict.otherwise("tampered").alias("verdict"))
 
 
 def recallable(facts: DataFrame, verdicts: DataFrame | None, strict: bool = False) -> DataFrame:
-    """V1: drops tampered facts, under ``strict`` unsigned ones too; without verdicts everything passes."""
+    """V1: drops tampered facts, under ``strict`` unsigned and parent-suspect ones too; without verdicts everything passes."""
     if verdicts is None:
         return facts
-    bad = ["tampered", "unsigned"] if strict else ["tampered"]
+    bad = ["tampered", "unsigned", "parent-suspect"] if strict else ["tampered"]
     return facts.join(verdicts.filter(F.col("verdict").isin(bad)).select("id"), "id", "left_anti")
 
 

@@ -65,6 +65,16 @@ def test_parents_and_chain(make_facts, spark):
     assert [r.seq for r in attest.chain_breaks(b).collect()] == [3]
 
 
+def test_changed_parent_makes_its_child_suspect(make_facts):
+    f = make_facts(fact("a", "one"), fact("b", "two"), fact("c", "three")).withColumn("parent_fact_ids", F.when(F.col("id") == "b", F.array(F.lit("a"))))
+    signed = attest.sign(f, b"k", "k1", "now")
+    assert {r.verdict for r in attest.verify(f, signed, b"k").collect()} == {"valid"}
+    bent = f.withColumn("content", F.when(F.col("id") == "a", "uno").otherwise(F.col("content")))
+    verdicts = attest.verify(bent, signed, b"k")
+    assert {r.id: r.verdict for r in verdicts.collect()} == {"a": "tampered", "b": "parent-suspect", "c": "valid"}
+    assert [sorted(r.id for r in attest.recallable(f, verdicts, strict).collect()) for strict in (False, True)] == [["b", "c"], ["c"]]
+
+
 def test_contract_json():
     assert attest.contract_text({"b": 1.0, "a": [-0.0, 2.5, None, True]}) == '{"a":[0,2.5,null,true],"b":1}'
     with pytest.raises(ValueError):
