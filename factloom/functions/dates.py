@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.text import stripped
+
 #: yyyy-MM-dd, then optionally a time with seconds, fraction and offset
 ISO_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|z|UTC|[+-]\d{2}(:?\d{2})?)?)?$"
 
@@ -14,11 +16,12 @@ def instant(text: Column) -> Column:
 
     Needs the session time zone UTC, as all of this library.
     """
-    tidy = F.regexp_replace(F.trim(text), ",", ".")
+    bare = stripped(text)
+    tidy = F.regexp_replace(bare, ",", ".")
     tidy = F.regexp_replace(tidy, r"\s*(?:z|UTC)$", "Z")
     tidy = F.regexp_replace(tidy, r"([T ]\d{2}:\d{2}\S*?)\s*([+-]\d{2})(\d{2})$", "$1$2:$3")
     tidy = F.regexp_replace(tidy, r"([T ]\d{2}:\d{2}\S*?)\s+([+-]\d{2}:\d{2})$", "$1$2")
-    return F.when(F.trim(text).rlike(ISO_PATTERN), tidy.try_cast("timestamp"))
+    return F.when(bare.rlike(ISO_PATTERN), tidy.try_cast("timestamp"))
 
 
 def utc_text(ts: Column) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from factloom.functions import values as V
 from factloom.functions.dates import instant
+from factloom.functions.text import stripped
 
 
 def parse_day(text: Column) -> Column:
     """An ISO time or, failing that, the date its first ten characters spell; else null."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = stripped(F.coalesce(text, F.lit("")))
     day = F.substring(t, 1, 10)
     return F.coalesce(instant(t), F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("timestamp")))
 
@@ -28,7 +29,7 @@ def supersession(deprecated: Column, status: Column, superseded_by: Column) -> C
     """N10."""
     return (
         F.when(F.coalesce(deprecated, F.lit(False)), 0.4)
-        .when((status == "current") & (F.length(F.coalesce(F.trim(superseded_by), F.lit(""))) > 0), 0.6)
+        .when((status == "current") & (F.length(F.coalesce(stripped(superseded_by), F.lit(""))) > 0), 0.6)
         .otherwise(1.0)
     )
 

@@ -12,6 +12,11 @@ def strings(items: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in items]) if items else F.array().cast("array<string>")
 
 
+def stripped(text: Column | str) -> Column:
+    """The text without white space of any kind (line ends, tabs, no-break spaces too) at its ends; null stays null."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -12,7 +12,7 @@ from factloom.operators.store_view import live
 
 
 def session_of(facts: DataFrame) -> Column:
-    tidy = F.trim(F.coalesce("session", F.lit("")))
+    tidy = text.stripped(F.coalesce("session", F.lit("")))
     return F.when(tidy == "", "unknown").otherwise(tidy)
 
 
@@ -26,7 +26,7 @@ def graph_nodes(facts: DataFrame) -> DataFrame:
     parts = [
         facts.select(F.concat(F.lit("fact:"), "id").alias("id"), F.lit("fact").alias("type"), F.substring("content", 1, 80).alias("label")),
         facts.select(F.concat(F.lit("session:"), session_of(facts)).alias("id"), F.lit("session").alias("type"), session_of(facts).alias("label")),
-        facts.filter(F.length(F.trim("source_file")) > 0).select(F.concat(F.lit("source:"), "source_file").alias("id"), F.lit("source").alias("type"), F.col("source_file").alias("label")),
+        facts.filter(F.length(text.stripped("source_file")) > 0).select(F.concat(F.lit("source:"), "source_file").alias("id"), F.lit("source").alias("type"), F.col("source_file").alias("label")),
         mentions(facts).select(F.concat(F.lit("concept:"), "concept").alias("id"), F.lit("concept").alias("type"), F.col("concept").alias("label")),
     ]
     rows = parts[0]
@@ -38,7 +38,7 @@ def graph_nodes(facts: DataFrame) -> DataFrame:
 def graph_edges(facts: DataFrame) -> DataFrame:
     """Distinct (source, target, type): fact DERIVED_FROM source, session SUPPORTS fact, fact MENTIONS concept."""
     fact = F.concat(F.lit("fact:"), "id")
-    derived = facts.filter(F.length(F.trim("source_file")) > 0).select(fact.alias("source"), F.concat(F.lit("source:"), "source_file").alias("target"), F.lit("DERIVED_FROM").alias("type"))
+    derived = facts.filter(F.length(text.stripped("source_file")) > 0).select(fact.alias("source"), F.concat(F.lit("source:"), "source_file").alias("target"), F.lit("DERIVED_FROM").alias("type"))
     supports = facts.select(F.concat(F.lit("session:"), session_of(facts)).alias("source"), fact.alias("target"), F.lit("SUPPORTS").alias("type"))
     mention = mentions(facts).select(fact.alias("source"), F.concat(F.lit("concept:"), "concept").alias("target"), F.lit("MENTIONS").alias("type"))
     return derived.unionAll(supports).unionAll(mention).distinct()

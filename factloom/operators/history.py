@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.dates import instant, utc_text
+from factloom.functions.text import stripped
 
 
 def last_loaded(snapshots: DataFrame, keys: list[str], loaded: str, values: list[str]) -> DataFrame:
@@ -53,9 +54,9 @@ def fact_states(snapshots: DataFrame) -> DataFrame:
     def as_text(name: str) -> Column:
         return F.unix_micros(instant(F.col(name))).cast("string").alias(name)
 
-    status = F.lower(F.trim("status"))
+    status = F.lower(stripped("status"))
     tidy = snapshots.filter(F.col("snapshot_at").isNotNull() & F.col("fact_id").isNotNull()).select(
-        F.lower(F.trim("fact_id")).alias("id"),
+        F.lower(stripped("fact_id")).alias("id"),
         "snapshot_at",
         "loaded_at",
         F.when(status.isNull() | (status == ""), "current").otherwise(status).alias("status"),

@@ -103,4 +103,4 @@ def fill_source(facts: DataFrame, source: str) -> DataFrame:
     """Stamps an owner where it is missing or blank; running it again changes nothing."""
     if not source.strip():
         raise ValueError("a source is needed")
-    return facts.withColumn("source", F.when(F.trim(F.coalesce("source", F.lit(""))) == "", source).otherwise(F.col("source")))
+    return facts.withColumn("source", F.when(text.stripped(F.coalesce("source", F.lit(""))) == "", source).otherwise(F.col("source")))

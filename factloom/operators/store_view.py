@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import scoring
+from factloom.functions.text import stripped
 from factloom.functions import values as V
 from factloom.functions.dates import instant
 
@@ -28,7 +29,7 @@ def latest(facts: DataFrame) -> DataFrame:
 
 def owner(source: Column) -> Column:
     """the owner of a fact; a missing or blank source is the shared one."""
-    tidy = F.trim(F.coalesce(source, F.lit("")))
+    tidy = stripped(F.coalesce(source, F.lit("")))
     return F.when(tidy == "", V.SHARED_SOURCE).otherwise(tidy)
 
 
@@ -38,11 +39,11 @@ def tidy(facts: DataFrame) -> DataFrame:
     A missing status is ``current``, missing confidence 0, missing content empty. ``day`` is the instant
     of source_date or null, ``date_key`` its text or ``unknown``.
     """
-    status = F.lower(F.trim(F.coalesce("status", F.lit(""))))
-    key = F.trim(F.coalesce("source_date", F.lit("")))
+    status = F.lower(stripped(F.coalesce("status", F.lit(""))))
+    key = stripped(F.coalesce("source_date", F.lit("")))
     return (
         latest(facts)
-        .withColumn("kind", F.lower(F.trim(F.coalesce("kind", F.lit("")))))
+        .withColumn("kind", F.lower(stripped(F.coalesce("kind", F.lit("")))))
         .withColumn("status", F.when(status == "", "current").otherwise(status))
         .withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
         .withColumn("content", F.coalesce("content", F.lit("")))

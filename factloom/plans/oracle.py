@@ -21,6 +21,11 @@ def matches(column: str, patterns: list[str], flags: str = "i") -> str:
     return "(" + " OR ".join(f"regexp_matches({column}, {quoted(p)}, '{flags}')" for p in patterns) + ")"
 
 
+def strip(x: str) -> str:
+    """A text without white space of any kind at its ends."""
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|z|UTC|[+-]\d{2}(:?\d{2})?)?)?$"
 OFFSET = r"[T ]\d{2}:\d{2}.*(Z|z|UTC|[+-]\d{2}(:?\d{2})?)$"
 
@@ -28,17 +33,17 @@ OFFSET = r"[T ]\d{2}:\d{2}.*(Z|z|UTC|[+-]\d{2}(:?\d{2})?)$"
 def instant(x: str) -> str:
     """Microseconds since 1970 of an ISO text, null for other text."""
     return (
-        f"CASE WHEN regexp_matches(trim({x}), {quoted(ISO)}) THEN CASE WHEN regexp_matches(trim({x}), {quoted(OFFSET)}) "
-        f"THEN epoch_us(try_cast(trim({x}) AS TIMESTAMPTZ)) ELSE epoch_us(try_cast(trim({x}) AS TIMESTAMP)) END END"
+        f"CASE WHEN regexp_matches({strip(x)}, {quoted(ISO)}) THEN CASE WHEN regexp_matches({strip(x)}, {quoted(OFFSET)}) "
+        f"THEN epoch_us(try_cast({strip(x)} AS TIMESTAMPTZ)) ELSE epoch_us(try_cast({strip(x)} AS TIMESTAMP)) END END"
     )
 
 
 #: Tidied facts, one row per id, as operators.store_view.tidy
 FACTS = f"""
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_seen_at DESC NULLS LAST, ord DESC) AS rn FROM facts WHERE id IS NOT NULL),
-    f AS (SELECT ord, id, lower(trim(coalesce(kind, ''))) AS kind, coalesce(nullif(lower(trim(status)), ''), 'current') AS status, coalesce(confidence, 0) AS confidence,
-        coalesce(content, '') AS content, coalesce(nullif(trim(source), ''), 'shared') AS source, source_date, coalesce(nullif(trim(source_date), ''), 'unknown') AS date_key,
-        coalesce({instant("source_date")}, CASE WHEN regexp_matches(substr(trim(source_date), 1, 10), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN epoch_us(try_cast(substr(trim(source_date), 1, 10) AS TIMESTAMP)) END) AS day,
+    f AS (SELECT ord, id, lower({strip("coalesce(kind, '')")}) AS kind, coalesce(nullif(lower({strip('status')}), ''), 'current') AS status, coalesce(confidence, 0) AS confidence,
+        coalesce(content, '') AS content, coalesce(nullif({strip('source')}, ''), 'shared') AS source, source_date, coalesce(nullif({strip('source_date')}, ''), 'unknown') AS date_key,
+        coalesce({instant("source_date")}, CASE WHEN regexp_matches(substr({strip('source_date')}, 1, 10), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN epoch_us(try_cast(substr({strip('source_date')}, 1, 10) AS TIMESTAMP)) END) AS day,
         {instant("valid_at")} AS valid_from, {instant("invalid_at")} AS valid_to, superseded_by, superseded_at, deprecated, trust, session, source_file, evidence, last_seen_at
         FROM r WHERE rn = 1)"""
 
@@ -65,7 +70,7 @@ def recency(now: str) -> str:
     return f"CASE WHEN day IS NULL OR {days} <= 0 THEN 1.0 ELSE greatest({V.MIN_RECENCY}, pow(0.5::DOUBLE, {days} / (CASE kind {lives} ELSE {V.DEFAULT_HALF_LIFE} END))) END"
 
 
-SUPERSESSION = "CASE WHEN coalesce(deprecated, false) THEN 0.4 WHEN status = 'current' AND len(coalesce(trim(superseded_by), '')) > 0 THEN 0.6 ELSE 1.0 END"
+SUPERSESSION = f"CASE WHEN coalesce(deprecated, false) THEN 0.4 WHEN status = 'current' AND len(coalesce({strip('superseded_by')}, '')) > 0 THEN 0.6 ELSE 1.0 END"
 TRUST = "CASE WHEN lower(coalesce(trust, '')) IN ('untrusted', 'external') THEN 0.5 ELSE 1.0 END"
 
 

@@ -303,10 +303,10 @@ def u10s_hash_difference(spark, d):
     return setops.hash_difference(a, b, "h")
 
 
-@query("SELECT coalesce(nullif(trim(source), ''), 'desk') AS source, count(*) AS n FROM facts GROUP BY 1")
+@query(f"SELECT coalesce(nullif({O.strip('source')}, ''), 'desk') AS source, count(*) AS n FROM facts GROUP BY 1")
 def p14_filled_source(spark, d):
     # the fill keeps what is there as it is; the count goes by the trimmed owner
-    return setops.fill_source(table(spark, d, "facts"), "desk").groupBy(F.trim("source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return setops.fill_source(table(spark, d, "facts"), "desk").groupBy(text.stripped("source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- aggregates and reports -----------------------------------------------------------------------
@@ -372,7 +372,7 @@ def a17_fuzz_queries(spark, d):
 
 
 @query(
-    f"""WITH {O.FACTS}, r0 AS (SELECT id, ord, date_key, coalesce(nullif(trim(session), ''), 'unknown') AS s FROM f), g AS (SELECT * FROM r0 WHERE id LIKE 'a%'),
+    f"""WITH {O.FACTS}, r0 AS (SELECT id, ord, date_key, coalesce(nullif({O.strip('session')}, ''), 'unknown') AS s FROM f), g AS (SELECT * FROM r0 WHERE id LIKE 'a%'),
     b AS (SELECT * FROM r0 WHERE s IN (SELECT s FROM g) AND id NOT IN (SELECT id FROM g)),
     x AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY ord) AS n FROM r0 WHERE date_key IN (SELECT date_key FROM g) AND id NOT IN (SELECT id FROM g) AND id NOT IN (SELECT id FROM b))
     SELECT id, 'gold' AS why FROM g UNION ALL SELECT id, 'sibling' FROM b UNION ALL SELECT id, 'distractor' FROM x WHERE n <= 3"""
@@ -537,17 +537,17 @@ def u8s_uncovered(spark, d):
 
 # --- graph and vectors ----------------------------------------------------------------------------
 
-_SESSION = "coalesce(nullif(trim(session), ''), 'unknown')"
+_SESSION = f"coalesce(nullif({O.strip('session')}, ''), 'unknown')"
 _CONCEPT_LIST = O.distinct_in_order("regexp_extract_all(lower(content), '[a-z0-9]{4,}')", "x NOT IN " + O.sql_in(V.CONCEPT_STOPWORDS), V.CONCEPTS_PER_FACT)
 _MENTIONS = f"mm AS (SELECT id, unnest(string_split({_CONCEPT_LIST}, ' ')) AS concept FROM f), me AS (SELECT * FROM mm WHERE concept <> '')"
 
 
-@query(f"WITH {O.FACTS}, {_MENTIONS} SELECT DISTINCT * FROM (SELECT 'fact:' || id AS source, 'source:' || source_file AS target, 'DERIVED_FROM' AS type FROM f WHERE len(trim(source_file)) > 0 UNION ALL SELECT 'session:' || {_SESSION}, 'fact:' || id, 'SUPPORTS' FROM f UNION ALL SELECT 'fact:' || id, 'concept:' || concept, 'MENTIONS' FROM me)")
+@query(f"WITH {O.FACTS}, {_MENTIONS} SELECT DISTINCT * FROM (SELECT 'fact:' || id AS source, 'source:' || source_file AS target, 'DERIVED_FROM' AS type FROM f WHERE len({O.strip('source_file')}) > 0 UNION ALL SELECT 'session:' || {_SESSION}, 'fact:' || id, 'SUPPORTS' FROM f UNION ALL SELECT 'fact:' || id, 'concept:' || concept, 'MENTIONS' FROM me)")
 def x1_graph_edges(spark, d):
     return graph.graph_edges(facts(spark, d))
 
 
-@query(f"WITH {O.FACTS}, {_MENTIONS} SELECT id, type, max(label) AS label FROM (SELECT 'fact:' || id AS id, 'fact' AS type, substr(content, 1, 80) AS label FROM f UNION ALL SELECT 'session:' || {_SESSION}, 'session', {_SESSION} FROM f UNION ALL SELECT 'source:' || source_file, 'source', source_file FROM f WHERE len(trim(source_file)) > 0 UNION ALL SELECT 'concept:' || concept, 'concept', concept FROM me) GROUP BY id, type")
+@query(f"WITH {O.FACTS}, {_MENTIONS} SELECT id, type, max(label) AS label FROM (SELECT 'fact:' || id AS id, 'fact' AS type, substr(content, 1, 80) AS label FROM f UNION ALL SELECT 'session:' || {_SESSION}, 'session', {_SESSION} FROM f UNION ALL SELECT 'source:' || source_file, 'source', source_file FROM f WHERE len({O.strip('source_file')}) > 0 UNION ALL SELECT 'concept:' || concept, 'concept', concept FROM me) GROUP BY id, type")
 def x1_graph_nodes(spark, d):
     return graph.graph_nodes(facts(spark, d))
 
@@ -648,7 +648,7 @@ def x2_vault_notes(spark, d):
 
 
 _P3 = f"""
-    t AS (SELECT lower(trim(fact_id)) AS id, epoch_us(snapshot_at) AS moment, epoch_us(loaded_at) AS loaded, coalesce(nullif(lower(trim(status)), ''), 'current') AS status,
+    t AS (SELECT lower({O.strip('fact_id')}) AS id, epoch_us(snapshot_at) AS moment, epoch_us(loaded_at) AS loaded, coalesce(nullif(lower({O.strip('status')}), ''), 'current') AS status,
         {O.instant('valid_at')} AS v, {O.instant('invalid_at')} AS i, {O.instant('superseded_at')} AS s FROM fact_snapshots WHERE snapshot_at IS NOT NULL AND fact_id IS NOT NULL),
     h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, moment ORDER BY loaded DESC NULLS LAST, status DESC, v::VARCHAR DESC NULLS LAST, i::VARCHAR DESC NULLS LAST, s::VARCHAR DESC NULLS LAST) AS n FROM t) WHERE n = 1),
     k AS (SELECT id, moment, CASE WHEN status = 'purged' THEN 'purged' ELSE concat_ws('|', status, coalesce(v::VARCHAR, '-'), coalesce(i::VARCHAR, '-'), coalesce(s::VARCHAR, '-')) END AS state FROM h),
