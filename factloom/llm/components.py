@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import stripped
 from factloom.session import cut
 
 
@@ -60,9 +61,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def supersession_links(facts: DataFrame) -> DataFrame:
     """Links (u, v) between the ids of facts and what they name in superseded_by, if that is an id too.
 
-    Both are trimmed and lower-cased. Every row of a fact counts; null or blank ends make no link.
+    Both are stripped of white space of any kind and lower-cased. Every row of a fact counts; null or blank ends make no link.
     """
-    tidy = facts.select(F.lower(F.trim("id")).alias("u"), F.lower(F.trim("superseded_by")).alias("v"))
+    tidy = facts.select(F.lower(stripped("id")).alias("u"), F.lower(stripped("superseded_by")).alias("v"))
     known = tidy.filter(F.col("u").isNotNull()).select(F.col("u").alias("v")).distinct()
     links = tidy.filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v"))).distinct()
     return links.join(known, "v", "left_semi").select("u", "v")

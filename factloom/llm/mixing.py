@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import stripped
 from factloom.llm.tokens import TOKENIZER_DIR, VOCABULARY, TokenCounter
 from factloom.session import cut
 
@@ -52,7 +53,7 @@ def _buckets(pieces: list[str]) -> np.ndarray:
 
 
 def tidy_source(source: Column) -> Column:
-    return F.lower(F.trim(source))
+    return F.lower(stripped(source))
 
 
 @dataclass

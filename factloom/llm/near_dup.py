@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import stripped
 from factloom.llm.common import distinct_ids, one_cell, required_overlap, split_lists
 from factloom.llm.similar_sets import WordSets, rare_first, verify, word_sets
 from factloom.session import cut
@@ -68,7 +69,7 @@ def class_pairs(classes: DataFrame, similarity: float = SIMILARITY, short_list:
 def fact_sets(facts: DataFrame) -> WordSets:
     """Word sets of facts, compared within one kind (trimmed, lower-cased; null equals nothing)."""
     rows = distinct_ids(facts, "kind", "content")
-    return word_sets(rows.withColumn("part", F.lower(F.trim("kind"))), MIN_WORDS)
+    return word_sets(rows.withColumn("part", F.lower(stripped("kind"))), MIN_WORDS)
 
 
 def near_duplicate_pairs(facts: DataFrame) -> DataFrame:

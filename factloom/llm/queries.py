@@ -87,7 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _FACT_SETS = """
-    d AS (SELECT DISTINCT id, lower(trim(kind)) AS k, content FROM facts WHERE id IS NOT NULL),
+    d AS (SELECT DISTINCT id, lower(regexp_replace(kind, '^\\s+|\\s+$', '', 'g')) AS k, content FROM facts WHERE id IS NOT NULL),
     w AS (SELECT id, k, list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+')) AS ws FROM d),
     x AS (SELECT id, k, ws, len(ws) AS n FROM w WHERE len(ws) >= 8 AND k IS NOT NULL),
     p AS (SELECT a.id AS id_a, b.id AS id_b, a.n + b.n AS s, len(list_intersect(a.ws, b.ws)) AS o
@@ -113,7 +113,7 @@ def oracle_sql() -> dict[str, str]:
             FROM tf JOIN t USING (term), r) WHERE place = 1""",
         "p5_residual_top": f"""WITH {_TERMS} SELECT id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round((ln(records / n) + ln(1 - exp(-cf / records))) * n, 9) DESC, term) AS place
             FROM tf JOIN t USING (term), r) WHERE place = 1""",
-        "p7_found": """WITH RECURSIVE f AS (SELECT lower(trim(id)) AS u, lower(trim(superseded_by)) AS v FROM facts WHERE id IS NOT NULL),
+        "p7_found": """WITH RECURSIVE f AS (SELECT lower(regexp_replace(id, '^\\s+|\\s+$', '', 'g')) AS u, lower(regexp_replace(superseded_by, '^\\s+|\\s+$', '', 'g')) AS v FROM facts WHERE id IS NOT NULL),
             e AS (SELECT DISTINCT u, v FROM f WHERE u <> v AND v IN (SELECT u FROM f)),
             b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
             reach(id, other) AS (SELECT u, v FROM b UNION SELECT reach.id, b.v FROM reach JOIN b ON reach.other = b.u)

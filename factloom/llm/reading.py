@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import stripped
 from factloom.llm.common import WORD_PATTERN
 from factloom.session import cut
 
@@ -110,7 +111,7 @@ class LevelModel:
 
 
 def is_english(lang: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(lang)).rlike("^(en|eng|english)([-_.].*)?$"), F.lit(False))
+    return F.coalesce(F.lower(stripped(lang)).rlike("^(en|eng|english)([-_.].*)?$"), F.lit(False))
 
 
 def _split_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -128,6 +128,14 @@ def test_components_equal_union_find(spark, seed):
     assert {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u string, v string")).collect()} == want
 
 
+@pytest.mark.parametrize("end", ["\n", "\t", "\r\n", " ", "\u00a0", " \n\t "])
+def test_links_survive_white_space_at_the_ends(spark, end):
+    df = spark.createDataFrame([("a", end + "B" + end), ("b", None), ("c" + end, "A" + end)], "id string, superseded_by string")
+    assert sorted((r.id, r.group_id) for r in components.supersession_groups(df).collect()) == [("a", "a"), ("b", "a"), ("c", "a")]
+    facts = spark.createDataFrame([("x", "bug" + end, "one two three four five six seven eight"), ("y", end + "Bug", "eight two three four five six seven one")], "id string, kind string, content string")
+    assert near_dup.near_duplicate_pairs(facts).count() == 1
+
+
 def test_links_need_known_ids(spark):
     df = spark.createDataFrame([("a", " B "), ("b", "gone"), ("c", "C"), ("d", None), ("d", "a"), ("e", " ")], "id string, superseded_by string").withColumn("u", F.lit("x"))
     assert sorted((r.id, r.group_id) for r in components.supersession_groups(df).collect()) == [("a", "a"), ("b", "a"), ("d", "a")]
