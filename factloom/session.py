@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -30,11 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder of ``spark.checkpoint.dir``; sets a local one only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is not None:
+    """Uses the shared folder of ``spark.checkpoint.dir``. Where none is set, a local master gets one of its own; a cluster raises."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+    if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for what jobs write between their steps."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
