@@ -42,28 +42,12 @@ def attach_counts(rows: DataFrame, counts: DataFrame, key: str, columns: list[st
     return of_hot.unionByName(rest.join(counts.filter(F.col(count) <= limit).select(key, *columns), key))
 
 
-def split_lists(postings: DataFrame, keys: list[str], member: str, longest: int, total: int) -> DataFrame:
-    """Adds ``cell_x``, ``cell_y`` and ``block`` so that long posting lists can be self-joined in pieces.
+def one_cell(block_a: Column, block_b: Column, cell_x: Column, cell_y: Column) -> Column:
+    """True in the one cell that has to report a pair of rows in these blocks.
 
-    A list of more than ``longest`` (at least total / HOT_SHARE, which bounds the number of such
-    lists) is cut into blocks; each row goes to the cells of its block with every block, so a
-    self-join on keys and cell sees each pair of rows in exactly one cell under ``one_cell``.
+    A long list is cut into blocks; each row goes to the cells of its block with every block, so a join on the
+    cell sees each pair of rows in exactly one cell under this condition.
     """
-    longest = max(longest, total // HOT_SHARE + 1)
-    long_lists = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("list_size")).filter(F.col("list_size") > longest)
-    long_lists = long_lists.select(*keys, F.ceil(F.col("list_size") / longest).cast("int").alias("blocks"))
-    marked = postings.join(F.broadcast(long_lists), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    marked = marked.withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
-    return (
-        marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("cell_x", F.least("block", "other"))
-        .withColumn("cell_y", F.greatest("block", "other"))
-        .drop("blocks", "other")
-    )
-
-
-def one_cell(block_a: Column, block_b: Column, cell_x: Column, cell_y: Column) -> Column:
-    """True in the one cell that has to report a pair of rows in these blocks."""
     return (cell_x == cell_y) | (block_a != block_b)
 
 

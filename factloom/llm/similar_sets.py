@@ -1,4 +1,4 @@
-"""Word sets of records, collapsed to classes of equal sets, and their coordinate postings."""
+"""Word sets of records, collapsed to classes of equal sets, and the exact check of candidate pairs."""
 
 from __future__ import annotations
 
@@ -7,16 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import attach_counts, words
+from factloom.llm.common import words
 from factloom.session import cut
 
 
 @dataclass
 class WordSets:
-    """members: (id, part, size, cls) per record; classes: (cls, part, size, sig) per distinct set.
+    """members: (id, no, *extra) per record; classes: (no, part, size, sig) per distinct set.
 
     ``part`` is the partition within which sets are compared (such as the kind). ``sig`` holds the
-    64-bit hashes of the words; ``cls`` is a 128-bit hash of part and set, as text.
+    64-bit hashes of the words in ascending order; ``no`` numbers the classes.
     """
 
     members: DataFrame
@@ -24,56 +24,36 @@ class WordSets:
 
 
 def word_sets(records: DataFrame, min_words: int, extra: tuple[str, ...] = ()) -> WordSets:
-    """Word sets of (id, part, content, *extra); records of fewer than ``min_words`` words drop.
+    """Word sets of (id, part, content, *extra); null ids and parts and rows of fewer than ``min_words`` words drop.
 
-    Null content counts as empty; a null part drops the record. Equal sets of one part fall into one class.
+    Null content counts as empty. A repeated id counts once: of differing rows the one with the least values of
+    ``extra``, then the one whose set hashes lowest. Equal sets of one part fall into one class (by 128 bits of hash).
+    No text is shuffled.
     """
     signed = (
-        records.filter(F.col("part").isNotNull())
-        .withColumn("sig", F.array_sort(F.array_distinct(F.transform(words(F.col("content")), lambda w: F.xxhash64(w)))))
+        records.filter(F.col("id").isNotNull() & F.col("part").isNotNull())
+        .select("id", "part", *extra, F.array_sort(F.array_distinct(F.transform(words(F.col("content")), lambda w: F.xxhash64(w)))).alias("sig"))
         .filter(F.size("sig") >= min_words)
-        .withColumn("cls", F.concat(F.hex(F.xxhash64("part", "sig")), F.lit("."), F.hex(F.xxhash64(F.lit(7), "sig", "part"))))
-        .select("id", "part", "cls", "sig", F.size("sig").alias("size"), *extra)
-    )
+        .withColumn("c1", F.xxhash64("part", "sig")).withColumn("c2", F.xxhash64(F.lit(7), "sig", "part"))
+    )
     signed = cut(signed)
-    classes = signed.groupBy("cls").agg(F.first("part").alias("part"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-    return WordSets(signed.drop("sig"), cut(classes))
-
-
-#: Parity sketch of a set: bit i tells whether an odd number of words fall in bin i of 64. A word in
-#: one of two sets only flips one bit, so the sketches differ in at most as many bits as the sets in words.
-SKETCH = "aggregate(sig, 0L, (bits, w) -> bits ^ shiftleft(1L, cast(w & 63 as int)))"
-
-
-def rare_first(classes: DataFrame) -> tuple[DataFrame, int]:
-    """(cls, part, size, sketch, sig, dfs) with the words of ``sig`` ordered from rare to common, and the number of postings.
-
-    ``dfs`` has the words' frequencies over all classes.
-    The order (frequency over all classes, then hash) is the same for every record, as prefix
-    filtering needs.
-    """
-    postings = classes.select("cls", "part", "size", F.explode("sig").alias("w"))
-    counts = cut(postings.groupBy("w").agg(F.count(F.lit(1)).alias("df")))
-    total = counts.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    ordered = (
-        attach_counts(postings, counts, "w", ["df"], "df", total)
-        .groupBy("cls")
-        .agg(F.first("part").alias("part"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-        .select("cls", "part", "size", F.col("o.w").alias("sig"), F.col("o.df").alias("dfs"))
-        .withColumn("sketch", F.expr(SKETCH))
-    )
-    return cut(ordered), total
+    members = signed.groupBy("id").agg(F.min(F.struct(*extra, "c1", "c2")).alias("r")).select("id", "r.*")
+    held = members.select("c1", "c2").distinct()
+    classes = signed.groupBy("c1", "c2").agg(F.first("part").alias("part"), F.first("sig").alias("sig")).join(held, ["c1", "c2"], "left_semi")
+    classes = cut(classes.select("c1", "c2", "part", F.size("sig").alias("size"), "sig").withColumn("no", F.monotonically_increasing_id()))
+    numbered = members.join(classes.select("c1", "c2", "no"), ["c1", "c2"]).select("id", "no", *extra)
+    return WordSets(cut(numbered), classes.select("no", "part", "size", "sig"))
 
 
 def verify(candidates: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Keeps the candidate pairs (a, b) of classes whose Jaccard similarity is at least ``similarity``."""
-    left = classes.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a"))
-    right = classes.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"))
+    """Keeps the candidate pairs (a, b) of classes of one part whose Jaccard similarity is at least ``similarity``."""
+    left = classes.select(F.col("no").alias("a"), F.col("part").alias("part_a"), F.col("sig").alias("sig_a"))
+    right = classes.select(F.col("no").alias("b"), F.col("part").alias("part_b"), F.col("sig").alias("sig_b"))
     shared = F.size(F.array_intersect("sig_a", "sig_b"))
     return (
         candidates.join(left, "a")
         .join(right, "b")
         .withColumn("shared", shared)
-        .filter(F.col("shared") / (F.size("sig_a") + F.size("sig_b") - F.col("shared")) >= F.lit(similarity))
+        .filter((F.col("part_a") == F.col("part_b")) & (F.col("shared") / (F.size("sig_a") + F.size("sig_b") - F.col("shared")) >= F.lit(similarity)))
         .select("a", "b", "shared")
     )

@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import batch_dedup, common, components, near_dup, term_scores
+from factloom.llm import batch_dedup, common, components, near_dup, term_scores, windows
 from factloom.llm.similar_sets import word_sets
 
 
@@ -41,14 +43,14 @@ def alike(a, b, t=0.75):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("short_list", [0, 3, 64])
-def test_pairs_equal_brute_force(spark, seed, short_list, monkeypatch):
+@pytest.mark.parametrize("longest", [1, 3, 4096])
+def test_pairs_equal_brute_force(spark, seed, longest, monkeypatch):
     rows, df = make(spark, variants(seed), seed)
     facts = {r[0]: (r[1].strip().lower(), tokens(r[2])) for r in rows if r[0] and r[1] is not None}
     facts = {i: x for i, x in facts.items() if len(x[1]) >= 8}
     want = {(a, b) for a in facts for b in facts if a < b and facts[a][0] == facts[b][0] and alike(facts[a][1], facts[b][1])}
     assert want
-    monkeypatch.setattr(near_dup.class_pairs, "__defaults__", (0.75, short_list, 2000))
+    monkeypatch.setattr(near_dup.class_pairs, "__defaults__", (0.75, 8, longest))
     got = [(r.id_a, r.id_b) for r in near_dup.near_duplicate_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
@@ -60,13 +62,35 @@ def test_long_lists_in_cells_lose_no_pair(spark):
     assert got.count() == got.distinct().count() == 60 * 59 // 2
 
 
-def test_split_lists_covers_each_pair_once(spark):
-    rows = spark.createDataFrame([("k", i) for i in range(50)], "key string, member long")
-    cells = common.split_lists(rows, ["key"], "member", 7, 0)
-    a = cells.select("key", "cell_x", "cell_y", F.col("member").alias("m"), F.col("block").alias("p"))
-    b = cells.select("key", "cell_x", "cell_y", F.col("member").alias("n"), F.col("block").alias("q"))
-    pairs = a.join(b, ["key", "cell_x", "cell_y"]).filter((F.col("m") < F.col("n")) & common.one_cell(F.col("p"), F.col("q"), F.col("cell_x"), F.col("cell_y")))
-    assert pairs.count() == pairs.select("m", "n").distinct().count() == 50 * 49 // 2
+@pytest.mark.parametrize("similarity", [0.6, 0.7, 0.75, 0.8, 0.9])
+def test_similar_sets_share_windows(similarity):
+    """The match threshold holds for random similar sets, and is 1 at least."""
+    rnd = np.random.default_rng(3)
+    q = windows.width(similarity, 8)
+    met = 0
+    for _ in range(4000):
+        a = rnd.choice(1 << 40, rnd.integers(8, 60), replace=False)
+        gone = rnd.integers(0, int(len(a) * (1 - similarity)) + 1)
+        b = np.concatenate([a[gone:], rnd.choice(1 << 40, rnd.integers(0, int(len(a) * (1 - similarity)) + 2), replace=False)])
+        a, b = np.unique(a), np.unique(b)
+        if len(b) < 8 or len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < similarity:
+            continue
+        met += 1
+        grams = [{tuple(x[k : k + q]) for k in range(len(x) - q + 1)} for x in (a, b)]
+        least = windows.threshold(len(a), len(b), similarity, q)
+        assert len(grams[0] & grams[1]) >= least >= 1
+        for x in (a, b):
+            assert windows.least_threshold(np.array([len(x)]), similarity, q, 8)[0] <= least
+    assert met > 1000
+
+
+def test_window_keys_sort_as_suffixes():
+    sig = pa.array([[5, 9, 11, 12], [1, 2], [3, 4, 7]], pa.list_(pa.int64()))
+    row, key, sizes = windows.window_keys(sig, 3)
+    assert row.tolist() == [0, 0, 2] and sizes.tolist() == [4, 2, 3]
+    assert [key[i] for i in np.argsort(key)] == [key[2], key[0], key[1]]
+    assert windows.window_keys(sig.slice(2, 1), 3)[1].tolist() == [key[2]]
+    assert windows.window_keys(sig.slice(0, 0), 3)[1].tolist() == []
 
 
 def test_classes_have_copies_and_links(spark):
@@ -76,9 +100,10 @@ def test_classes_have_copies_and_links(spark):
     assert got == {"a": ("a", 2, 1), "b": ("a", 2, 1), "c": ("c", 1, 1), "d": ("d", 1, 0)}
 
 
-@pytest.mark.parametrize("fan_out", [2, 32])
+@pytest.mark.parametrize("loads, longest", [(1, 1), (3, 65_536)])
 @pytest.mark.parametrize("seed", [4, 5])
-def test_batches_equal_sequential_replay(spark, seed, fan_out):
+def test_batches_equal_sequential_replay(spark, seed, loads, longest, monkeypatch):
+    monkeypatch.setattr(batch_dedup.BatchIndex.__init__, "__defaults__", (0.75, 2, 8, longest))
     rows, df = make(spark, variants(seed), seed)
     accepted, want = [], set()
     dated = sorted({(m[0], r[0], tokens(r[2])) for r in rows if r[0] and (m := re.match(r"\d{4}-\d\d-\d\d", r[3] or "")) and len(tokens(r[2])) >= 8}, key=lambda x: x[:2])
@@ -87,7 +112,7 @@ def test_batches_equal_sequential_replay(spark, seed, fan_out):
             want.add(i)
         else:
             accepted.append(w)
-    got = [r.id for r in batch_dedup.rejected_facts(df, fan_out=fan_out).collect()]
+    got = [r.id for r in batch_dedup.rejected_facts(df, fan_out=2, loads=loads).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -100,6 +125,18 @@ def test_rejection_depends_on_acceptance(spark):
     assert [r.id for r in got.collect()] == ["b"]
 
 
+def test_long_chains_are_replayed(spark):
+    # each is like the one before only: every second one is accepted, in a chain far longer than the plain rounds
+    links = spark.createDataFrame([(i + 1, i) for i in range(500)] + [(1001, 1000)], "a long, b long")
+    assert {r.seq for r in batch_dedup.resolve(links).collect()} == set(range(1, 501, 2)) | {1001}
+
+
+def test_large_groups_go_on_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(batch_dedup, "REPLAYED_LINKS", 3)
+    links = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(101, 100), (102, 101)], "a long, b long")
+    assert {r.seq for r in batch_dedup.resolve(links).collect()} == set(range(1, 13, 2)) | {101}
+
+
 def test_components_of_chains_stars_and_rings(spark):
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(200)]
     star = [("hub", f"leaf{i:03}") for i in range(100)]
@@ -168,7 +205,7 @@ def test_empty_tables_very_long_texts_and_extra_columns(spark, run):
     assert run(spark.createDataFrame([], schema)).count() == 0
     long = " ".join(f"x{i}" for i in range(5000))
     rows = spark.createDataFrame([("a", "k", long, "2026-01-01"), ("b", "k", long + " more", "2026-01-02")], schema)
-    rows = rows.withColumns({c: F.lit("clash") for c in ("part", "cls", "sig", "size", "seq", "batch", "pair", "place", "block", "a", "b")})
+    rows = rows.withColumns({c: F.lit("clash") for c in ("part", "cls", "sig", "size", "seq", "pair", "place", "block", "a", "b", "no", "c1", "c2", "key", "range")})
     assert run(rows).count() in (1, 2)
 
 
@@ -183,7 +220,9 @@ def test_index_grown_by_batches_equals_all_at_once(spark, tmp_path):
         got |= {r.id for r in out if r.rejected}
         seen += len(out)
     assert got == want and seen == len({r[0] for r in rows if r[0] and re.match(r"\d{4}-", r[3] or "") and len(tokens(r[2])) >= 8})
-    assert max(int(n.split("-")[0]) for n in index.segments()) >= 1
+    assert max(t for t, _, _ in index.segments()) >= 1
+    covered = [n for _, first, last in index.segments() for n in range(first, last + 1)]
+    assert covered == list(range(len(covered)))
     again = index.add(dated.filter(F.col("batch") == number)).collect()
     assert all(r.rejected for r in again)
     assert index.add(dated.limit(0)).count() == 0
