@@ -125,10 +125,12 @@ def test_rejection_depends_on_acceptance(spark):
     assert [r.id for r in got.collect()] == ["b"]
 
 
-def test_long_chains_are_replayed(spark):
+@pytest.mark.parametrize("most", [400, 1_000_000])
+def test_long_chains_are_replayed(spark, most, monkeypatch):
+    monkeypatch.setattr(batch_dedup, "REPLAYED_LINKS", most)
     # each is like the one before only: every second one is accepted, in a chain far longer than the plain rounds
-    links = spark.createDataFrame([(i + 1, i) for i in range(500)] + [(1001, 1000)], "a long, b long")
-    assert {r.seq for r in batch_dedup.resolve(links).collect()} == set(range(1, 501, 2)) | {1001}
+    links = spark.createDataFrame([(i + 1, i) for i in range(350)] + [(1001 + i, 1000 + i) for i in range(1, 60, 2)], "a long, b long")
+    assert {r.seq for r in batch_dedup.resolve(links).collect()} == set(range(1, 351, 2)) | set(range(1002, 1061, 2))
 
 
 def test_large_groups_go_on_in_rounds(spark, monkeypatch):
