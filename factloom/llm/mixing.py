@@ -5,9 +5,11 @@ they state), predicts how likely each document belongs to each domain; the state
 that is wrong with probability ``LABEL_NOISE``. Document rates between 0 and the repeats that the
 source allows are then fitted by projected gradient so that the expected tokens of the domains meet
 their targets in the least-squares sense. A step needs the expected totals only (one small row a
-task), and a document's rate follows from the steps so far, so no state a document is kept.
+task); a document's rate is kept in a column, to which every ``STEPS_A_CUT`` steps are applied at once. The steps
+are scaled so that the loss falls with each; they end when it no longer falls by ``CLOSE`` of its scale.
 
-A mix has ``of_whole`` times the tokens of all documents. The report has what was reached.
+A mix has ``of_whole`` times the tokens of all documents. The report has what was reached: a source is short if the
+fitted rates use all its documents up to their cap and still supply less than its target.
 """
 
 from __future__ import annotations
@@ -20,15 +22,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.text import stripped
 from factloom.llm.tokens import TOKENIZER_DIR, VOCABULARY, TokenCounter
 from factloom.session import cut
 
-MAX_LABELLED, MAX_HELD_OUT, MAX_DOMAINS, BUCKETS, LABEL_NOISE, OF_WHOLE = 10_000, 2_000, 1_000, 1 << 14, 0.001, 0.5
+MAX_LABELLED, MAX_HELD_OUT, MAX_DOMAINS, BUCKETS, LABEL_NOISE, OF_WHOLE = 10_000, 2_000, 1_000, 1 << 14, 0.01, 0.5
 TRUSTS = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
-STEPS, CLOSE = 60, 1e-6
+STEPS_A_CUT, CLOSE, AT_CAP = 8, 1e-6, 0.999
 
 
 @lru_cache(maxsize=2)
@@ -85,18 +88,20 @@ def domain_of(source: Column, targets: Targets) -> Column:
 
 
 def fit_domains(documents: DataFrame, targets: Targets, directory: str, vocabulary: str, max_labelled: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log likelihood per bucket and domain, log prior) from at most ``max_labelled`` documents, those that hash lowest.
+    """(log likelihood per bucket and domain, log prior) from at most ``max_labelled`` documents, those whose ids hash lowest.
 
     The words of a text depend on each other, so their mean log likelihood counts as that of a number
-    of words: the one of ``TRUSTS`` that predicts the sources of at most ``MAX_HELD_OUT`` further
-    documents best. The likelihood comes multiplied with it.
+    of words: the one of ``TRUSTS`` that predicts the sources of at most ``MAX_HELD_OUT`` other documents best, the
+    next ones by hash. A table of fewer documents is divided four to one. The likelihood comes multiplied with the trust.
     """
     domains = len(targets.sources) + 1
     labelled = documents.filter(F.length("text") > 0).select("doc_id", domain_of(F.col("source"), targets).alias("domain"), "text")
     # only ids go through one task; the texts are picked where they are read
-    ids = documents.select("doc_id").distinct()
-    sample = labelled.join(F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)), "doc_id", "left_semi")
-    held_out = labelled.join(F.broadcast(ids.orderBy(F.xxhash64("doc_id").desc(), "doc_id").limit(MAX_HELD_OUT)), "doc_id", "left_semi")
+    lowest = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled + MAX_HELD_OUT)
+    placed = cut(lowest.withColumn("place", F.row_number().over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))))
+    first = min(max_labelled, placed.count() * 4 // 5)
+    sample = labelled.join(F.broadcast(placed.filter(F.col("place") <= first).select("doc_id")), "doc_id", "left_semi")
+    held_out = labelled.join(F.broadcast(placed.filter(F.col("place").between(first + 1, first + MAX_HELD_OUT)).select("doc_id")), "doc_id", "left_semi")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = _counter(directory, vocabulary)
@@ -165,70 +170,88 @@ def document_table(documents: DataFrame, targets: Targets, model: tuple[np.ndarr
     return rows.mapInPandas(score, "doc_id long, domain int, tokens long, member array<float>")
 
 
-def _rates(domain: np.ndarray, member: np.ndarray, start: np.ndarray, cap: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Rates after the gradient steps so far, each projected back to 0 .. cap."""
-    rate, most = np.append(start, 0.0)[domain], np.append(cap, 0.0)[domain]
+def _moved(rate: np.ndarray, member: np.ndarray, most: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Rates after gradient steps, each projected back to 0 .. the document's cap."""
     for g in steps:
         rate = np.clip(rate - member @ g, 0, most)
     return rate
 
 
-def fit_rates(table: DataFrame, targets: Targets, wanted: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The gradient steps (one vector over domains each) that bring expected domain tokens to ``wanted``."""
-    size = len(targets.sources)
-    weight = np.maximum(np.array(table.agg(*[F.sum(F.col("tokens") * F.col("member")[k]) for k in range(size)]).first(), dtype=float), 1.0)
-    steps = np.zeros((0, size))
-    last = np.inf
-    for _ in range(STEPS):
+def _with_rates(table: DataFrame, cap: np.ndarray, steps: np.ndarray) -> DataFrame:
+    """The table with the steps applied to its column ``rate``; documents of no target stay at 0."""
 
-        def totals(batches: Iterator[pd.DataFrame], steps: np.ndarray = steps) -> Iterator[pd.DataFrame]:
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                most = np.append(cap, 0.0)[b["domain"].to_numpy()]
+                yield b.assign(rate=_moved(b["rate"].to_numpy(), np.stack(b["member"].to_numpy()).astype(float), most, steps))
+
+    return table.mapInPandas(move, "doc_id long, domain int, tokens long, member array<float>, rate double")
+
+
+@dataclass
+class Fit:
+    """The fitted table (doc_id, domain, tokens, member, rate), the number of steps, and the root of the loss relative to its scale."""
+
+    table: DataFrame
+    steps: int
+    error: float
+
+
+def fit_rates(table: DataFrame, targets: Targets, wanted: np.ndarray) -> Fit:
+    """Gradient steps that bring expected domain tokens to ``wanted`` as far as the caps let them, until they no longer help.
+
+    Tokens weigh the domains: the loss is the sum of (reached - wanted)^2 / weight, weight a domain's expected tokens at
+    rate 1 (what is wanted of it, if that is more). As memberships sum to 1 at most, a step of error / weight never raises it.
+    """
+    size, cap = len(targets.sources), targets.repeats
+    sums = [F.sum(F.col("tokens") * F.col("member")[k]) for k in range(size)]
+    weight = np.maximum(np.maximum(np.array([x or 0.0 for x in table.agg(*sums).first()], dtype=float), wanted), 1.0)
+    scale = max(float((wanted**2 / weight).sum()), 1e-9)
+    pending, taken, last = np.zeros((0, size)), 0, np.inf
+    while True:
+
+        def totals(batches: Iterator[pd.DataFrame], steps: np.ndarray = pending) -> Iterator[pd.DataFrame]:
             sums = np.zeros(size)
             for b in batches:
                 if len(b):
                     member = np.stack(b["member"].to_numpy()).astype(float)
-                    sums += (_rates(b["domain"].to_numpy(), member, start, targets.repeats, steps) * b["tokens"].to_numpy()) @ member
+                    rate = _moved(b["rate"].to_numpy(), member, np.append(cap, 0.0)[b["domain"].to_numpy()], steps)
+                    sums += (rate * b["tokens"].to_numpy()) @ member
             yield pd.DataFrame([sums], columns=[f"d{k}" for k in range(size)])
 
-        parts = table.select("domain", "tokens", "member").mapInPandas(totals, ", ".join(f"d{k} double" for k in range(size)))
-        reached = np.array(parts.agg(*[F.sum(f"d{k}") for k in range(size)]).first(), dtype=float)
-        error = reached - wanted
+        parts = table.select("domain", "tokens", "member", "rate").mapInPandas(totals, ", ".join(f"d{k} double" for k in range(size)))
+        error = np.array([x or 0.0 for x in parts.agg(*[F.sum(f"d{k}") for k in range(size)]).first()], dtype=float) - wanted
         loss = float((error**2 / weight).sum())
-        if last - loss <= CLOSE * float((wanted**2 / weight).sum()):
-            break
+        if last - loss <= CLOSE * scale:
+            return Fit(_with_rates(table, cap, pending), taken, float(np.sqrt(loss / scale)))
         last = loss
-        steps = np.vstack([steps, error / weight])
-    return steps
+        pending, taken = np.vstack([pending, error / weight]), taken + 1
+        if len(pending) == STEPS_A_CUT:
+            table, pending = cut(_with_rates(table, cap, pending)), np.zeros((0, size))
 
 
 @dataclass
 class Mix:
-    table: DataFrame
+    fit: Fit
     targets: Targets
     wanted: np.ndarray
-    start: np.ndarray
-    steps: np.ndarray
 
     def copies(self) -> DataFrame:
         """(doc_id, source, tokens, rate, copies): how often each document enters the mix, never beyond its cap."""
-        t, start, steps = self.targets, self.start, self.steps
-        names = np.array([*t.sources, None], dtype=object)
-
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    domain = b["domain"].to_numpy()
-                    rate = _rates(domain, np.stack(b["member"].to_numpy()).astype(float), start, t.repeats, steps)
-                    draw = b["draw"].to_numpy()
-                    whole = np.floor(rate + 1e-9)
-                    yield pd.DataFrame({"doc_id": b["doc_id"], "source": names[domain], "tokens": b["tokens"], "rate": rate, "copies": (whole + (draw < rate - whole)).astype(np.int64)})
-
+        names = F.array(*[F.lit(s) for s in self.targets.sources], F.lit(None).cast("string"))
         # a fixed fraction of 1 for each document decides the fractional copy
-        drawn = self.table.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30))
-        return drawn.mapInPandas(place, "doc_id long, source string, tokens long, rate double, copies long")
+        draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+        whole = F.floor(F.col("rate") + 1e-9)
+        copies = (whole + (draw < F.col("rate") - whole).cast("long")).cast("long")
+        return self.fit.table.select("doc_id", F.element_at(names, F.col("domain") + 1).alias("source"), "tokens", "rate", copies.alias("copies"))
 
     def report(self) -> DataFrame:
-        """One row per source with a target: what it has, can supply, should and does supply, and its share reached."""
-        spark, t = self.table.sparkSession, self.targets
+        """One row per source with a target: what it has, can supply, should and does supply, its share reached, and how well the rates fit.
+
+        ``expected_tokens`` are supplied by the fitted rates, ``mixed_tokens`` by the whole copies drawn for them.
+        """
+        spark, t = self.fit.table.sparkSession, self.targets
         schema = "source string, target_share double, max_repeats long, target_tokens double"
         goals = spark.createDataFrame([(s, float(a), int(r), float(w)) for s, a, r, w in zip(t.sources, t.shares, t.repeats, self.wanted)], schema)
         sums = self.copies().filter(F.col("source").isNotNull()).groupBy("source").agg(
@@ -239,7 +262,8 @@ class Mix:
         return joined.crossJoin(F.broadcast(total)).select(
             "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), (F.col("available") * F.col("max_repeats")).alias("capacity_tokens"),
             "target_tokens", F.col("expected").alias("expected_tokens"), F.col("mixed").alias("mixed_tokens"), (F.col("mixed") / F.col("total")).alias("reached_share"),
-            (F.col("available") * F.col("max_repeats") < F.col("target_tokens")).alias("short"),
+            ((F.col("expected") >= AT_CAP * F.col("available") * F.col("max_repeats")) & (F.col("expected") < F.col("target_tokens"))).alias("short"),
+            F.lit(self.fit.steps).alias("fit_steps"), F.lit(self.fit.error).alias("fit_error"),
         )
 
 
@@ -257,9 +281,10 @@ def mix(documents: DataFrame, targets: DataFrame, of_whole: float = OF_WHOLE, di
     sums = {r.domain: float(r.n or 0) for r in table.groupBy("domain").agg(F.sum("tokens").alias("n")).collect()}
     wanted = goal.shares * of_whole * sum(sums.values())
     have = np.array([max(sums.get(k, 0.0), 1.0) for k in range(len(goal.sources))])
-    start = np.minimum(goal.repeats, wanted / have)
-    steps = fit_rates(table, goal, wanted, start) if goal.sources else np.zeros((0, 0))
-    return Mix(table, goal, wanted, start, steps)
+    start = np.append(np.minimum(goal.repeats, wanted / have), 0.0)
+    table = table.withColumn("rate", F.element_at(F.array(*[F.lit(float(x)) for x in start]), F.col("domain") + 1))
+    fitted = fit_rates(table, goal, wanted) if goal.sources else Fit(table, 0, 0.0)
+    return Mix(Fit(cut(fitted.table), fitted.steps, fitted.error), goal, wanted)
 
 
 def short_sources(documents: DataFrame, targets: DataFrame) -> DataFrame:

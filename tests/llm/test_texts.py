@@ -157,3 +157,36 @@ def test_mix_reaches_targets_and_names_short_sources(spark):
     tight = goal.withColumn("target_share", F.when(F.col("source") == "c", 0.6).otherwise(F.col("target_share") / 2))
     assert [r.source for r in mixing.short_sources(df, tight).collect()] == ["c"]
     assert mixing.mix(df.limit(0), goal).report().count() == 4
+
+
+def test_rates_follow_soft_membership(spark, monkeypatch):
+    """Two sources share a domain's words: the fit meets both targets in expectation, with steps that are cut on the way."""
+    monkeypatch.setattr(mixing, "STEPS_A_CUT", 1)
+    rows = [(i, 0, 100, [0.7, 0.2], 0.5) for i in range(40)] + [(100 + i, 1, 100, [0.3, 0.6], 0.5) for i in range(40)] + [(200, 2, 500, [0.5, 0.5], 0.0)]
+    table = spark.createDataFrame(rows, "doc_id long, domain int, tokens long, member array<float>, rate double")
+    goal = mixing.Targets(["a", "b"], np.array([0.5, 0.5]), np.array([2.0, 3.0]))
+    wanted = np.array([3000.0, 3500.0])
+    fit = mixing.fit_rates(table, goal, wanted)
+    got = fit.table.collect()
+    reached = np.array([sum(r.tokens * r.rate * r.member[k] for r in got) for k in (0, 1)])
+    assert fit.steps > 1 and np.allclose(reached, wanted, rtol=0.02) and fit.error < 0.02
+    assert all(0 <= r.rate <= [2, 3, 0][r.domain] for r in got)
+
+
+@pytest.mark.parametrize("n", [5, 40, 400])
+def test_calibration_uses_other_documents(spark, n, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mixing, "MAX_HELD_OUT", 50)
+    df = spark.createDataFrame([(i, f"word{i % 3} text", "abc"[i % 3]) for i in range(n)], "doc_id long, text string, source string")
+    keep = type(df).join
+
+    def join(self, other, *a, **k):
+        out = keep(self, other, *a, **k)
+        if a[1:] == ("left_semi",):
+            seen.append({r.doc_id for r in out.select("doc_id").collect()})
+        return out
+
+    monkeypatch.setattr(type(df), "join", join)
+    mixing.fit_domains(df, mixing.Targets(["a", "b"], np.ones(2) / 2, np.ones(2)), mixing.TOKENIZER_DIR, mixing.VOCABULARY, 100)
+    sample, held_out = seen
+    assert sample and held_out and not sample & held_out
