@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from factloom.session import cut
 
-K, ORDERINGS, BLOCK, DIMENSIONS, BITS, FINE, SEED, SALTS = 5, 8, 1024, 12, 5, 5, 20250, 16
+K, ORDERINGS, BLOCK, DIMENSIONS, BITS, FINE, SEED, SALTS, ROWS_A_TASK = 5, 8, 1024, 12, 5, 5, 20250, 16, 250_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int, fine: int = 0) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
@@ -184,8 +184,10 @@ def _windows(width: int, k: int, block: int, min_score: float):
 
 def class_neighbours(classes: DataFrame, width: int, k: int = K, orderings: int = ORDERINGS, block: int = BLOCK, min_score: float = -1.0) -> DataFrame:
     """(cls, near: array of (score, cls) best first): up to k similar classes of (cls, payload), none below ``min_score``."""
+    # a task's share of the keys is bounded, whatever the number of vectors
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * orderings // ROWS_A_TASK))
     placed = classes.select("cls", "payload").mapInArrow(_orderings(width, orderings), "m int, place long, within long, cls long, payload binary")
-    sorted_keys = placed.repartitionByRange("m", "place", "within").sortWithinPartitions("m", "place", "within").select("m", "cls", "payload")
+    sorted_keys = placed.repartitionByRange(tasks, "m", "place", "within").sortWithinPartitions("m", "place", "within").select("m", "cls", "payload")
     windows = sorted_keys.mapInArrow(_windows(width, k, block, min_score), "cls long, near array<long>, score array<float>")
     lists = windows.groupBy("cls").agg(F.flatten(F.collect_list(F.arrays_zip("score", "near"))).alias("all"))
     best = F.transform(
@@ -222,14 +224,16 @@ def nearest(vectors: DataFrame, key: str, width: int, k: int = K, min_score: flo
 
 
 MODEL, WIDTH, ALIKE = "static-64", 64, 0.9
+#: For the whole list of neighbours, near or not; near ones are found with fewer
+FULL_ORDERINGS, FULL_BLOCK = 16, 2048
 
 
-def fact_neighbours(vectors: DataFrame, min_score: float = -1.0) -> DataFrame:
+def fact_neighbours(vectors: DataFrame, min_score: float = -1.0, orderings: int = FULL_ORDERINGS, block: int = FULL_BLOCK) -> DataFrame:
     """``nearest`` for the usable vectors of one model among fact vectors."""
-    return nearest(vectors.filter(F.col("model_id") == MODEL), "fact_id", WIDTH, min_score=min_score)
+    return nearest(vectors.filter(F.col("model_id") == MODEL), "fact_id", WIDTH, min_score=min_score, orderings=orderings, block=block)
 
 
 def similar_fact_pairs(vectors: DataFrame) -> DataFrame:
     """Distinct (id_a, id_b), the smaller id first: one is among the five nearest of the other, at 0.9 or more."""
-    near = fact_neighbours(vectors, ALIKE)
+    near = fact_neighbours(vectors, ALIKE, ORDERINGS, BLOCK)
     return near.select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct()

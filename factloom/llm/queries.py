@@ -109,6 +109,29 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT DISTINCT a.class_id AS x, b.class_id AS y FROM p JOIN same a ON a.id = id_a JOIN same b ON b.id = id_b WHERE o / (s - o) >= 0.75 AND a.class_id <> b.class_id),
             n AS (SELECT c, count(DISTINCT o) AS links FROM (SELECT x AS c, y AS o FROM l UNION ALL SELECT y, x FROM l) GROUP BY c)
             SELECT id, class_id, copies, coalesce(links, 0) AS links FROM same LEFT JOIN n ON c = class_id""",
+        "p4_found": """WITH v AS (SELECT fact_id AS id, vector::DOUBLE[] AS x, row_number() OVER (PARTITION BY fact_id ORDER BY vector::VARCHAR) AS n FROM fact_vectors
+                WHERE model_id = 'static-64' AND fact_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0),
+            p AS (SELECT a.id AS i, b.id AS j, list_cosine_similarity(a.x, b.x) AS s FROM v a JOIN v b ON a.id < b.id WHERE a.n = 1 AND b.n = 1 AND list_cosine_similarity(a.x, b.x) >= 0.9),
+            r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY s DESC) AS n FROM (SELECT i, j, s FROM p UNION ALL SELECT j, i, s FROM p))
+            SELECT DISTINCT least(i, j) AS id_a, greatest(i, j) AS id_b FROM r WHERE n <= 5""",
+        "p6_found": """WITH RECURSIVE d AS (SELECT DISTINCT id, content, substr(trim(source_date), 1, 10) AS day FROM facts WHERE id IS NOT NULL AND regexp_matches(trim(source_date), '^[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(substr(trim(source_date), 1, 10) AS DATE) IS NOT NULL),
+            w AS (SELECT id, list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+')) AS ws, row_number() OVER (ORDER BY day, id) AS seq FROM d),
+            x AS (SELECT *, len(ws) AS n FROM w WHERE len(ws) >= 8),
+            p AS (SELECT a.seq AS a, b.seq AS b, a.n + b.n AS s, len(list_intersect(a.ws, b.ws)) AS o FROM x a JOIN x b ON b.seq < a.seq AND a.n >= 0.75 * b.n AND b.n >= 0.75 * a.n),
+            l AS MATERIALIZED (SELECT a, list(b) AS bs, row_number() OVER (ORDER BY a) AS k FROM p WHERE o / (s - o) >= 0.75 GROUP BY a),
+            t(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+                SELECT l.k, CASE WHEN len(list_filter(bs, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, a) ELSE gone END FROM t JOIN l ON l.k = t.k + 1)
+            SELECT id FROM x WHERE seq IN (SELECT unnest(gone) FROM t WHERE k = (SELECT max(k) FROM t))""",
+        "p9_found": """WITH g AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, sum(coalesce(target_share, 0)) AS share, max(coalesce(max_repeats, 0)) AS repeats FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+            d AS (SELECT lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS source, sum(len(coalesce(text, '')))::DOUBLE AS size FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)
+            SELECT g.source FROM g LEFT JOIN d ON g.source = d.source WHERE coalesce(size, 0) * repeats < share * 0.5 * (SELECT sum(size) FROM d)""",
+        "p8_spans": """WITH i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[a-z0-9]+') AS w FROM eval_items),
+            g AS (SELECT DISTINCT item_id, array_to_string(w[k + 1 : k + 12], ' ') AS phrase FROM i, unnest(range(len(w) - 11)) AS t(k)),
+            d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+            h AS (SELECT doc_id, k, array_to_string(w[k + 1 : k + 12], ' ') AS phrase FROM d, unnest(range(len(w) - 11)) AS t(k)),
+            m AS (SELECT doc_id, item_id, k, lag(k) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS before FROM h JOIN g USING (phrase)),
+            s AS (SELECT *, sum(CASE WHEN before IS NULL OR k > before + 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS span FROM m)
+            SELECT doc_id, item_id, min(k) AS from_word, max(k) + 12 AS to_word FROM s GROUP BY doc_id, item_id, span""",
         "p5_found": f"""WITH {_TERMS} SELECT id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(records / n), 9) DESC, term) AS place
             FROM tf JOIN t USING (term), r) WHERE place = 1""",
         "p5_residual_top": f"""WITH {_TERMS} SELECT id, term FROM (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round((ln(records / n) + ln(1 - exp(-cf / records))) * n, 9) DESC, term) AS place
