@@ -34,9 +34,11 @@ def supersession(deprecated: Column, status: Column, superseded_by: Column) -> C
     )
 
 
-def trust_factor(trust: Column, untrusted: float = 0.5) -> Column:
-    """N11."""
-    return F.when(F.lower(F.coalesce(trust, F.lit(""))).isin("untrusted", "external"), untrusted).otherwise(1.0)
+def trust_factor(trust: Column, provenance: Column, untrusted: float = 0.5) -> Column:
+    """Less for what is untrusted, or comes from outside and isn't marked as trusted."""
+    marked = F.lower(F.coalesce(trust, F.lit("")))
+    outside = F.lower(F.coalesce(provenance, F.lit(""))).isin(*V.EXTERNAL_PROVENANCE)
+    return F.when(marked.isin("untrusted", "external") | ((marked != "trusted") & outside), untrusted).otherwise(1.0)
 
 
 def bulk_date(share: Column, threshold: float = V.BULK_DATE_SHARE, floor: float = V.BULK_DATE_FLOOR) -> Column:

@@ -60,16 +60,12 @@ def min_matches(terms: list[str]) -> int:
     return 2 if len(terms) >= 3 else 1
 
 
-def places(tokens: Column, term: str) -> Column:
-    return F.filter(F.transform(tokens, lambda t, i: F.when(t == term, i)), lambda i: i.isNotNull())
-
-
-def pair_count(tokens: Column, pairs: list[tuple[str, str]], window: int = V.PAIR_WINDOW) -> Column:
-    """Pairs of which both terms stand within ``window`` tokens of each other, each counted once."""
+def near_pairs(words: Column, pairs: list[tuple[str, str]], window: int = V.PAIR_WINDOW) -> Column:
+    """Pairs of which both terms stand within ``window`` tokens of each other, each counted once; words are (p, t), place and term."""
 
     def near(a: str, b: str) -> Column:
-        others = places(tokens, b)
-        return F.exists(places(tokens, a), lambda x: F.exists(others, lambda y: F.abs(x - y) <= window))
+        others = F.filter(words, lambda y: y["t"] == b)
+        return F.exists(F.filter(words, lambda x: x["t"] == a), lambda x: F.exists(others, lambda y: F.abs(x["p"] - y["p"]) <= window))
 
     total = F.lit(0)
     for a, b in pairs:
@@ -152,6 +148,37 @@ def cap_content(text: Column, most: int = V.CONTENT_CAP) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+$", ""), note))
 
 
+def excerpt(content: Column, terms: list[str], most: int = 220) -> Column:
+    """The stretch of ``most`` characters that holds most distinct query terms, from 30 characters before one of them; the earliest on ties.
+
+    Without terms, or where none occurs, the first characters. Marks show what was cut away. One pass over the words of a text.
+    """
+    pieces = F.regexp_extract_all(content, F.lit("[^A-Za-z0-9]*[A-Za-z0-9]+"), F.lit(0))
+    wanted = strings(terms)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<p:int,t:string>>").alias("hits"))
+
+    def step(seen: Column, piece: Column) -> Column:
+        word = F.regexp_extract(piece, "[A-Za-z0-9]+$", 0)
+        end = (seen["at"] + F.length(piece)).cast("int")
+        hit = F.struct((end - F.length(word)).cast("int").alias("p"), stem(F.lower(word)).alias("t"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(wanted, hit["t"]), F.array_append(seen["hits"], hit)).otherwise(seen["hits"]).alias("hits"))
+
+    hits = F.aggregate(pieces, start, step)["hits"]
+
+    def window(hit: Column) -> Column:
+        first = F.greatest(F.lit(0), hit["p"] - 30)
+        inside = F.filter(hits, lambda g: (g["p"] >= first) & (g["p"] < first + most))
+        return F.struct(F.size(F.array_distinct(F.transform(inside, lambda g: g["t"]))).alias("n"), (-first).alias("minus"))
+
+    best = -F.array_max(F.transform(hits, window))["minus"]
+    body = stripped(F.substring(content, best + 1, F.lit(most)))
+    cut_out = F.concat(F.when(best > 0, "...").otherwise(""), body, F.when(best + most < F.length(content), "...").otherwise(""))
+    plain = F.substring(content, 1, most)
+    if not terms:
+        return plain
+    return F.when(F.length(content) <= most, plain).otherwise(F.coalesce(cut_out, plain))
+
+
 def replace_once(text: Column, old: str, new: str) -> Column:
     """``text`` with its one occurrence of ``old`` replaced; null if it occurs more or less often."""
     return F.when(F.length(text) - F.length(F.replace(text, F.lit(old), F.lit(""))) == len(old), F.replace(text, F.lit(old), F.lit(new)))

@@ -17,13 +17,9 @@ from pyspark.sql import types as T
 
 from factloom.functions import text
 from factloom.functions import values as V
-from factloom.operators import attest, graph, rank
+from factloom.operators import attest
 from factloom.operators.numbering import numbered
 
-#: Words of intent that say nothing about the topic of a question
-INTENT_WORDS = "decide decided discuss discussed know remember said say think told want".split()
-
-
 def find_transcripts(folders: list[str]) -> str | None:
     """The first folder that holds a Markdown file."""
     return next((f for f in folders if Path(f).is_dir() and any(Path(f).glob("*.md"))), None)
@@ -123,45 +119,12 @@ def judged(pairs: DataFrame, facts: DataFrame, judge: Callable[[str, str], str]
     return named.drop("verdict", "old", "new", "place").unionByName(rest.drop("old", "new", "place"))
 
 
-def excerpter(terms: list[str], most: int = 320):
-    """The stretch of a text that holds most distinct query terms, from 30 characters before one of them; the earliest on ties."""
-    wanted = set(terms)
-
-    @F.pandas_udf(T.StringType())
-    def excerpt(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str:
-            t = t or ""
-            if len(t) <= most or not wanted:
-                return t[:most]
-            spots = [(m.start(), w) for m in re.finditer("[A-Za-z0-9]+", t) if (w := text.stem_text(m.group().lower())) in wanted]
-            if not spots:
-                return t[:most]
-            starts = sorted({max(0, s - 30) for s, _ in spots})
-            best = max(starts, key=lambda b: (len({w for s, w in spots if b <= s < b + most}), -b))
-            cut = t[best : best + most].strip()
-            return ("..." if best else "") + cut + ("..." if best + most < len(t) else "")
-
-        return texts.map(one)
-
-    return excerpt
-
-
 def embedding_query(query: str) -> str:
     """A question's words without stopwords and intent words, in their own spelling; the question itself if none is left."""
-    kept = [w for w in re.findall(r"[A-Za-z0-9]+", query) if w.lower() not in V.QUERY_STOPWORDS and w.lower() not in INTENT_WORDS]
+    kept = [w for w in re.findall(r"[A-Za-z0-9]+", query) if w.lower() not in V.QUERY_STOPWORDS and w.lower() not in V.INTENT_WORDS]
     return " ".join(kept) or query
 
 
-def lead_with_insights(facts_ranked: DataFrame, insights_ranked: DataFrame, sources: DataFrame, semantic: bool = False, cap: int = V.DENSE_LEAD_CAP) -> DataFrame:
-    """R6, U8s: (id, rank, lead): matching insights first (at most ``cap`` of them when vectors are on), then the facts they don't cover."""
-    lead = insights_ranked.select("id", "rank")
-    lead = lead.filter(F.col("rank") <= cap) if semantic and cap > 0 else lead
-    covered = sources.join(lead.select(F.col("id").alias("insight_id")), "insight_id", "left_semi").select("id")
-    rest = facts_ranked.select("id", "rank").join(covered, "id", "left_anti")
-    both = lead.withColumn("lead", F.lit(True)).unionByName(rest.withColumn("lead", F.lit(False)))
-    return numbered(both.withColumnRenamed("rank", "own"), [F.desc("lead"), F.asc("own"), F.asc("id")], "rank").drop("own")
-
-
 def purge_counts(**removed: DataFrame) -> dict[str, int]:
     """How many rows of each kind a purge takes."""
     return {name: rows.count() for name, rows in removed.items()}
@@ -224,10 +187,3 @@ def sign_insights(made: DataFrame, key: bytes | None, key_id: str, signed_at: st
         return None
     rows = made.select("id", F.lit("insight").alias("kind"), "content", F.lit(None).cast("array<struct<event_id:string,path:string,line:int>>").alias("evidence"))
     return attest.sign(rows, key, key_id, signed_at)
-
-
-def expanded_recall(facts: DataFrame, query: str, now: Column, gates: Callable[[DataFrame], DataFrame] | None = None, seeds: int = 10) -> DataFrame:
-    """Graph-expanded recall with an injected gate on the facts and the clock as an argument."""
-    pool = gates(facts) if gates else facts
-    top = rank.bm25_scores(pool, query, now).orderBy(*rank.rank_order()).limit(seeds)
-    return graph.expand(pool, top.select("id"), now)

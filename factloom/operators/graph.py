@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scoring, text
 from factloom.functions import values as V
+from factloom.operators.numbering import numbered
 from factloom.operators.store_view import live
 
 
@@ -44,23 +45,23 @@ def graph_edges(facts: DataFrame) -> DataFrame:
     return derived.unionAll(supports).unionAll(mention).distinct()
 
 
-def expand(facts: DataFrame, seeds: DataFrame, now: Column, top: int = V.EXPANSION_TOP) -> DataFrame:
+def expand(facts: DataFrame, seeds: DataFrame, now: Column, top: int = V.EXPANSION_TOP, include_superseded: bool = False) -> DataFrame:
     """(id, graph_score, rank) of the facts two steps from the seeds (id), over shared concepts and sessions.
 
     A shared concept adds 0.30 divided by the facts that mention it, a shared session 0.15 for each seed in it.
     Candidates pass the gates of recall; ties go by confidence, then ord.
     """
     about = mentions(facts)
-    of_seeds = about.join(F.broadcast(seeds.select("id").distinct()), "id", "left_semi").groupBy("concept").agg(F.count(F.lit(1)).alias("seeds"))
+    of_seeds = about.join(seeds.select("id").distinct(), "id", "left_semi").groupBy("concept").agg(F.count(F.lit(1)).alias("seeds"))
     members = about.join(of_seeds.select("concept"), "concept", "left_semi").groupBy("concept").agg(F.count(F.lit(1)).alias("members"))
     weight = of_seeds.join(members, "concept").select("concept", (V.CONCEPT_WEIGHT * F.col("seeds") / F.col("members")).alias("w"))
     by_concept = about.join(weight, "concept").groupBy("id").agg(F.sum("w").alias("w"))
     named = facts.select("id", session_of(facts).alias("session_key"))
-    in_session = named.join(F.broadcast(seeds.select("id").distinct()), "id", "left_semi").groupBy("session_key").agg((V.SESSION_WEIGHT * F.count(F.lit(1))).alias("w"))
+    in_session = named.join(seeds.select("id").distinct(), "id", "left_semi").groupBy("session_key").agg((V.SESSION_WEIGHT * F.count(F.lit(1))).alias("w"))
     by_session = named.join(in_session, "session_key").select("id", "w")
     raw = by_concept.unionByName(by_session).groupBy("id").agg(F.sum("w").alias("raw")).join(seeds.select("id"), "id", "left_anti")
-    gated = live(facts, now).join(raw, "id")
-    score = F.col("raw") * F.col("confidence") * scoring.recency(F.col("kind"), F.col("day"), now) * scoring.supersession(F.col("deprecated"), F.col("status"), F.col("superseded_by")) * scoring.trust_factor(F.col("trust"))
+    gated = live(facts, now, include_superseded=include_superseded).join(raw, "id")
+    score = F.col("raw") * F.col("confidence") * scoring.recency(F.col("kind"), F.col("day"), now) * scoring.supersession(F.col("deprecated"), F.col("status"), F.col("superseded_by")) * scoring.trust_factor(F.col("trust"), F.col("provenance"))
     order = [F.round("graph_score", 9).desc(), F.desc("confidence"), F.asc("ord")]
     best = gated.withColumn("graph_score", score).filter(F.col("graph_score") > 0).orderBy(*order).limit(top)
     return best.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("id", "graph_score", "rank")
@@ -76,11 +77,11 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
     return F.when((F.size(vector) == len(query)) & (norm > 0) & ~F.isnan(cosine) & (F.abs(cosine) <= 1.000001), cosine)
 
 
-def dense_ranks(facts: DataFrame, vectors: DataFrame, query: list[float], now: Column, model: str, top: int = V.DENSE_TOP) -> DataFrame:
+def dense_ranks(facts: DataFrame, vectors: DataFrame, query: list[float], now: Column, model: str, top: int = V.DENSE_TOP, include_superseded: bool = False) -> DataFrame:
     """The dense side of J4: (id, cosine, dense_rank) of live facts by their vector; stale and orphan vectors don't count."""
     own = vectors.filter(F.col("model_id") == model).select(F.col("fact_id").alias("id"), "content_sha256", cosine_to(F.col("vector"), query).alias("cosine"))
     usable = own.filter(F.col("cosine").isNotNull()).groupBy("id", "content_sha256").agg(F.max("cosine").alias("cosine"))
-    fresh = live(facts, now).withColumn("hash", text.content_hash(F.col("content"))).join(usable, "id").filter(F.col("hash") == F.col("content_sha256"))
+    fresh = live(facts, now, include_superseded=include_superseded).withColumn("hash", text.content_hash(F.col("content"))).join(usable, "id").filter(F.col("hash") == F.col("content_sha256"))
     order = [F.round("cosine", 9).desc(), F.asc("ord")]
     return fresh.orderBy(*order).limit(top).withColumn("dense_rank", F.row_number().over(W.orderBy(*order))).select("id", "cosine", "dense_rank")
 
@@ -94,7 +95,7 @@ def fuse(seeds: DataFrame, dense: DataFrame, k: int = V.RRF_K, reserved: int = V
     rrf = F.coalesce(1.0 / (k + F.col("seed_rank")), F.lit(0.0)) + F.coalesce(1.0 / (k + F.col("dense_rank")), F.lit(0.0))
     order = [F.round("rrf", 12).desc(), F.asc_nulls_last("seed_rank"), F.asc("dense_rank")]
     kept = F.coalesce(F.col("dense_rank") <= reserved, F.lit(False)) & F.col("seed_rank").isNull()
-    return both.withColumn("rrf", rrf).withColumn("rank", F.row_number().over(W.orderBy(*order))).select("id", "rrf", "rank", kept.alias("reserved"))
+    return numbered(both.withColumn("rrf", rrf), order, "rank").select("id", "rrf", "rank", kept.alias("reserved"))
 
 
 def sidecar_plan(facts: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
@@ -113,11 +114,8 @@ def concept_index(facts: DataFrame) -> DataFrame:
     return rows.groupBy("concept").agg(F.count_distinct("id").alias("facts"), F.count_distinct("session_key").alias("sessions"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
 
 
-def concept_links(facts: DataFrame, most: int = 1000) -> DataFrame:
-    """(concept_a, concept_b, facts): how many facts mention both; concepts above ``most`` facts are hubs without links."""
-    about = mentions(facts)
-    hubs = about.groupBy("concept").count().filter(F.col("count") > most).select("concept")
+def concept_links(facts: DataFrame) -> DataFrame:
+    """(concept_a, concept_b, facts): how many facts mention both. A fact has at most eight concepts, so pairs grow with the facts only."""
     rows = facts.select("id", F.array_sort(text.concepts(F.col("content"))).alias("c"))
     pairs = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, V.CONCEPTS_PER_FACT), lambda y: F.struct(x.alias("concept_a"), y.alias("concept_b")))))
-    counted = rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("concept_a", "concept_b").agg(F.count(F.lit(1)).alias("facts"))
-    return counted.join(hubs.withColumnRenamed("concept", "concept_a"), "concept_a", "left_anti").join(hubs.withColumnRenamed("concept", "concept_b"), "concept_b", "left_anti")
+    return rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("concept_a", "concept_b").agg(F.count(F.lit(1)).alias("facts"))

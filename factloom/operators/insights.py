@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.functions import text
+from factloom.functions import scoring, text
+from factloom.functions import values as V
 from factloom.operators.numbering import numbered
 
 
@@ -20,30 +22,69 @@ def themes(clusters: DataFrame, facts: DataFrame, top: int = 5) -> DataFrame:
     return best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "term"))), lambda x: x["term"]), ", ").alias("theme"))
 
 
+#: The id of an insight hashes the list of its facts up to so many; of larger clusters their number and an order-free hash
+MOST_LISTED = 10_000
+
+
+def _source_lists(clusters: DataFrame) -> DataFrame:
+    """(cluster, listed): the sorted ids of a cluster as text, or number and hash of a cluster of more than MOST_LISTED."""
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).cast("string").alias("h"))
+    small = clusters.join(sizes.filter(F.col("n") <= MOST_LISTED).select("cluster"), "cluster", "left_semi")
+    lists = small.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return sizes.join(lists, "cluster", "left").select("cluster", F.coalesce("ids", F.concat_ws(":", F.lit("#"), F.col("n").cast("string"), "h")).alias("listed"))
+
+
 def insights(clusters: DataFrame, facts: DataFrame, min_size: int = 2, synthesizer: Callable[[str], str] | None = None) -> DataFrame:
-    """A5: one insight per cluster of at least ``min_size`` members.
+    """A5: one insight per cluster (C2) of at least ``min_size`` members.
 
-    Columns: id, cluster, of_kind, theme, recurrence, first_date, last_date, confidence, content. The id
-    hashes kind, theme and the cluster's first fact and size. A cluster may be very large, so its facts
-    are rows of ``insight_sources``, not an array.
-    Content is that of the latest member (the highest ord on ties); a synthesizer (U1) may replace it
-    with a text that passes the lesson gate.
+    Columns: id, cluster, of_kind, theme, recurrence, first_date, last_date, confidence, content, synthesized_by. The id hashes kind, theme
+    and the sorted ids of the facts, which are rows of ``insight_sources``. The content tells kind, recurrence, span of dates, theme and the
+    first 160 characters of the latest member (the highest ord on ties); a synthesizer (U1) may replace it with a text that passes the lesson gate.
+    Members without date leave the span as it is; an insight without any has empty dates.
     """
-    rows = clusters.select("id", "cluster").join(facts.select("id", "kind", "date_key", "confidence", "content", "ord"), "id")
+    rows = clusters.select("id", "cluster").join(facts.select("id", "kind", "source_date", "confidence", "content", "ord"), "id")
+    date = F.when(text.stripped("source_date") != "", F.col("source_date"))
     grouped = rows.groupBy("cluster").agg(
-        F.first("kind").alias("of_kind"), F.count(F.lit(1)).alias("recurrence"), F.min("date_key").alias("first_date"), F.max("date_key").alias("last_date"),
-        F.avg("confidence").alias("mean"), F.max_by("content", F.struct("date_key", "ord")).alias("content"),
+        F.first("kind").alias("of_kind"), F.count(F.lit(1)).alias("recurrence"), F.coalesce(F.min(date), F.lit("")).alias("first_date"), F.coalesce(F.max(date), F.lit("")).alias("last_date"),
+        F.avg("confidence").alias("mean"), F.max_by("content", F.struct(F.coalesce("source_date", F.lit("")), "ord")).alias("latest"),
     ).filter(F.col("recurrence") >= min_size)
-    named = grouped.join(themes(clusters, facts), "cluster", "left").fillna({"theme": ""})
-    seed = F.concat_ws(":", "of_kind", "theme", "cluster", F.col("recurrence").cast("string"))
+    named = grouped.join(themes(clusters, facts), "cluster", "left").fillna({"theme": ""}).join(_source_lists(clusters), "cluster")
+    seed = F.concat_ws(":", "of_kind", "theme", "listed")
     confidence = F.round(F.least(F.lit(0.95), 0.7 + 0.05 * F.col("recurrence"), F.col("mean")), 2)
+    span = F.when(F.col("first_date") == F.col("last_date"), F.col("first_date")).otherwise(F.concat("first_date", F.lit(".."), "last_date"))
+    told = F.concat(
+        F.lit("Recurring "), "of_kind", F.lit(" (seen "), F.col("recurrence").cast("string"), F.lit("x"), F.when(span != "", F.concat(F.lit(", "), span)).otherwise(""), F.lit("): "), "theme",
+        F.lit(". Most recent: "), F.substring("latest", 1, 160),
+    )
     made = named.select(
-        F.concat(F.lit("ins_"), F.substring(F.sha2(seed, 256), 1, 10)).alias("id"), "cluster", "of_kind", "theme", "recurrence", "first_date", "last_date", confidence.alias("confidence"), "content"
+        F.concat(F.lit("ins_"), F.substring(F.sha2(seed, 256), 1, 10)).alias("id"), "cluster", "of_kind", "theme", "recurrence", "first_date", "last_date", confidence.alias("confidence"), told.alias("content")
     )
     if synthesizer is None:
-        return made
-    write = F.udf(lambda c: synthesizer(c) if c else c, "string")
-    return made.withColumn("told", write("content")).withColumn("content", F.when(text.is_lesson(F.col("told")), F.col("told")).otherwise(F.col("content"))).drop("told")
+        return made.withColumn("synthesized_by", F.lit("heuristic"))
+
+    @F.pandas_udf("string")
+    def write(contents: pd.Series) -> pd.Series:
+        def one(content: str) -> str | None:
+            try:
+                return synthesizer(content)
+            except Exception:  # noqa: BLE001
+                return None
+
+        return contents.map(one)
+
+    better = made.withColumn("told", write("content")).withColumn("good", F.coalesce(text.is_lesson(F.col("told")), F.lit(False)))
+    picked = better.withColumn("content", F.when(F.col("good"), text.stripped("told")).otherwise(F.col("content")))
+    return picked.withColumn("synthesized_by", F.when(F.col("good"), "llm").otherwise("heuristic")).drop("told", "good")
+
+
+def insight_facts(made: DataFrame) -> DataFrame:
+    """Insights as tidied facts of kind ``insight``, which recall ranks like others; ord is their rank by size."""
+    none = F.lit(None).cast("string")
+    return ranked_insights(made).select(
+        F.col("rank").alias("ord"), "id", F.lit("insight").alias("kind"), F.lit("current").alias("status"), "confidence", "content", F.lit(V.SHARED_SOURCE).alias("source"),
+        F.col("last_date").alias("source_date"), F.when(F.col("last_date") == "", "unknown").otherwise(F.col("last_date")).alias("date_key"), scoring.parse_day(F.col("last_date")).alias("day"),
+        F.lit(None).cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), none.alias("superseded_by"), F.lit(False).alias("deprecated"), none.alias("trust"), none.alias("provenance"),
+    )
 
 
 def insight_sources(made: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -47,9 +47,10 @@ def last_status(receipts: DataFrame, key: str, status: str, seq: str) -> DataFra
 
 
 def stratified(facts: DataFrame, targets: dict[str, int]) -> DataFrame:
-    """Per kind, prose facts in order of date and ord, every k-th, as many as the kind's target."""
+    """Per kind, current prose facts of enough confidence in order of date and ord, every k-th, as many as the kind's target."""
     wanted = F.create_map(*[x for k, n in targets.items() for x in (F.lit(k), F.lit(n))])
-    pool = facts.filter(text.is_prose(F.col("content")) & F.col("kind").isin(list(targets))).withColumn("target", F.try_element_at(wanted, F.col("kind")))
+    sound = (F.col("status") == "current") & (F.col("confidence") >= V.MIN_CONFIDENCE)
+    pool = facts.filter(sound & text.is_prose(F.col("content")) & F.col("kind").isin(list(targets))).withColumn("target", F.try_element_at(wanted, F.col("kind")))
     sizes = pool.groupBy("kind").agg(F.count(F.lit(1)).alias("size"))
     placed = pool.withColumn("nth", F.row_number().over(W.partitionBy("kind").orderBy("date_key", "ord"))).join(F.broadcast(sizes), "kind")
     step = F.greatest(F.lit(1), F.floor(F.col("size") / F.col("target")))
@@ -64,7 +65,8 @@ def fuzz_queries(facts: DataFrame, count: int) -> DataFrame:
     rows = numbered(pool.select("id", "ord", "tokens"), [F.col("ord"), F.col("id")], "place").withColumn("nth", F.col("place") - 1).crossJoin(F.broadcast(size))
     step = F.greatest(F.lit(1), F.floor(F.col("size") / count))
     query = F.array_join(F.slice("tokens", F.floor(F.size("tokens") / 2).cast("int") + 1, 4), " ")
-    return rows.filter((F.pmod("nth", step) == 0) & (F.size("tokens") >= 2)).orderBy("ord").limit(count).select("id", query.alias("query"))
+    # the slice comes first: a fact of fewer than two tokens takes its place and has no query
+    return rows.filter(F.pmod("nth", step) == 0).filter(F.col("nth") < step * count).filter(F.size("tokens") >= 2).select("id", query.alias("query"))
 
 
 def promotion_queue(facts: DataFrame) -> DataFrame:

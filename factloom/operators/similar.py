@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.functions import values as V
+from factloom.operators.store_view import current
 from factloom.session import cut
 
 #: Bit i of word k tells whether an odd number of tokens fall in that bin of 256
@@ -43,14 +44,14 @@ def similar_pairs(rows: DataFrame, tokens: Column, part: Column, low: float, hig
     return kept.filter(F.col("overlap") < high) if high is not None else kept
 
 
-def duplicate_pairs(facts: DataFrame, similarity: float = V.DEDUP_SIMILARITY) -> DataFrame:
-    """Pairs of one kind."""
-    return similar_pairs(facts, text.content_tokens(F.col("content")), F.col("kind"), similarity)
+def duplicate_pairs(facts: DataFrame, now: Column, similarity: float = V.DEDUP_SIMILARITY) -> DataFrame:
+    """Pairs of current facts of one kind."""
+    return similar_pairs(current(facts, now), text.content_tokens(F.col("content")), F.col("kind"), similarity)
 
 
-def contradiction_pairs(facts: DataFrame, low: float = V.CONTRADICTION_LOW, high: float = V.CONTRADICTION_HIGH) -> DataFrame:
-    """Pairs across the watched kinds: the later one supersedes; gap in days, 0 if a date is missing."""
-    watched = facts.filter(F.col("kind").isin(*V.WATCHED_KINDS))
+def contradiction_pairs(facts: DataFrame, now: Column, low: float = V.CONTRADICTION_LOW, high: float = V.CONTRADICTION_HIGH) -> DataFrame:
+    """Pairs of current facts across the watched kinds: the later one supersedes; gap in days, 0 if a date is missing."""
+    watched = current(facts, now).filter(F.col("kind").isin(*V.WATCHED_KINDS))
     pairs = similar_pairs(watched, text.content_tokens(F.col("content")), F.lit(0), low, high)
     dates = watched.select("id", F.col("day").cast("date").alias("day"))
     both = pairs.join(dates.select(F.col("id").alias("id_a"), F.col("day").alias("day_a")), "id_a").join(dates.select(F.col("id").alias("id_b"), F.col("day").alias("day_b")), "id_b")
@@ -61,10 +62,19 @@ def contradiction_pairs(facts: DataFrame, low: float = V.CONTRADICTION_LOW, high
     )
 
 
-def top_contradictions(pairs: DataFrame, most: int = V.CONTRADICTION_TOP) -> DataFrame:
-    """The most overlapping pairs, and how many were left out."""
-    total = pairs.agg(F.count(F.lit(1)).alias("total"))
-    return pairs.orderBy(F.desc("overlap"), "earlier", "later").limit(most).crossJoin(F.broadcast(total)).withColumn("dropped", F.greatest(F.col("total") - most, F.lit(0))).drop("total")
+def top_contradictions(facts: DataFrame, now: Column, most: int = V.CONTRADICTION_TOP, low: float = V.CONTRADICTION_LOW, high: float = V.CONTRADICTION_HIGH, bands: tuple[float, ...] = (0.7, 0.55, 0.42)) -> DataFrame:
+    """The most overlapping pairs of J2, and how many were left out.
+
+    The number of pairs grows with the square of the facts of one wording, and fast as the overlap falls, so pairs are made down to
+    the first of ``bands`` above which there are ``most`` of them (to ``low`` at last), by the exact prefix of that band. ``dropped`` counts
+    the pairs left out down to there, which ``counted_from`` tells.
+    """
+    for floor in [b for b in bands if low < b < high] + [low]:
+        pairs = cut(contradiction_pairs(facts, now, floor, high))
+        total = pairs.count()
+        if total >= most or floor == low:
+            break
+    return pairs.orderBy(F.desc("overlap"), "earlier", "later").limit(most).withColumns({"dropped": F.lit(max(total - most, 0)).cast("long"), "counted_from": F.lit(floor)})
 
 
 def _least_reachable(links: DataFrame) -> DataFrame:
@@ -91,12 +101,12 @@ def label_components(edges: DataFrame) -> DataFrame:
     return _least_reachable(both).withColumnRenamed("x", "id")
 
 
-def duplicate_clusters(facts: DataFrame, similarity: float = V.DEDUP_SIMILARITY) -> DataFrame:
+def duplicate_clusters(facts: DataFrame, now: Column, similarity: float = V.DEDUP_SIMILARITY) -> DataFrame:
     """(id, kind, cluster, canonical) of facts in clusters of at least two.
 
     Canonical is a curated fact first, then the highest confidence, the earliest date, the least id.
     """
-    labels = label_components(cut(duplicate_pairs(facts, similarity)))
+    labels = label_components(cut(duplicate_pairs(facts, now, similarity)))
     named = facts.select("id", "kind", "confidence", "source_date").join(labels.withColumnRenamed("label", "cluster"), "id")
     order = F.struct((~F.col("id").startswith("curated-")).alias("a"), (-F.col("confidence")).alias("b"), F.coalesce("source_date", F.lit("9999-12-31")).alias("c"), "id")
     best = named.groupBy("cluster").agg(F.min(order).alias("best")).select("cluster", F.col("best.id").alias("canonical"))

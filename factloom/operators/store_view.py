@@ -12,7 +12,7 @@ from factloom.functions.dates import instant
 
 COLUMNS = [
     "ord", "id", "kind", "status", "confidence", "content", "source", "source_file", "source_date", "session", "machine", "created_at", "last_seen_at",
-    "valid_at", "invalid_at", "superseded_by", "superseded_at", "supersession_reason", "deprecated", "trust", "pr_numbers", "evidence", "extra",
+    "valid_at", "invalid_at", "superseded_by", "superseded_at", "supersession_reason", "deprecated", "trust", "provenance", "pr_numbers", "evidence", "extra",
 ]
 
 
@@ -27,6 +27,12 @@ def latest(facts: DataFrame) -> DataFrame:
     return newest.select("id", *[F.col("r")[c].alias(c) for c in names])
 
 
+def whole(facts: DataFrame) -> DataFrame:
+    """Facts with every column that operators use; those that a store lacks are null."""
+    kinds = {"ord": "long", "confidence": "double", "created_at": "timestamp", "last_seen_at": "timestamp", "deprecated": "boolean", "pr_numbers": "array<int>", "evidence": "array<struct<event_id:string,path:string,line:int>>"}
+    return facts.withColumns({c: F.lit(None).cast(kinds.get(c, "string")) for c in COLUMNS if c not in facts.columns})
+
+
 def owner(source: Column) -> Column:
     """the owner of a fact; a missing or blank source is the shared one."""
     tidy = stripped(F.coalesce(source, F.lit("")))
@@ -41,9 +47,12 @@ def tidy(facts: DataFrame) -> DataFrame:
     """
     status = F.lower(stripped(F.coalesce("status", F.lit(""))))
     key = stripped(F.coalesce("source_date", F.lit("")))
+    newest = latest(facts)
+    if "provenance" not in newest.columns:
+        # an open field of a fact rides in its extra JSON
+        newest = newest.withColumn("provenance", F.get_json_object("extra", "$.provenance") if "extra" in newest.columns else F.lit(None).cast("string"))
     return (
-        latest(facts)
-        .withColumn("kind", F.lower(stripped(F.coalesce("kind", F.lit("")))))
+        newest.withColumn("kind", F.lower(stripped(F.coalesce("kind", F.lit("")))))
         .withColumn("status", F.when(status == "", "current").otherwise(status))
         .withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
         .withColumn("content", F.coalesce("content", F.lit("")))
@@ -55,9 +64,15 @@ def tidy(facts: DataFrame) -> DataFrame:
     )
 
 
-def live(facts: DataFrame, now: Column, floor: float = V.MIN_CONFIDENCE) -> DataFrame:
-    """F11 to F13 over tidied facts: not superseded, valid now, of enough confidence."""
-    return facts.filter((F.col("status") != "superseded") & scoring.valid(F.col("valid_from"), F.col("valid_to"), now) & (F.col("confidence") >= floor))
+def current(facts: DataFrame, now: Column) -> DataFrame:
+    """F11, F12 over tidied facts: not superseded and valid now, of any confidence."""
+    return facts.filter((F.col("status") != "superseded") & scoring.valid(F.col("valid_from"), F.col("valid_to"), now))
+
+
+def live(facts: DataFrame, now: Column, floor: float = V.MIN_CONFIDENCE, include_superseded: bool = False) -> DataFrame:
+    """F11 to F13 over tidied facts: not superseded, valid now (unless superseded ones are asked for), of enough confidence."""
+    pool = facts if include_superseded else current(facts, now)
+    return pool.filter(F.col("confidence") >= floor)
 
 
 def scoped(facts: DataFrame, sources: str | list[str] | None) -> DataFrame:
@@ -65,3 +80,8 @@ def scoped(facts: DataFrame, sources: str | list[str] | None) -> DataFrame:
     if sources is None:
         return facts
     return facts.filter(F.col("source").isin([sources] if isinstance(sources, str) else list(sources)))
+
+
+def agent_scope(agent: str | None) -> list[str] | None:
+    """the owners that an agent sees: itself and the shared one; no agent sees all."""
+    return [agent.strip(), V.SHARED_SOURCE] if agent and agent.strip() else None

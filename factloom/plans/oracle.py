@@ -44,7 +44,7 @@ FACTS = f"""
     f AS (SELECT ord, id, lower({strip("coalesce(kind, '')")}) AS kind, coalesce(nullif(lower({strip('status')}), ''), 'current') AS status, coalesce(confidence, 0) AS confidence,
         coalesce(content, '') AS content, coalesce(nullif({strip('source')}, ''), 'shared') AS source, source_date, coalesce(nullif({strip('source_date')}, ''), 'unknown') AS date_key,
         coalesce({instant("source_date")}, CASE WHEN regexp_matches(substr({strip('source_date')}, 1, 10), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN epoch_us(try_cast(substr({strip('source_date')}, 1, 10) AS TIMESTAMP)) END) AS day,
-        {instant("valid_at")} AS valid_from, {instant("invalid_at")} AS valid_to, superseded_by, superseded_at, deprecated, trust, session, source_file, evidence, last_seen_at
+        {instant("valid_at")} AS valid_from, {instant("invalid_at")} AS valid_to, superseded_by, superseded_at, deprecated, trust, json_extract_string(extra, '$.provenance') AS provenance, session, source_file, evidence, last_seen_at
         FROM r WHERE rn = 1)"""
 
 
@@ -53,6 +53,24 @@ def live(now: str, floor: float = V.MIN_CONFIDENCE) -> str:
     return f"l AS (SELECT * FROM f WHERE status <> 'superseded' AND coalesce({n} >= valid_from, true) AND coalesce({n} < valid_to, true) AND confidence >= {floor})"
 
 
+def current(now: str) -> str:
+    """CTE cu: facts that are not superseded and valid, of any confidence."""
+    n = f"epoch_us(TIMESTAMP {quoted(now)})"
+    return f"cu AS (SELECT * FROM f WHERE status <> 'superseded' AND coalesce({n} >= valid_from, true) AND coalesce({n} < valid_to, true))"
+
+
+def excerpts(source: str, terms: list[str], most: int) -> str:
+    """CTEs up to ex: the rows of ``source`` with ``excerpt``, the best stretch of their content for the terms."""
+    word = "regexp_extract(sg[i + 1], '[A-Za-z0-9]+$')"
+    first = "greatest(0, h.p - 30)"
+    return f"""e0 AS (SELECT *, regexp_extract_all(content, '[^A-Za-z0-9]*[A-Za-z0-9]+') AS sg FROM {source}),
+        e1 AS (SELECT *, list_transform(range(len(sg)), lambda i: {{'p': list_sum(list_transform(sg[1:i + 1], lambda z: len(z)))::BIGINT - len({word}), 't': {STEM.format(x=f"[lower({word})]")}[1]}}) AS hw FROM e0),
+        e2 AS (SELECT *, list_filter(hw, lambda h: list_contains({sql_list(terms)}, h.t)) AS hits FROM e1),
+        e3 AS (SELECT *, list_sort(list_transform(hits, lambda h: {{'n': len(list_distinct(list_transform(list_filter(hits, lambda g: g.p >= {first} AND g.p < {first} + {most}), lambda g: g.t))), 'm': -{first}}}), 'DESC')[1] AS best FROM e2),
+        ex AS (SELECT *, CASE WHEN len(content) <= {most} OR best IS NULL THEN substr(content, 1, {most}) ELSE (CASE WHEN best.m < 0 THEN '...' ELSE '' END)
+            || regexp_replace(substr(content, 1 - best.m, {most}), '^\\s+|\\s+$', '', 'g') || (CASE WHEN {most} - best.m < len(content) THEN '...' ELSE '' END) END AS excerpt FROM e3)"""
+
+
 STEM = "list_transform({x}, lambda t: CASE WHEN len(t) > 4 AND t LIKE '%ies' THEN substr(t, 1, len(t) - 3) || 'y' WHEN len(t) > 4 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN substr(t, 1, len(t) - 1) ELSE t END)"
 
 
@@ -71,7 +89,8 @@ def recency(now: str) -> str:
 
 
 SUPERSESSION = f"CASE WHEN coalesce(deprecated, false) THEN 0.4 WHEN status = 'current' AND len(coalesce({strip('superseded_by')}, '')) > 0 THEN 0.6 ELSE 1.0 END"
-TRUST = "CASE WHEN lower(coalesce(trust, '')) IN ('untrusted', 'external') THEN 0.5 ELSE 1.0 END"
+TRUST = """CASE WHEN lower(coalesce(trust, '')) IN ('untrusted', 'external') OR (lower(coalesce(trust, '')) <> 'trusted'
+    AND lower(coalesce(provenance, '')) IN ('external_write', 'mcp', 'tool', 'external')) THEN 0.5 ELSE 1.0 END"""
 
 
 def bulk(share: str) -> str:

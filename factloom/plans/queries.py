@@ -12,7 +12,7 @@ from factloom.functions import values as V
 from factloom.functions.dates import utc_text
 from factloom.operators import attest, extras, graph, history, ingest, insights, rank, reports, setops, similar, store_view
 from factloom.plans import oracle as O
-from factloom.session import table
+from factloom.session import cut, table
 
 NOW = "2026-05-01 00:00:00"
 QUERY = "which kernel owns the weekly ledger of the operator"
@@ -69,15 +69,15 @@ def f11_live_facts(spark, d):
     return store_view.live(facts(spark, d), now()).select("id", "kind")
 
 
-@query(f"WITH {O.FACTS}, {O.live(NOW)} SELECT source, count(*) AS n FROM l WHERE source IN ('shared', 'ops') OR source LIKE 'a%' GROUP BY source")
+@query(f"WITH {O.FACTS}, {O.live(NOW)} SELECT source, count(*) AS n FROM l WHERE source IN ('shared', 'ops') GROUP BY source")
 def f14_scoped_counts(spark, d):
-    f = store_view.live(facts(spark, d), now())
-    return f.filter(F.col("source").isin("shared", "ops") | F.col("source").startswith("a")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    f = store_view.scoped(store_view.live(facts(spark, d), now()), store_view.agent_scope(" ops "))
+    return f.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {O.FACTS} SELECT id, date_key FROM f WHERE kind = 'decision' AND date_key >= '2026-01-01'")
+@query(f"WITH {O.FACTS}, s AS (SELECT id, ord, contains(lower(content), 'ledger')::INT + contains(lower(content), 'the')::INT AS score FROM f WHERE kind = 'decision' AND date_key >= '2026-01-01') SELECT id, score FROM s WHERE score > 0")
 def f15_attribute_filter(spark, d):
-    return facts(spark, d).filter((F.col("kind") == "decision") & (F.col("date_key") >= "2026-01-01")).select("id", "date_key")
+    return rank.keyword_query(facts(spark, d), ["ledger", "the"], "decision", "2026-01-01", limit=None).select("id", "score")
 
 
 @query(f"WITH {O.FACTS} SELECT id FROM f WHERE contains(lower(content), 'weekly') AND contains(lower(content), 'ledger')")
@@ -197,7 +197,7 @@ def n1_text_functions(spark, d):
 def n9_n11_factors(spark, d):
     return facts(spark, d).select(
         "id", F.round(scoring.recency(F.col("kind"), F.col("day"), now()), 9).alias("recency"),
-        scoring.supersession(F.col("deprecated"), F.col("status"), F.col("superseded_by")).cast("double").alias("supersession"), scoring.trust_factor(F.col("trust")).cast("double").alias("trust"),
+        scoring.supersession(F.col("deprecated"), F.col("status"), F.col("superseded_by")).cast("double").alias("supersession"), scoring.trust_factor(F.col("trust"), F.col("provenance")).cast("double").alias("trust"),
     )
 
 
@@ -353,7 +353,7 @@ _TARGETS = {"directive": 9, "decision": 7, "bug": 7, "architecture": 7, "correct
 
 @query(
     f"""WITH {O.FACTS}, p AS (SELECT id, kind, date_key, ord, CASE kind {" ".join(f"WHEN {O.quoted(k)} THEN {n}" for k, n in _TARGETS.items())} END AS target FROM f
-        WHERE kind IN {O.sql_in(_TARGETS)} AND len(content) BETWEEN 180 AND 1200 AND NOT (contains(content, 'VERDICT:') OR contains(content, 'Answer on the first line') OR contains(content, 'EARLIER:')
+        WHERE status = 'current' AND confidence >= 0.7 AND kind IN {O.sql_in(_TARGETS)} AND len(content) BETWEEN 180 AND 1200 AND NOT (contains(content, 'VERDICT:') OR contains(content, 'Answer on the first line') OR contains(content, 'EARLIER:')
         OR contains(content, '{{"') OR contains(content, '":"') OR contains(content, 'json')) AND len(content) - len(replace(content, '/', '')) <= 6 AND len(content) - len(replace(content, ':', '')) <= 8),
     n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY date_key, ord) AS nth, greatest(1, count(*) OVER (PARTITION BY kind) // target) AS step FROM p)
     SELECT kind, (nth - 1) // step + 1 AS pick, id, date_key FROM n WHERE (nth - 1) % step = 0 AND (nth - 1) // step + 1 <= target"""
@@ -365,7 +365,7 @@ def a13_stratified_sample(spark, d):
 @query(
     f"""WITH {O.FACTS}, p AS (SELECT id, ord, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS t FROM f WHERE status <> 'superseded'),
     n AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS nth, greatest(1, count(*) OVER () // 50) AS step FROM p)
-    SELECT id, array_to_string(t[len(t) // 2 + 1 : len(t) // 2 + 4], ' ') AS query FROM n WHERE nth % step = 0 AND len(t) >= 2 ORDER BY ord LIMIT 50"""
+    SELECT id, array_to_string(t[len(t) // 2 + 1 : len(t) // 2 + 4], ' ') AS query FROM n WHERE nth % step = 0 AND nth < 50 * step AND len(t) >= 2"""
 )
 def a17_fuzz_queries(spark, d):
     return reports.fuzz_queries(facts(spark, d), 50)
@@ -387,8 +387,8 @@ def a14_fixture_slice(spark, d):
 _TERMS = text.query_terms(QUERY)
 _BM25 = O.bm25(_TERMS, NOW, 1)
 _BM25_MIN = O.bm25(_TERMS, NOW, text.min_matches(_TERMS))
-_LINE = "'[' || date_key || '] [' || upper(CASE WHEN kind = '' THEN 'fact' ELSE kind END) || ']' || chr(10) || CASE WHEN status = 'superseded' THEN '[SUPERSEDED] ' ELSE '' END || substr(content, 1, 320)"
-_HEADER = len(f"Memory recall (0 matches, budget {V.DEFAULT_BUDGET} tokens):") // V.CHARS_PER_TOKEN
+_LINE = "'[' || date_key || '] [' || upper(CASE WHEN kind = '' THEN 'fact' ELSE kind END) || ']' || chr(10) || CASE WHEN status = 'superseded' THEN '[SUPERSEDED] ' ELSE '' END || excerpt"
+_HEADER = "len('Memory recall (' || (SELECT count(*) FROM s) || ' matches, budget 1000 tokens):') // 4"
 
 
 @query(f"WITH {_BM25} SELECT id, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank, round(score, 6) AS score, matched, pairs FROM s")
@@ -411,9 +411,10 @@ def r3_date_capped(spark, d):
 
 @query(
     f"""WITH {_BM25_MIN}, k AS (SELECT *, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY rank) > {V.MAX_PER_DATE} AS late FROM k),
-    o AS (SELECT *, row_number() OVER (ORDER BY late, rank) AS position, {_LINE} AS line FROM c),
+    {O.excerpts("c", _TERMS, 320)},
+    o AS (SELECT *, row_number() OVER (ORDER BY late, rank) AS position, {_LINE} AS line FROM ex),
     b AS (SELECT *, sum(len(line) // 4) OVER (ORDER BY position) + {_HEADER} AS used FROM o)
-    SELECT position, id, line, used::BIGINT AS used FROM b WHERE used <= {V.DEFAULT_BUDGET}"""
+    SELECT position, id, line, used::BIGINT AS used FROM b WHERE used <= 1000"""
 )
 def r7_select_recall(spark, d):
     return rank.select_recall(facts(spark, d), QUERY, now()).select("position", "id", "line", "used")
@@ -441,7 +442,7 @@ def r10_briefing(spark, d):
 
 # --- similarity, clusters, insights ---------------------------------------------------------------
 
-_PAIRS = f"""{O.FACTS}, w AS (SELECT id, kind, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM f),
+_PAIRS = f"""{O.FACTS}, {O.current(NOW)}, w AS (SELECT id, kind, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM cu),
     x AS (SELECT id, kind, t, len(t) AS n FROM w WHERE len(t) > 0)"""
 _OVERLAP = "len(list_intersect(a.t, b.t)) / (a.n + b.n - len(list_intersect(a.t, b.t)))"
 _DUPLICATES = f"""{_PAIRS}, p AS (SELECT a.id AS id_a, b.id AS id_b, {_OVERLAP} AS overlap FROM x a JOIN x b ON a.kind = b.kind AND a.id < b.id AND a.n >= {V.DEDUP_SIMILARITY} * b.n AND b.n >= {V.DEDUP_SIMILARITY} * a.n
@@ -450,7 +451,7 @@ _DUPLICATES = f"""{_PAIRS}, p AS (SELECT a.id AS id_a, b.id AS id_b, {_OVERLAP}
 
 @query(f"WITH {_DUPLICATES} SELECT id_a, id_b, round(overlap, 6) AS overlap FROM p")
 def j1_duplicate_pairs(spark, d):
-    return similar.duplicate_pairs(facts(spark, d)).select("id_a", "id_b", F.round("overlap", 6).alias("overlap"))
+    return similar.duplicate_pairs(facts(spark, d), now()).select("id_a", "id_b", F.round("overlap", 6).alias("overlap"))
 
 
 _CLUSTERS = f"""RECURSIVE {_DUPLICATES}, e AS (SELECT id_a AS u, id_b AS v FROM p UNION SELECT id_b, id_a FROM p),
@@ -462,23 +463,25 @@ _CLUSTERS = f"""RECURSIVE {_DUPLICATES}, e AS (SELECT id_a AS u, id_b AS v FROM
 
 @query(f"WITH {_CLUSTERS} SELECT id, kind, cluster, canonical FROM k")
 def c1_duplicate_clusters(spark, d):
-    return similar.duplicate_clusters(facts(spark, d))
+    return similar.duplicate_clusters(facts(spark, d), now())
 
 
 @query(f"WITH {_CLUSTERS} SELECT f.id, CASE WHEN canonical <> f.id THEN 'superseded' ELSE status END AS status, CASE WHEN canonical <> f.id THEN canonical ELSE superseded_by END AS superseded_by FROM f LEFT JOIN k ON f.id = k.id")
 def c5_applied_duplicates(spark, d):
     f = facts(spark, d)
-    return similar.apply_duplicates(f, similar.duplicate_clusters(f), "2026-05-01T00:00:00Z").select("id", "status", "superseded_by")
+    return similar.apply_duplicates(f, similar.duplicate_clusters(f, now()), "2026-05-01T00:00:00Z").select("id", "status", "superseded_by")
 
 
 @query(
     f"""WITH {_PAIRS}, y AS (SELECT x.*, (make_timestamp(f.day))::DATE AS day FROM x JOIN f USING (id) WHERE x.kind IN {O.sql_in(V.WATCHED_KINDS)}),
     p AS (SELECT a.id AS ia, b.id AS ib, a.day AS da, b.day AS db, {_OVERLAP} AS overlap FROM y a JOIN y b ON a.id < b.id WHERE {_OVERLAP} >= {V.CONTRADICTION_LOW} AND {_OVERLAP} < {V.CONTRADICTION_HIGH}),
-    o AS (SELECT CASE WHEN coalesce(db >= da, true) THEN ia ELSE ib END AS earlier, CASE WHEN coalesce(db >= da, true) THEN ib ELSE ia END AS later, round(overlap, 3) AS overlap, coalesce(abs(db - da), 0) AS gap_days FROM p)
-    SELECT *, greatest((SELECT count(*) FROM o) - {V.CONTRADICTION_TOP}, 0) AS dropped FROM o ORDER BY overlap DESC, earlier, later LIMIT {V.CONTRADICTION_TOP}"""
+    o AS (SELECT CASE WHEN coalesce(db >= da, true) THEN ia ELSE ib END AS earlier, CASE WHEN coalesce(db >= da, true) THEN ib ELSE ia END AS later, round(overlap, 3) AS overlap, overlap AS exact, coalesce(abs(db - da), 0) AS gap_days FROM p),
+    b AS (SELECT coalesce(max(t), 0.3) AS t FROM (VALUES (0.7), (0.55), (0.42)) v(t) WHERE (SELECT count(*) FROM o WHERE exact >= t) >= {V.CONTRADICTION_TOP}),
+    q AS (SELECT earlier, later, overlap, gap_days, t FROM o, b WHERE exact >= t)
+    SELECT earlier, later, overlap, gap_days, greatest((SELECT count(*) FROM q) - {V.CONTRADICTION_TOP}, 0) AS dropped, t::DOUBLE AS counted_from FROM q ORDER BY overlap DESC, earlier, later LIMIT {V.CONTRADICTION_TOP}"""
 )
 def j2_r11_contradictions(spark, d):
-    return similar.top_contradictions(similar.contradiction_pairs(facts(spark, d)))
+    return similar.top_contradictions(facts(spark, d), now())
 
 
 def _greedy(pool: str, similarity: float) -> str:
@@ -518,20 +521,24 @@ def c4_bulk_archive(spark, d):
 
 
 @query(
-    f"""WITH {_CLUSTERS}, i AS (SELECT cluster, count(*) AS recurrence, min(date_key) AS first_date, max(date_key) AS last_date, avg(confidence) AS mean FROM k JOIN f USING (id) GROUP BY cluster),
+    f"""WITH {_greedy(_SYNTHESIS_POOL, V.SYNTHESIS_SIMILARITY)}, k AS MATERIALIZED (SELECT id, cluster FROM c), y AS (SELECT k.cluster, f.*, CASE WHEN {O.strip("source_date")} <> '' THEN source_date END AS sd FROM k JOIN f USING (id)),
+    i AS (SELECT cluster, min(kind) AS of_kind, count(*) AS recurrence, coalesce(min(sd), '') AS first_date, coalesce(max(sd), '') AS last_date, avg(confidence) AS mean, arg_max(content, (coalesce(source_date, ''), ord)) AS latest, array_to_string(list_sort(list(id)), ',') AS ids FROM y GROUP BY cluster HAVING count(*) >= 2),
     t AS (SELECT cluster, term, count(*) AS n FROM (SELECT cluster, unnest(list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')), lambda x: len(x) > 2 AND x NOT IN {O.sql_in(V.SYNTHESIS_STOPWORDS)})) AS term FROM k JOIN f USING (id)) GROUP BY ALL),
     h AS (SELECT cluster, array_to_string(list(term ORDER BY nth), ', ') AS theme FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) AS nth FROM t) WHERE nth <= 5 GROUP BY cluster)
-    SELECT cluster, coalesce(theme, '') AS theme, recurrence, first_date, last_date, round(least(0.95, 0.7 + 0.05 * recurrence, mean), 2) AS confidence FROM i LEFT JOIN h USING (cluster)"""
+    SELECT 'ins_' || substr(sha256(of_kind || ':' || coalesce(theme, '') || ':' || ids), 1, 10) AS id, of_kind, coalesce(theme, '') AS theme, recurrence, first_date, last_date, round(least(0.95, 0.7 + 0.05 * recurrence, mean), 2) AS confidence,
+    'Recurring ' || of_kind || ' (seen ' || recurrence || 'x' || CASE WHEN last_date = '' THEN '' WHEN first_date = last_date THEN ', ' || first_date ELSE ', ' || first_date || '..' || last_date END || '): ' || coalesce(theme, '') || '. Most recent: ' || substr(latest, 1, 160) AS content
+    FROM i LEFT JOIN h USING (cluster)"""
 )
 def a4_a5_insights(spark, d):
     f = facts(spark, d)
-    return insights.insights(similar.duplicate_clusters(f), f).select("cluster", "theme", "recurrence", "first_date", "last_date", "confidence")
+    made = insights.insights(cut(similar.synthesis_clusters(f)), f)
+    return made.select("id", "of_kind", "theme", "recurrence", "first_date", "last_date", "confidence", "content")
 
 
-@query(f"WITH {_CLUSTERS} SELECT id FROM f WHERE id NOT IN (SELECT id FROM k)")
+@query(f"WITH {_greedy(_SYNTHESIS_POOL, V.SYNTHESIS_SIMILARITY)}, b AS (SELECT cluster FROM c GROUP BY cluster HAVING count(*) >= 2) SELECT id FROM f WHERE id NOT IN (SELECT id FROM c JOIN b USING (cluster))")
 def u8s_uncovered(spark, d):
     f = facts(spark, d)
-    clusters = similar.duplicate_clusters(f)
+    clusters = similar.synthesis_clusters(f)
     return setops.uncovered(f, insights.insight_sources(insights.insights(clusters, f), clusters)).select("id")
 
 
@@ -629,10 +636,9 @@ def v8_resign_plan(spark, d):
     return extras.resign_plan(changed, signed, KEY)
 
 
-@query()
+@query(f"WITH {O.FACTS}, {O.excerpts('f', text.query_terms(QUERY), 80)} SELECT id, excerpt FROM ex")
 def n6_excerpts(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.select("doc_id", extras.excerpter(text.query_terms(QUERY))("text").alias("excerpt"))
+    return facts(spark, d).select("id", text.excerpt(F.col("content"), text.query_terms(QUERY), 80).alias("excerpt"))
 
 
 @query(f"WITH {O.FACTS} SELECT id FROM f WHERE id NOT LIKE 'a%' AND NOT contains(lower(content), 'weekly ledger')")
@@ -661,9 +667,13 @@ def p3_found(spark, d):
     return history.fact_versions(table(spark, d, "fact_snapshots")).select("id", "from_ts", "to_ts")
 
 
-@query()
+@query(
+    f"""WITH {_P3.replace("e AS (SELECT id, moment,", "e AS (SELECT id, moment, status, v, i, s,").replace("k AS (SELECT id, moment,", "k AS (SELECT id, moment, status, v, i, s,")}
+    SELECT id, strftime(make_timestamp(moment), '%Y-%m-%dT%H:%M:%SZ') AS from_ts, coalesce(strftime(make_timestamp(ends), '%Y-%m-%dT%H:%M:%SZ'), '') AS to_ts, status, v AS valid_at, i AS invalid_at, s AS superseded_at FROM e WHERE state <> 'purged'"""
+)
 def p3_versions(spark, d):
-    return history.fact_versions(table(spark, d, "fact_snapshots"))
+    rows = history.fact_versions(table(spark, d, "fact_snapshots"))
+    return rows.select("id", "from_ts", "to_ts", "status", *[F.unix_micros(c).alias(c) for c in ("valid_at", "invalid_at", "superseded_at")])
 
 
 def queries() -> dict[str, Query]:

@@ -74,6 +74,10 @@ class FactStore:
     def export_json(self, path: str) -> None:
         self.load().write.mode("overwrite").json(path, ignoreNullFields=False)
 
+    def write_artifact(self, rows: DataFrame, name: str) -> None:
+        """Writes a table derived from the facts beside them, as Parquet."""
+        rows.write.mode("overwrite").parquet(str(self.path / name))
+
     def note(self, row: dict, ledger: str) -> None:
         """Appends a row to a ledger as one line with its end, in one write."""
         self.path.mkdir(parents=True, exist_ok=True)

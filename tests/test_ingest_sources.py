@@ -117,6 +117,12 @@ def test_engine_and_rebuild(spark, transcript, tmp_path, make_facts):
     lines = jsonl.session_lines(jsonl.read_lines(spark, transcript)).filter("not malformed")
     assert rebuild(s, lines)["promoted"] and rebuild(s, lines)["after"] == 1
     assert not rebuild(store.ParquetStore(spark, str(tmp_path / "none")), lines.limit(0))["promoted"]
+    done = rebuild(s, lines, "2026-06-13T00:00:00Z", key=b"k", key_id="k1", model="m", vectors=spark.createDataFrame([], "fact_id string, model_id string, content_sha256 string, vector array<float>"))
+    assert done["artifacts"] == ["attestations", "contradictions", "graph-edges", "graph-nodes", "insights", "review", "sidecar-plan"]
+    assert spark.read.parquet(str(tmp_path / "store" / "sidecar-plan")).first().action == "embed" and spark.read.parquet(str(tmp_path / "store" / "attestations")).count() == 1
+    bad = store.ParquetStore(spark, str(tmp_path / "bad"))
+    bad.replace_all(make_facts({"id": "old", "content": None, "source_date": "2026-01-01"}))
+    assert not rebuild(bad, lines)["promoted"] and bad.load().count() == 1
     e = RecallEngine(spark, make_facts({"id": "a", "kind": "bug", "content": "kernel ledger", "source_date": "2026-06-01"}, {"id": "b", "kind": "bug", "content": "ledger volcano", "source_date": "2026-06-01"}), "2026-06-13")
     assert "kernel ledger" in e.recall_text("kernel") and e.recall_text("nothing") == ""
     assert {r.via for r in e.expanded("kernel").collect()} == {"match", "graph"}
@@ -127,16 +133,16 @@ def test_engine_and_rebuild(spark, transcript, tmp_path, make_facts):
 def test_rebuild_keeps_old_facts_whole(spark, transcript, tmp_path, make_facts, kind):
     lines = jsonl.session_lines(jsonl.read_lines(spark, transcript)).filter("not malformed")
     made = ingest.facts_from_events(ingest.sanitised(lines)).first()
-    old = {"id": "old", "content": "x", "status": "superseded", "source": "me", "source_file": "f.md", "machine": "m", "valid_at": "2026-01-01", "invalid_at": "2026-02-01", "superseded_by": "b", "superseded_at": "2026-02-01"}
+    old = {"id": "old", "content": "x", "source_date": "2026-01-01", "status": "superseded", "source": "me", "source_file": "f.md", "machine": "m", "valid_at": "2026-01-01", "invalid_at": "2026-02-01", "superseded_by": "b", "superseded_at": "2026-02-01"}
     old |= {"supersession_reason": "newer", "deprecated": True, "trust": "high", "extra": "{}", "evidence": [("e", "p", 3)], "pr_numbers": [5]}
     s = kind(spark, str(tmp_path / "store"))
-    s.replace_all(make_facts(old, {"id": made.id, "content": "stale", "kind": "bug", "ord": 4}, {"id": "other", "ord": 7}))
+    s.replace_all(make_facts(old, {"id": made.id, "content": "stale", "kind": "bug", "ord": 4, "source_date": "2026-01-03"}, {"id": "other", "ord": 7, "content": "y", "source_date": "2026-01-02"}))
     assert rebuild(s, lines)["after"] == 3
     got = {r.id: r.asDict(recursive=True) for r in s.load().collect()}
     assert {k: got["old"][k] for k in old if k not in ("evidence", "pr_numbers")} == {k: v for k, v in old.items() if k not in ("evidence", "pr_numbers")}
     assert got["old"]["evidence"] == [{"event_id": "e", "path": "p", "line": 3}] and [int(n) for n in got["old"]["pr_numbers"]] == [5]
     assert (got[made.id]["content"], got[made.id]["kind"], got[made.id]["ord"]) == (made.content, "decision", 4) and got[made.id]["evidence"][0]["line"] == made.evidence.line
-    s.replace_all(make_facts(old, {"id": "other", "ord": 7}))
+    s.replace_all(make_facts(old, {"id": "other", "ord": 7, "content": "y", "source_date": "2026-01-02"}))
     assert rebuild(s, lines)["after"] == 3 and {r.id: r.ord for r in s.load().collect()} == {"old": 0, "other": 7, made.id: 8}
 
 

@@ -66,8 +66,8 @@ def plain_reserved(rows, budget, header):
     committed = used
     spent = 0
     for p, c, r in rows:
-        if r:
-            if p in kept and not stopped:
+        if p in kept:
+            if not stopped:
                 out.append(p)
             continue
         if stopped:
@@ -89,6 +89,39 @@ def test_reserved_budget_against_plain_restatement(spark, seed):
     assert got == plain_reserved(rows, 30, 4)
 
 
+def test_superseded_on_demand(make_facts, now):
+    f = store_view.tidy(make_facts(fact("a", "alpha beta gamma"), fact("b", "alpha beta delta", status="superseded"), fact("c", "alpha beta", invalid_at="2026-01-01"), fact("d", "alpha beta", confidence=0.1)))
+    assert {r.id for r in rank.select_recall(f, "alpha beta", now).collect()} == {"a"}
+    told = {r.id: r.line for r in rank.select_recall(f, "alpha beta", now, include_superseded=True).collect()}
+    assert set(told) == {"a", "b", "c"} and "[SUPERSEDED] alpha" in told["b"] and "SUPERSEDED" not in told["a"]
+
+
+def test_composed_recall(make_facts, now, spark):
+    """Vectors, graph, insights, verification and reserved slots in one list."""
+    import hashlib
+
+    names = ["a", "b", "c", "v", "g", "t", "w"]
+    texts = ["alpha beta gamma", "alpha beta delta", "alpha beta epsilon", "nothing lexical here", "gamma follows elsewhere", "alpha beta tampered", "alpha beta " + "word " * 900]
+    f = store_view.tidy(make_facts(*[fact(i, t, session=f"s{i}") for i, t in zip(names, texts)]))
+    verdicts = spark.createDataFrame([("t", "tampered"), ("a", "valid"), ("b", "unsigned")], "id string, verdict string")
+    sha = {i: hashlib.sha256(t.strip().encode()).hexdigest() for i, t in zip(names, texts)}
+    vectors = spark.createDataFrame([("v", "m", sha["v"], [1.0, 0.0]), ("a", "m", sha["a"], [0.0, 1.0]), ("b", "m", "stale", [1.0, 0.0])], "fact_id string, model_id string, content_sha256 string, vector array<float>")
+    base = [r.id for r in rank.select_recall(f, "alpha beta", now, verdicts=verdicts).orderBy("position").collect()]
+    assert set(base) == {"a", "b", "c", "w"}
+    assert {r.id for r in rank.select_recall(f, "alpha beta", now, verdicts=verdicts, strict=True).collect()} == {"a", "c", "w"}
+    fused = rank.select_recall(f, "alpha beta", now, per_date=1, verdicts=verdicts, vectors=vectors, query_vector=[1.0, 0.1], model="m").orderBy("position").collect()
+    # v comes by its vector alone and is exempt from the cap
+    assert {r.id for r in fused} == {"a", "b", "c", "w", "v"} and [r.id for r in fused].index("v") <= 1 and fused[0].matches == 5
+    tight = rank.select_recall(f, "alpha beta", now, 25, verdicts=verdicts, vectors=vectors, query_vector=[1.0, 0.1], model="m").collect()
+    assert "v" in {r.id for r in tight} and all(r.used <= 25 for r in tight)
+    more = [r.id for r in rank.select_recall(f, "alpha beta", now, verdicts=verdicts, graph_expand=True).orderBy("position").collect()]
+    assert "g" in more and set(more) > set(base)
+    made = f.filter("id = 'a'").withColumns({"id": F.lit("ins_1"), "kind": F.lit("insight"), "content": F.lit("alpha beta belong together")})
+    sources = spark.createDataFrame([("ins_1", "a"), ("ins_1", "b")], "insight_id string, id string")
+    led = [r.id for r in rank.select_recall(f, "alpha beta", now, verdicts=verdicts, insights=made, insight_sources=sources).orderBy("position").collect()]
+    assert led[0] == "ins_1" and set(led) == {"ins_1", "c", "w"}
+
+
 def test_render_and_verdicts(make_facts, now):
     f = store_view.tidy(make_facts(fact("a", "alpha beta gamma"), fact("b", "alpha beta delta", source_date="2026-01-01")))
     chosen = rank.select_recall(f, "alpha beta", now)

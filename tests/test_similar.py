@@ -1,10 +1,11 @@
+import hashlib
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import insights, setops, similar, store_view
+from factloom.operators import insights, rank, setops, similar, store_view
 
 
 def fact(i, content, kind="bug", **more):
@@ -28,12 +29,12 @@ def sets(rows):
 
 
 @pytest.mark.parametrize("seed, low", [(1, 0.3), (2, 0.5), (3, 0.85)])
-def test_pairs_equal_brute_force(make_facts, seed, low):
+def test_pairs_equal_brute_force(make_facts, seed, low, now):
     rows = random_facts(seed)
     s = sets(rows)
     want = {(a, b) for a in s for b in s if a < b and s[a][0] == s[b][0] and len(s[a][1] & s[b][1]) / len(s[a][1] | s[b][1]) >= low}
     f = store_view.tidy(make_facts(*rows))
-    assert {(r.id_a, r.id_b) for r in similar.duplicate_pairs(f, low).collect()} == want
+    assert {(r.id_a, r.id_b) for r in similar.duplicate_pairs(f, now, low).collect()} == want
 
 
 def test_components_and_greedy_differ_as_they_should(make_facts, spark):
@@ -64,13 +65,14 @@ def test_greedy_equals_first_fit_replay(make_facts, spark, seed):
     assert {r.id: r.cluster for r in similar.greedy_clusters(rows, pairs).collect()} == want
 
 
-def test_duplicate_lifecycle(make_facts):
+def test_duplicate_lifecycle(make_facts, now):
     text = "alpha beta gamma delta epsilon zeta eta theta"
     f = store_view.tidy(make_facts(
-        fact("b", text), fact("curated-1", text + "!", confidence=0.5), fact("c", text, "config"), fact("d", ""), fact("e", None), fact("g", text, invalid_at="2026-01-01T00:00:00Z"),
+        fact("b", text), fact("curated-1", text + "!", confidence=0.5), fact("c", text, "config"), fact("d", ""), fact("e", None), fact("g", text, invalid_at="2026-01-01T00:00:00Z"), fact("h", text, status=" Superseded\n"),
     ))
-    clusters = similar.duplicate_clusters(f)
-    assert {r.id: r.canonical for r in clusters.collect()} == {"b": "curated-1", "curated-1": "curated-1", "g": "curated-1"}
+    clusters = similar.duplicate_clusters(f, now)
+    # what is superseded or no longer valid is in no cluster
+    assert {r.id: r.canonical for r in clusters.collect()} == {"b": "curated-1", "curated-1": "curated-1"}
     done = {r.id: r for r in similar.apply_duplicates(f, clusters, "2026-06-13T00:00:00Z").collect()}
     assert done["b"].status == "superseded" and done["b"].invalid_at == "2026-06-13T00:00:00Z" and done["g"].invalid_at == "2026-01-01T00:00:00Z" and done["c"].status == "current"
     with pytest.raises(ValueError):
@@ -86,25 +88,32 @@ def test_versions_never_consolidate(make_facts):
     assert {r.id: r.canonical for r in similar.consolidation_clusters(f).collect()} == {"c": "d", "d": "d"}
 
 
-def test_contradictions_order_by_date(make_facts):
+def test_contradictions_order_by_date(make_facts, now):
     f = store_view.tidy(make_facts(
-        fact("a", "the kernel owns the ledger today", "decision", source_date="2026-06-05"), fact("b", "the kernel owns no ledger at all", "correction", source_date="2026-06-01"), fact("c", "the kernel owns a ledger", "bug"),
+        fact("a", "the kernel owns the ledger today", "decision", source_date="2026-06-05"), fact("b", "the kernel owns no ledger at all", "correction", source_date="2026-06-01"), fact("c", "the kernel owns a ledger", "bug"), fact("s", "the kernel owns the old ledger", status="superseded"),
     ))
-    row = similar.contradiction_pairs(f).collect()
+    row = similar.contradiction_pairs(f, now).collect()
     assert [(r.earlier, r.later, r.gap_days) for r in row] == [("b", "a", 4)]
-    assert similar.top_contradictions(similar.contradiction_pairs(f), 0).count() == 0
+    assert similar.top_contradictions(f, now, 0).count() == 0
+    top = similar.top_contradictions(f, now, 1).first()
+    assert (top.earlier, top.later, top.dropped, top.counted_from) == ("b", "a", 0, 0.42)
 
 
-def test_insights_cover_sources(make_facts):
+def test_insights_cover_sources(make_facts, now):
     text = "alpha beta gamma delta epsilon zeta eta theta"
     f = store_view.tidy(make_facts(fact("a", text), fact("b", text), fact("z", "other words here")))
-    clusters = similar.duplicate_clusters(f)
+    clusters = similar.synthesis_clusters(f)
     made = insights.insights(clusters, f)
     row = made.first()
     assert row.recurrence == 2 and row.confidence == 0.8 and row.theme == "alpha, beta, delta, epsilon, eta"
     assert [r.id for r in setops.uncovered(f, insights.insight_sources(made, clusters)).collect()] == ["z"]
     told = insights.insights(clusters, f, synthesizer=lambda c: "Could you share more?").first()
-    assert told.content == text
+    assert told.content == row.content == "Recurring bug (seen 2x, 2026-06-01): alpha, beta, delta, epsilon, eta. Most recent: " + text
+    assert row.id == "ins_" + hashlib.sha256(b"bug:alpha, beta, delta, epsilon, eta:a,b").hexdigest()[:10]
+    better = insights.insights(clusters, f, synthesizer=lambda c: " Keep the list sorted by name. ").first()
+    assert (better.content, better.synthesized_by, better.id) == ("Keep the list sorted by name.", "llm", row.id)
+    made_facts = insights.insight_facts(made)
+    assert [r.id for r in rank.bm25_scores(made_facts, "alpha theta", now).collect()] == [row.id]
 
 
 def test_set_operations(make_facts):

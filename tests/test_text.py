@@ -42,8 +42,8 @@ def test_instant_forms(spark, value, expected):
 
 def test_minimum_matches_and_pairs(spark):
     assert [text.min_matches(["a"] * n) for n in (2, 3)] == [1, 2]
-    tokens = F.array(*[F.lit(t) for t in ["a"] + ["x"] * 39 + ["b"] + ["x"] * 50 + ["c"]])
-    assert one(spark, text.pair_count(tokens, [("a", "b"), ("b", "c")]), x=1) == 1
+    words = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in ((0, "a"), (40, "b"), (91, "c"))])
+    assert one(spark, text.near_pairs(words, [("a", "b"), ("b", "c")]), x=1) == 1
 
 
 @pytest.mark.parametrize(
