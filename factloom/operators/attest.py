@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOMAIN = b"fact-attestation-v1\n"
-ABSENT_PARENT = "0" * 64
 
 
 def canonical_bytes(value) -> bytes:
@@ -42,63 +41,95 @@ def contract_text(value) -> str:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def fact_hash(ids: pd.Series, kinds: pd.Series, contents: pd.Series) -> pd.Series:
-    """Hash of {content, id, kind}."""
-    rows = zip(ids, kinds, contents)
-    return pd.Series([hashlib.sha256(canonical_bytes({"id": i, "kind": k, "content": c})).hexdigest() for i, k, c in rows], dtype=object)
+def _json(text: Column) -> Column:
+    """A text as JSON: quoted, with the escapes of canonical JSON; null as null."""
+    return F.coalesce(F.substring(F.to_json(F.array(text)), F.lit(2), F.length(F.to_json(F.array(text))) - 2), F.lit("null"))
+
+
+def fact_hash(ids: Column | str, kinds: Column | str, contents: Column | str) -> Column:
+    """Hash of {content, id, kind} as canonical JSON."""
+    c, i, k = (F.col(x) if isinstance(x, str) else x for x in (contents, ids, kinds))
+    return F.sha2(F.concat(F.lit('{"content":'), _json(c), F.lit(',"id":'), _json(i), F.lit(',"kind":'), _json(k), F.lit("}")), 256)
 
 
 def source_hash(evidence: Column) -> Column:
-    """Hash of the evidence anchors as JSON."""
-    return F.sha2(F.coalesce(F.to_json(evidence), F.lit("[]")), 256)
+    """Hash of the evidence anchors as canonical JSON: keys sorted, missing ones left out; no evidence is an empty list."""
+
+    def anchor(e: Column) -> Column:
+        fields = [F.when(e["event_id"].isNotNull(), F.concat(F.lit('"event_id":'), _json(e["event_id"]))), F.when(e["line"].isNotNull(), F.concat(F.lit('"line":'), e["line"].cast("string")))]
+        fields.append(F.when(e["path"].isNotNull(), F.concat(F.lit('"path":'), _json(e["path"]))))
+        return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+
+    return F.sha2(F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(evidence, anchor), ","), F.lit("")), F.lit("]")), 256)
 
 
-def parent_hashes(facts: DataFrame) -> DataFrame:
-    """(id, parents): sorted hashes of the named parents; an absent one has a fixed hash. Needs parent_fact_ids."""
-    named = facts.select("id", F.explode_outer("parent_fact_ids").alias("parent"))
+def absent_parent(parent: Column) -> Column:
+    """The hash that stands for a parent that isn't in the store."""
+    return F.sha2(F.concat(F.lit('{"absent_parent_id":'), _json(parent), F.lit("}")), 256)
+
+
+def parent_hashes(children: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, parents): sorted hashes of the parents that children (id, parent_fact_ids) name, as the facts are now."""
+    named = children.select("id", F.explode_outer("parent_fact_ids").alias("parent"))
     hashes = facts.select(F.col("id").alias("parent"), fact_hash("id", "kind", "content").alias("hash"))
     found = named.join(hashes, "parent", "left")
-    value = F.when(F.col("parent").isNotNull(), F.coalesce("hash", F.lit(ABSENT_PARENT)))
+    value = F.when(F.col("parent").isNotNull(), F.coalesce("hash", absent_parent(F.col("parent"))))
     return found.groupBy("id").agg(F.sort_array(F.collect_list(value)).alias("parents"))
 
 
-def _signer(key: bytes):
+def signed_text(fact: Column, source: Column, parents: Column) -> Column:
+    """The canonical JSON that a signature covers, after the domain."""
+    quoted = F.array_join(F.transform(parents, lambda p: F.concat(F.lit('"'), p, F.lit('"'))), ",")
+    return F.concat(F.lit('{"canonical_fact_hash":"'), fact, F.lit('","parent_hashes":['), F.coalesce(quoted, F.lit("")), F.lit('],"source_hash":"'), source, F.lit('"}'))
+
+
+def _signer(key: bytes, domain: bytes = DOMAIN):
     @F.pandas_udf(T.StringType())
-    def sign(fact: pd.Series, source: pd.Series, parents: pd.Series) -> pd.Series:
-        out = []
-        for f, s, p in zip(fact, source, parents):
-            body = canonical_bytes({"canonical_fact_hash": f, "source_hash": s, "parent_hashes": sorted(p) if p is not None else []})
-            out.append(hmac.new(key, DOMAIN + body, hashlib.sha256).hexdigest())
-        return pd.Series(out, dtype=object)
+    def sign(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else hmac.new(key, domain + t.encode(), hashlib.sha256).hexdigest() for t in texts], dtype=object)
 
     return sign
 
 
 def hashed(facts: DataFrame) -> DataFrame:
-    rows = facts.withColumn("fact_hash", fact_hash("id", "kind", "content")).withColumn("source_hash", source_hash(F.col("evidence")))
-    if "parent_fact_ids" in facts.columns:
-        return rows.join(parent_hashes(facts), "id", "left")
-    return rows.withColumn("parents", F.array().cast("array<string>"))
+    """Adds fact_hash and source_hash; all but the signature stays in the JVM."""
+    return facts.withColumn("fact_hash", fact_hash("id", "kind", "content")).withColumn("source_hash", source_hash(F.col("evidence")))
 
 
-def sign(facts: DataFrame, key: bytes, key_id: str, signed_at: str) -> DataFrame:
-    """V4: (fact_id, fact_hash, source_hash, alg, key_id, signature, signed_at) for every fact."""
-    signature = _signer(key)("fact_hash", "source_hash", "parents")
-    return hashed(facts).select(
-        F.col("id").alias("fact_id"), "fact_hash", "source_hash", F.lit("hmac-sha256").alias("alg"), F.lit(key_id).alias("key_id"), signature.alias("signature"), F.lit(signed_at).alias("signed_at")
+def sign(facts: DataFrame, key: bytes, key_id: str, signed_at: str, store: DataFrame | None = None) -> DataFrame:
+    """V4: an envelope (fact_id, fact_hash, source_hash, parent_fact_ids, alg, key_id, signature, signed_at) for every fact.
+
+    Parents are those of a column parent_fact_ids, if there is one; their hashes are taken from ``store`` (the facts themselves by default).
+    """
+    rows = hashed(facts)
+    none = F.array().cast("array<string>")
+    if "parent_fact_ids" in facts.columns:
+        rows = rows.withColumn("parent_fact_ids", F.coalesce("parent_fact_ids", none)).join(parent_hashes(facts, store if store is not None else facts), "id", "left")
+    else:
+        rows = rows.withColumns({"parent_fact_ids": none, "parents": none})
+    signature = _signer(key)(signed_text(F.col("fact_hash"), F.col("source_hash"), F.col("parents")))
+    return rows.select(
+        F.col("id").alias("fact_id"), "fact_hash", "source_hash", "parent_fact_ids", F.lit("hmac-sha256").alias("alg"), F.lit(key_id).alias("key_id"), signature.alias("signature"), F.lit(signed_at).alias("signed_at")
     )
 
 
 def verify(facts: DataFrame, envelopes: DataFrame, key: bytes) -> DataFrame:
-    """V2: (id, verdict): unsigned, tampered (hash, algorithm or signature differ), parent-suspect or valid.
+    """V2: (id, verdict) of envelopes of version 1: unsigned, tampered, parent-suspect or valid.
 
-    Where a fact's own hashes hold and only the signature fails, its parents have changed, if it names any.
+    A fact without envelope is unsigned; an envelope with a missing field, another algorithm, or hashes other than the fact's own is tampered.
+    Where those hold and the signature fails over the parents as they are now, a parent has changed, if the envelope names any.
     """
-    own = hashed(facts).select("id", F.col("fact_hash").alias("now_fact"), F.col("source_hash").alias("now_source"), "parents")
-    both = own.join(envelopes.withColumnRenamed("fact_id", "id"), "id", "left").withColumn("expected", _signer(key)("now_fact", "now_source", "parents"))
-    own_holds = F.coalesce((F.col("now_fact") == F.col("fact_hash")) & (F.col("now_source") == F.col("source_hash")) & (F.col("alg") == "hmac-sha256"), F.lit(False))
-    verdict = F.when(F.col("signature").isNull(), "unsigned").when(~own_holds, "tampered").when(F.col("expected") == F.col("signature"), "valid").when(F.size("parents") > 0, "parent-suspect")
+    own = hashed(facts).select("id", F.col("fact_hash").alias("now_fact"), F.col("source_hash").alias("now_source"))
+    held = envelopes.withColumnRenamed("fact_id", "id").withColumn("held", F.lit(True))
+    if "parent_fact_ids" not in envelopes.columns:
+        held = held.withColumn("parent_fact_ids", F.array().cast("array<string>"))
+    both = own.join(held, "id", "left").join(parent_hashes(held, facts), "id", "left")
+    both = both.withColumn("expected", _signer(key)(signed_text(F.col("fact_hash"), F.col("source_hash"), F.col("parents"))))
+    whole = F.lit(True)
+    for field in ("fact_hash", "source_hash", "alg", "key_id", "signature", "signed_at"):
+        whole = whole & (F.length(field) > 0)
+    own_holds = F.coalesce(whole & F.col("parent_fact_ids").isNotNull() & (F.col("now_fact") == F.col("fact_hash")) & (F.col("now_source") == F.col("source_hash")) & (F.col("alg") == "hmac-sha256"), F.lit(False))
+    verdict = F.when(F.col("held").isNull(), "unsigned").when(~own_holds, "tampered").when(F.col("expected") == F.col("signature"), "valid").when(F.size("parent_fact_ids") > 0, "parent-suspect")
     return both.select("id", verdict.otherwise("tampered").alias("verdict"))
 
 
@@ -143,9 +174,15 @@ def revocations(facts: DataFrame, key: bytes) -> DataFrame:
     return rows.withColumn("signature", revocation_signature(key)("superseded_id", "superseding_id", "reason", "superseded_at"))
 
 
-def audit(facts: DataFrame, events: DataFrame, key: bytes) -> DataFrame:
-    """(id, finding): invalid events, facts that a trusted event revokes but are live again, superseded facts without trusted event."""
-    checked = events.withColumn("ok", F.col("signature") == revocation_signature(key)("superseded_id", "superseding_id", "reason", "superseded_at"))
+def audit(facts: DataFrame, events: DataFrame, key: bytes, retired_keys: list[bytes] | tuple[bytes, ...] = ()) -> DataFrame:
+    """(id, finding): invalid events, facts that a trusted event revokes but are live again, superseded facts without trusted event.
+
+    An event is trusted if the key, or one of the keyring's retired ones, signed it.
+    """
+    holds = F.lit(False)
+    for k in [key, *retired_keys]:
+        holds = holds | F.coalesce(F.col("signature") == revocation_signature(k)("superseded_id", "superseding_id", "reason", "superseded_at"), F.lit(False))
+    checked = events.withColumn("ok", holds)
     trusted = checked.filter("ok").select(F.col("superseded_id").alias("id")).distinct()
     invalid = checked.filter(~F.coalesce("ok", F.lit(False))).select(F.col("superseded_id").alias("id"), F.lit("invalid").alias("finding"))
     resurrected = facts.filter(F.col("status") != "superseded").join(trusted, "id", "left_semi").select("id", F.lit("resurrected").alias("finding"))

@@ -53,6 +53,13 @@ def live(now: str, floor: float = V.MIN_CONFIDENCE) -> str:
     return f"l AS (SELECT * FROM f WHERE status <> 'superseded' AND coalesce({n} >= valid_from, true) AND coalesce({n} < valid_to, true) AND confidence >= {floor})"
 
 
+def hmac(key: str, message: str) -> str:
+    """HMAC-SHA256 in hex of a text under a key of up to 64 bytes."""
+    padded = key.encode().ljust(64, b"\0")
+    inner, outer = ("".join(f"\\x{b ^ pad:02x}" for b in padded) for pad in (0x36, 0x5C))
+    return f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || encode({message}))))"
+
+
 def current(now: str) -> str:
     """CTE cu: facts that are not superseded and valid, of any confidence."""
     n = f"epoch_us(TIMESTAMP {quoted(now)})"

@@ -612,12 +612,45 @@ def j4_fused(spark, d):
 # --- attestation, lifecycle, projections ----------------------------------------------------------
 
 
-@query(f"WITH {O.FACTS} SELECT CASE WHEN ord % 10 = 0 THEN 'unsigned' WHEN ord % 10 = 1 THEN 'tampered' ELSE 'valid' END AS verdict, count(*) AS facts FROM f GROUP BY 1")
-def v2_a10_verdicts(spark, d):
-    f = facts(spark, d)
-    signed = attest.sign(f.filter("ord % 10 <> 0"), KEY, "k1", "2026-05-01T00:00:00Z")
+_SIGNED = f"""{O.FACTS}, j AS (SELECT id, ord, content, superseded_by, sha256('{{"content":' || to_json(content) || ',"id":' || to_json(id) || ',"kind":' || to_json(kind) || '}}') AS fact_hash,
+        sha256('[' || array_to_string(list_transform(coalesce(evidence, []), lambda e: '{{' || concat_ws(',', '"event_id":' || to_json(e.event_id), '"line":' || e.line, '"path":' || to_json(e.path)) || '}}'), ',') || ']') AS source_hash,
+        lower({O.strip("superseded_by")}) AS parent FROM f),
+    h AS (SELECT j.*, CASE WHEN j.parent IS NULL THEN '' WHEN p.id IS NULL THEN '"' || sha256('{{"absent_parent_id":' || to_json(j.parent) || '}}') || '"' ELSE '"' || p.fact_hash || '"' END AS parents FROM j LEFT JOIN j p ON p.id = j.parent),
+    sg AS (SELECT *, {O.hmac("parity-key", """'fact-attestation-v1' || chr(10) || '{"canonical_fact_hash":"' || fact_hash || '","parent_hashes":[' || parents || '],"source_hash":"' || source_hash || '"}'""")} AS signature FROM h)"""
+
+
+def _with_parents(f):
+    parent = F.lower(text.stripped("superseded_by"))
+    return f.withColumn("parent_fact_ids", F.when(parent.isNotNull(), F.array(parent)))
+
+
+@query(f"WITH {_SIGNED} SELECT id AS fact_id, fact_hash, source_hash, signature FROM sg")
+def v4_j5_n21_signatures(spark, d):
+    return attest.sign(_with_parents(facts(spark, d)), KEY, "k1", "2026-05-01T00:00:00Z").select("fact_id", "fact_hash", "source_hash", "signature")
+
+
+@query(
+    f"""WITH {_SIGNED} SELECT a.id, CASE WHEN a.ord % 10 = 0 THEN 'unsigned' WHEN a.ord % 10 = 1 THEN 'tampered' WHEN p.ord % 10 = 1 THEN 'parent-suspect' ELSE 'valid' END AS verdict FROM sg a LEFT JOIN sg p ON p.id = a.parent"""
+)
+def v2_verdicts(spark, d):
+    f = _with_parents(facts(spark, d))
+    signed = attest.sign(f.filter("ord % 10 <> 0"), KEY, "k1", "2026-05-01T00:00:00Z", f)
     changed = f.withColumn("content", F.when(F.col("ord") % 10 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
-    return attest.verdict_counts(attest.verify(changed, signed, KEY))
+    return attest.verify(changed, signed, KEY)
+
+
+@query(
+    f"""WITH {_SIGNED} SELECT CASE WHEN a.ord % 10 = 0 THEN 'unsigned' WHEN a.ord % 10 = 1 THEN 'tampered' WHEN p.ord % 10 = 1 THEN 'parent-suspect' ELSE 'valid' END AS verdict, count(*) AS facts FROM sg a LEFT JOIN sg p ON p.id = a.parent GROUP BY 1"""
+)
+def v2_a10_verdicts(spark, d):
+    return attest.verdict_counts(v2_verdicts(spark, d))
+
+
+@query(
+    f"""WITH {_SIGNED} SELECT a.id FROM sg a LEFT JOIN sg p ON p.id = a.parent WHERE a.ord % 10 NOT IN (0, 1) AND coalesce(p.ord % 10 <> 1, true)"""
+)
+def v1_recallable_strict(spark, d):
+    return attest.recallable(facts(spark, d), v2_verdicts(spark, d), strict=True).select("id")
 
 
 @query(f"WITH {O.FACTS} SELECT id, CASE WHEN ord % 7 = 0 AND status <> 'superseded' THEN 'resurrected' ELSE 'unattested' END AS finding FROM f WHERE (ord % 7 = 0 AND status <> 'superseded') OR (ord % 7 <> 0 AND status = 'superseded')")

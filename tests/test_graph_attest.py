@@ -59,12 +59,36 @@ def test_signatures_and_revocations(make_facts):
 
 def test_parents_and_chain(make_facts, spark):
     f = make_facts(fact("a", "one"), fact("b", "two")).withColumn("parent_fact_ids", F.when(F.col("id") == "b", F.array(F.lit("a"), F.lit("gone"))))
-    got = {r.id: r.parents for r in attest.parent_hashes(f).collect()}
-    assert got["a"] == [] and got["b"][0] == attest.ABSENT_PARENT and len(got["b"]) == 2
+    got = {r.id: r.parents for r in attest.parent_hashes(f, f).collect()}
+    want = {hashlib.sha256(b'{"absent_parent_id":"gone"}').hexdigest(), hashlib.sha256(b'{"content":"one","id":"a","kind":"decision"}').hexdigest()}
+    assert got["a"] == [] and set(got["b"]) == want and got["b"] == sorted(want)
     b = spark.createDataFrame([(1, "x", None), (2, "y", "x"), (3, "z", "w")], "seq long, digest string, parent_digest string")
     assert [r.seq for r in attest.chain_breaks(b).collect()] == [3]
 
 
+@pytest.mark.parametrize("content", ['plain', 'q"uote \\ back/slash', "line\nend\ttab", "smart “quotes” ✅ ü", "", None])
+def test_hashes_equal_canonical_json(make_facts, content):
+    f = make_facts(fact("a", content, evidence=[("e1", "p/q", 3), (None, "x", None)]), fact("b", content, evidence=None))
+    rows = {r.id: r for r in attest.hashed(f).collect()}
+    assert rows["a"].fact_hash == hashlib.sha256(attest.canonical_bytes({"id": "a", "kind": rows["a"].kind, "content": content})).hexdigest()
+    assert rows["a"].source_hash == hashlib.sha256(attest.canonical_bytes([{"event_id": "e1", "path": "p/q", "line": 3}, {"path": "x"}])).hexdigest() and rows["b"].source_hash == hashlib.sha256(b"[]").hexdigest()
+
+
+def test_retired_keys_still_vouch(make_facts):
+    f = make_facts(fact("a", "one", status="superseded", superseded_by="b"), fact("b", "two"))
+    old = attest.revocations(f, b"old")
+    assert [r.finding for r in attest.audit(f, old, b"new").collect()] == ["invalid", "unattested"]
+    assert attest.audit(f, old, b"new", [b"older", b"old"]).count() == 0
+
+
+def test_envelopes_without_their_fields_are_tampered(make_facts):
+    f = make_facts(fact("a", "one"))
+    signed = attest.sign(f, b"k", "k1", "now")
+    for column in ("signature", "key_id", "signed_at", "alg", "fact_hash", "parent_fact_ids"):
+        broken = signed.withColumn(column, F.lit(None).cast(signed.schema[column].dataType))
+        assert attest.verify(f, broken, b"k").first().verdict == "tampered"
+
+
 def test_changed_parent_makes_its_child_suspect(make_facts):
     f = make_facts(fact("a", "one"), fact("b", "two"), fact("c", "three")).withColumn("parent_fact_ids", F.when(F.col("id") == "b", F.array(F.lit("a"))))
     signed = attest.sign(f, b"k", "k1", "now")
