@@ -4,8 +4,8 @@ Large-star links every larger neighbour of a node to the least id in its neighbo
 the node itself and its smaller neighbours. Both keep components and end in stars around the least
 id. Each round is two grouped joins; the edge table is cut from its lineage after every rewrite.
 
-A node of very many neighbours is never collected: the least neighbour is a partial aggregate,
-which is then joined back to the edges (AQE splits the hot key of that join).
+A node of very many neighbours is never collected: the least neighbour is a partial aggregate. It goes back to the
+edges by broadcast for hubs, of which there can be at most HOT_SHARE, and by a shuffle for all others (``attach_counts``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import stripped
+from factloom.llm.common import attach_counts
 from factloom.session import cut
 
 
@@ -21,17 +22,22 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Rows (u, v) with the m of their u in ``least`` (u, m, n): n rows in all ways have this u, of ``total``."""
+    return attach_counts(rows, least, "u", ["m"], "n", total)
+
+
+def large_star(edges: DataFrame, total: int = 0) -> DataFrame:
     around = _both_ways(edges)
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    rewritten = around.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    rewritten = _with_least(around.filter(F.col("v") > F.col("u")), least, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rewritten.filter(F.col("u") != F.col("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int = 0) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    rewritten = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    rewritten = _with_least(down, least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rewritten.unionAll(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
 
 
@@ -50,7 +56,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     before = _mark(edges)
     while True:
-        edges = cut(small_star(cut(large_star(edges))))
+        # a rewrite never adds edges, so the number before bounds the rows of both
+        edges = cut(small_star(cut(large_star(edges, before[0])), before[0]))
         after = _mark(edges)
         if after == before:
             break

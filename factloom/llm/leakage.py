@@ -7,14 +7,13 @@ its occurrences located by sampled positions and joined to spans. Documents stay
 reads them; nothing but the findings is shuffled.
 
 The items are the stated query set. They go to the tasks in blocks of at most ``BLOCK_ITEMS`` items
-and ``BLOCK_CHARS`` characters, so what a task holds has a bound; more items mean more passes.
+and ``BLOCK_CHARS`` characters, one after the other, so what the driver and a task hold has a bound; more items mean more passes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import WORD_PATTERN
 from factloom.llm.fm_index import FMIndex
+from factloom.session import cut
 
 PHRASE_WORDS, SHARD_WORDS, BLOCK_ITEMS, BLOCK_CHARS = 12, 1_000_000, 20_000, 16_000_000
 GAP, OTHER = 1, 2  # symbols of a document's end and of words that no item has
@@ -116,10 +116,18 @@ def leaked_spans(documents: DataFrame, items: DataFrame, phrase_words: int = PHR
     """
     corpus = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     schema = "doc_id long, item_id long, from_word long, to_word long"
-    passes = [corpus.mapInPandas(_leaks(block, phrase_words, shard_words), schema) for block in _blocks(items)]
-    if not passes:
+    found: DataFrame | None = None
+    held: list[tuple[int, str]] | None = None
+    for block in _blocks(items):
+        if held is not None:
+            # another block follows: the findings of this one are written before it is let go
+            part = cut(corpus.mapInPandas(_leaks(held, phrase_words, shard_words), schema))
+            found = part if found is None else found.unionAll(part)
+        held = block
+    if held is None:
         return corpus.select("doc_id", F.col("doc_id").alias("item_id"), F.lit(0).cast("long").alias("from_word"), F.lit(0).cast("long").alias("to_word")).limit(0)
-    return reduce(DataFrame.unionAll, passes)
+    last = corpus.mapInPandas(_leaks(held, phrase_words, shard_words), schema)
+    return last if found is None else found.unionAll(last)
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ A word's grade is estimated from graded texts: its share of the prose of each le
 alike, gives a distribution over levels, whose mean is the grade. A document is described by quantiles
 of the grades of its known words; a multinomial regression calibrates those to levels.
 
-The model is fitted on at most ``MAX_LABELLED`` labelled documents (those whose ids hash lowest) and keeps
-at most ``MAX_WORDS`` words, so what is gathered and sent to the tasks has a bound. Every document is
-then scored where it is read; nothing is shuffled.
+The model is fitted on at most ``MAX_LABELLED`` labelled documents (those whose ids hash lowest) and knows the
+words that MIN_RECORDS of them have, so what is gathered and sent to the tasks has a bound that the corpus can't
+outgrow. Every document is then scored where it is read; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from factloom.functions.text import stripped
 from factloom.llm.common import WORD_PATTERN
 from factloom.session import cut
 
-MAX_LABELLED, MAX_WORDS, MIN_RECORDS, MIN_PROSE_WORDS, LEVELS = 20_000, 200_000, 3, 30, 5
+MAX_LABELLED, MIN_RECORDS, MIN_PROSE_WORDS, LEVELS = 20_000, 3, 30, 5
 QUANTILES = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 
 _FENCE = re.compile(r"(```|~~~)")
@@ -131,7 +131,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     shares = words.select("level", (1.0 / F.size("words")).alias("share"), F.explode("words").alias("w"), "doc_id")
     sums = [(F.sum(F.when(F.col("level") == k, F.col("share"))) / per_level[k]).alias(f"s{k}") for k in sorted(per_level)]
     table = shares.groupBy("w").agg(F.count_distinct("doc_id").alias("records"), *sums).filter(F.col("records") >= MIN_RECORDS)
-    rows = table.orderBy(F.desc("records"), "w").limit(MAX_WORDS).toPandas()
+    rows = table.orderBy("w").toPandas()
     mass = rows[[f"s{k}" for k in sorted(per_level)]].fillna(0.0).to_numpy()
     grade = mass @ np.array(sorted(per_level)) / mass.sum(axis=1)
     model = LevelModel(dict(zip(rows["w"], grade)), np.zeros(1), np.ones(1), np.zeros(1))
