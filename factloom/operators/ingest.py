@@ -129,15 +129,18 @@ def sanitised(lines: DataFrame) -> DataFrame:
 
 
 def ingest_statistics(lines: DataFrame) -> DataFrame:
-    """One row of counters."""
-    marked = with_denials(events(lines))
+    """One row of the eleven counters. Lines that are no JSON count if the reader marked them (``malformed``)."""
+    marked = cut(with_denials(events(lines)))
     of = lambda *reasons: F.count(F.when(F.col("denied").isin(*reasons), 1))
     counts = marked.agg(
         F.count(F.when(F.col("denied").isNull(), 1)).alias("events_written"), of("path").alias("denied_paths"), of("tool").alias("denied_tools"), of("endpoint").alias("denied_endpoints"),
         of("result_of_denied", "result_path", "result_endpoint").alias("denied_results"), of("result_path").alias("denied_result_paths"), of("result_endpoint").alias("denied_result_endpoints"),
     )
-    read = lines.agg(F.count(F.lit(1)).alias("lines_read"), F.count(F.when(F.col("is_sidechain"), 1)).alias("sidechain_excluded"))
-    return read.crossJoin(counts)
+    kept = text.scrubbed(marked.filter(F.col("denied").isNull()).select("content"), "content")
+    secrets = kept.agg(F.coalesce(F.sum("redactions"), F.lit(0)).alias("secrets_redacted"))
+    bad = F.count(F.when(F.col("malformed"), 1)) if "malformed" in lines.columns else F.lit(0).cast("long")
+    read = lines.agg(F.count(F.lit(1)).alias("lines_read"), F.count(F.when(F.col("is_sidechain"), 1)).alias("sidechain_excluded"), bad.alias("malformed_lines"))
+    return read.crossJoin(counts).crossJoin(secrets)
 
 
 def event_day(rows: DataFrame) -> Column:

@@ -121,11 +121,37 @@ def fixture_slice(facts: DataFrame, gold: DataFrame, session_key: Column, distra
     return own.select("id", F.lit("gold").alias("why")).unionAll(siblings.select("id", F.lit("sibling").alias("why"))).unionAll(some.select("id", F.lit("distractor").alias("why")))
 
 
+#: A note of an entity holds the facts of so many values of ord, so its size has a bound
+NOTE_FACTS = 1000
+
+
 def vault_notes(facts: DataFrame) -> DataFrame:
-    """(path, body) of one note per fact, with links to its concepts."""
+    """(path, body): a note per fact with links to its concepts, per decision, per concept with its facts and sessions, and an index of counts.
+
+    Notes of concepts are paged by NOTE_FACTS values of ord. Square brackets of contents become round ones, so that contents make no links.
+    """
+    head = text.plain_brackets(F.substring("content", 1, 80))
     links = F.array_join(F.transform(text.concepts(F.col("content")), lambda c: F.concat(F.lit("[["), c, F.lit("]]"))), " ")
-    body = F.concat(F.lit("# "), text.plain_brackets(F.substring("content", 1, 80)), F.lit("\n\n"), text.plain_brackets(F.col("content")), F.lit("\n\n"), links)
-    return facts.select(F.concat(F.lit("facts/"), text.safe_name(F.col("id")), F.lit(".md")).alias("path"), body.alias("body"))
+    of_facts = facts.select(
+        F.concat(F.lit("facts/"), text.safe_name(F.col("id")), F.lit(".md")).alias("path"),
+        F.concat(F.lit("# "), head, F.lit("\n\n"), text.plain_brackets(F.col("content")), F.lit("\n\n"), links).alias("body"),
+    )
+    decisions = facts.filter(F.col("kind") == "decision").select(
+        F.concat(F.lit("decisions/"), text.safe_name(F.col("id")), F.lit(".md")).alias("path"),
+        F.concat(F.lit("# "), "date_key", F.lit(" "), head, F.lit("\n\nstatus: "), "status", F.lit("\nfact: [["), text.safe_name(F.col("id")), F.lit("]]")).alias("body"),
+    )
+    session = F.when(text.stripped(F.coalesce("session", F.lit(""))) == "", "unknown").otherwise(text.stripped("session"))
+    mentioned = facts.select("ord", text.safe_name(F.col("id")).alias("note"), session.alias("session_key"), F.floor(F.col("ord") / NOTE_FACTS).alias("page"), F.explode(text.concepts(F.col("content"))).alias("concept"))
+    pages = mentioned.groupBy("concept", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "note"))).alias("notes"), F.array_sort(F.collect_set("session_key")).alias("sessions"))
+    lines = F.array_join(F.transform("notes", lambda n: F.concat(F.lit("- [["), n["note"], F.lit("]]"))), "\n")
+    entities = pages.select(
+        F.concat(F.lit("entities/"), "concept", F.lit("-"), F.col("page").cast("string"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("# "), "concept", F.lit("\n\nfacts: "), F.size("notes").cast("string"), F.lit("\n"), lines, F.lit("\n\nsessions: "), F.array_join("sessions", ", ")).alias("body"),
+    )
+    counts = facts.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    listed = counts.agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("k"))
+    index = listed.select(F.lit("index.md").alias("path"), F.concat(F.lit("# Index\n\n"), F.array_join(F.transform("k", lambda x: F.concat(F.lit("- "), x["kind"], F.lit(": "), x["n"].cast("string"))), "\n")).alias("body"))
+    return of_facts.unionAll(decisions).unionAll(entities).unionAll(index)
 
 
 def purge(facts: DataFrame, ids: list[str], needle: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import scoring, text
@@ -228,32 +228,55 @@ _PARTS_SQL = """
 
 
 @query(f"WITH {_PARTS_SQL} SELECT line_id, part_idx, coalesce(uuid, '') || ':' || surface || ':' || kind AS event_id, actor, CASE WHEN kind = 'provenance' THEN NULL ELSE sha256(content) END AS content_sha256 FROM e WHERE kind <> 'message' OR content <> ''")
-def p2_events(spark, d):
+def ingest_p2_events(spark, d):
     e = ingest.events(table(spark, d, "session_lines"))
     return e.select("line_id", "part_idx", "event_id", "actor", F.when(F.col("kind") != "provenance", F.sha2("content", 256)).alias("content_sha256"))
 
 
-@query()
-def p7_ingest_statistics(spark, d):
-    return ingest.ingest_statistics(table(spark, d, "session_lines"))
+_DENIED_PATH = r"'(?is)token|secret|(^|/)[.]env([.].*|/*)$|(^|/)credentials|(^|/)id_rsa|[.]pem/*$|(^|/)agents/.*/private/'"
+_DENIALS = f"""{_PARTS_SQL},
+    tp AS (SELECT j.line_id, j.path, v.line_no, part_idx, part->>'type' AS type, part->>'name' AS name, coalesce(part->>'id', part->>'tool_use_id') AS tid,
+        CASE part->>'type' WHEN 'tool_use' THEN coalesce(part->>'input', '{{}}') ELSE coalesce(part->>'content', '') END AS body FROM j JOIN v USING (line_id) WHERE part->>'type' IN ('tool_use', 'tool_result')),
+    so AS (SELECT *, CASE WHEN starts_with(body, '{{') AND json_valid(body) THEN body ELSE '{{}}' END AS jb FROM tp),
+    sv AS (SELECT *, CASE WHEN starts_with(body, '{{') AND json_valid(body) THEN list_transform(json_keys(jb::JSON), lambda k: json_extract_string(jb::JSON, '$."' || k || '"')) ELSE [body] END AS vals,
+        list_transform(list_filter(json_keys(jb::JSON), lambda k: k IN ('file_path', 'path', 'filename')), lambda k: json_extract_string(jb::JSON, '$."' || k || '"')) AS keyed FROM so),
+    cp AS (SELECT *, list_concat(keyed, list_concat(flatten(list_transform(vals, lambda x: regexp_extract_all(x, '(?:/[\\w@%+=:,./-]+|agents/[\\w@%+=:,./-]+)'))), flatten(list_transform(vals, lambda x: regexp_extract_all(x, '(?:^|[^\\w/.-])((?:[.]/)?[.]env(?:[.][\\w.-]+)?)\\b', 1))))) AS cands,
+        regexp_extract_all(body, 'https?://[^\\s''"<>]+|/api/[A-Za-z0-9_./-]+') AS ends FROM sv),
+    dp AS (SELECT *, len(list_filter(cands, lambda x: regexp_matches(trim(x, ' ''"'), {_DENIED_PATH}))) > 0 AS by_path, coalesce(regexp_matches(lower(name), 'diary_|private_'), false) AS by_tool,
+        len(list_filter(ends, lambda x: regexp_matches(lower(x), '/api/brain/(diary|private)/'))) > 0 AS by_end FROM cp),
+    dr AS (SELECT *, CASE WHEN type = 'tool_use' AND by_path THEN 'path' WHEN type = 'tool_use' AND by_tool THEN 'tool' WHEN type = 'tool_use' AND by_end THEN 'endpoint' WHEN type = 'tool_result' AND by_path THEN 'result_path' WHEN type = 'tool_result' AND by_end THEN 'result_endpoint' END AS why FROM dp),
+    dc AS (SELECT path, tid, min((line_no, line_id, part_idx)) AS first FROM dr WHERE type = 'tool_use' AND why IS NOT NULL AND len(tid) > 0 GROUP BY ALL),
+    dd AS (SELECT dr.line_id, part_idx, type, CASE WHEN type = 'tool_result' AND (line_no, dr.line_id, part_idx) > dc.first THEN 'result_of_denied' ELSE why END AS denied FROM dr LEFT JOIN dc ON dc.path = dr.path AND dc.tid = dr.tid)"""
 
 
-@query()
+@query(
+    f"""WITH {_DENIALS}, n AS (SELECT count(*) AS total FROM e WHERE kind <> 'message' OR content <> '')
+    SELECT (SELECT count(*) FROM session_lines) AS lines_read, (SELECT count(*) FROM session_lines WHERE is_sidechain) AS sidechain_excluded, (SELECT total FROM n) - count(denied) AS events_written,
+    count(*) FILTER (denied = 'path') AS denied_paths, count(*) FILTER (denied = 'tool') AS denied_tools, count(*) FILTER (denied = 'endpoint') AS denied_endpoints, count(*) FILTER (denied IN ('result_of_denied', 'result_path', 'result_endpoint')) AS denied_results,
+    count(*) FILTER (denied = 'result_path') AS denied_result_paths, count(*) FILTER (denied = 'result_endpoint') AS denied_result_endpoints, 0 AS malformed_lines FROM dd"""
+)
+def ingest_p7_statistics(spark, d):
+    return ingest.ingest_statistics(table(spark, d, "session_lines")).drop("secrets_redacted")
+
+
+@query(f"WITH {_DENIALS} SELECT line_id, part_idx, CASE type WHEN 'tool_use' THEN 'tool_call' ELSE 'tool_result' END AS kind, denied FROM dd WHERE denied IS NOT NULL")
 def f4_denied_events(spark, d):
     rows = ingest.with_denials(ingest.events(table(spark, d, "session_lines")))
     return rows.filter(F.col("denied").isNotNull()).select("line_id", "part_idx", "kind", "denied")
 
 
 @query()
-def p11_minted_facts(spark, d):
+def ingest_p11_minted_facts(spark, d):
     made = ingest.facts_from_events(ingest.sanitised(table(spark, d, "session_lines")))
     return made.select("id", "kind", "confidence", "content", "source_date", "session", "truncated")
 
 
-@query(f"WITH {O.FACTS} SELECT session, ord // 1000 AS page, count(*) AS facts FROM f GROUP BY ALL")
-def p12_session_notes(spark, d):
-    notes = ingest.session_notes(facts(spark, d))
-    return notes.select("session", "page", (F.size(F.split("body", "\n  evidence: ")) - 1).cast("long").alias("facts"))
+@query(
+    f"""WITH {O.FACTS}, n AS (SELECT session, ord // 1000 AS page, array_to_string(list('- [' || upper(kind) || '] ' || substr(content, 1, 240) || chr(10) || '  evidence: ' || coalesce(source_file, 'none') ORDER BY ord), chr(10)) AS lines FROM f GROUP BY ALL)
+    SELECT session, page, sha256('# Session ' || coalesce(session, 'unknown') || chr(10) || chr(10) || lines) AS body_sha256 FROM n"""
+)
+def ingest_p12_session_notes(spark, d):
+    return ingest.session_notes(facts(spark, d)).select("session", "page", F.sha2("body", 256).alias("body_sha256"))
 
 
 # --- set operations -------------------------------------------------------------------------------
@@ -304,7 +327,7 @@ def u10s_hash_difference(spark, d):
 
 
 @query(f"SELECT coalesce(nullif({O.strip('source')}, ''), 'desk') AS source, count(*) AS n FROM facts GROUP BY 1")
-def p14_filled_source(spark, d):
+def ingest_p14_filled_source(spark, d):
     # the fill keeps what is there as it is; the count goes by the trimmed owner
     return setops.fill_source(table(spark, d, "facts"), "desk").groupBy(text.stripped("source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -674,16 +697,238 @@ def n6_excerpts(spark, d):
     return facts(spark, d).select("id", text.excerpt(F.col("content"), text.query_terms(QUERY), 80).alias("excerpt"))
 
 
-@query(f"WITH {O.FACTS} SELECT id FROM f WHERE id NOT LIKE 'a%' AND NOT contains(lower(content), 'weekly ledger')")
+_PURGED = "(kind = 'config' AND confidence < 0.7) OR contains(lower(content), 'weekly ledger')"
+
+
+@query(f"WITH {O.FACTS} SELECT id FROM f WHERE NOT (id IN (SELECT min(id) FROM f GROUP BY kind) OR contains(lower(concat_ws('|', content, source_file, session, superseded_by)), 'weekly ledger'))")
 def c10_purged_store(spark, d):
-    f = facts(spark, d).select("id", "content")
-    return reports.purge(f.filter(~F.col("id").startswith("a")), [], "weekly ledger")[0].select("id")
+    f = facts(spark, d)
+    ids = [r.id for r in f.groupBy("kind").agg(F.min("id").alias("id")).collect()]
+    return reports.purge(f, ids, "weekly ledger")[0].select("id")
+
+
+@query(
+    f"""WITH {O.FACTS}, g AS (SELECT * FROM f WHERE {_PURGED}), ge AS (SELECT DISTINCT unnest(list_transform(evidence, lambda e: e.event_id)) AS event_id FROM g),
+    ev AS (SELECT DISTINCT unnest(list_transform(evidence, lambda e: e.event_id)) AS event_id FROM f)
+    SELECT 'vector' AS what, fact_id AS id FROM fact_vectors WHERE fact_id IS NULL OR fact_id NOT IN (SELECT id FROM g) UNION ALL
+    SELECT 'event', event_id FROM ev WHERE event_id IS NULL OR event_id NOT IN (SELECT event_id FROM ge WHERE event_id IS NOT NULL)"""
+)
+def j9_purge_cascade(spark, d):
+    f = facts(spark, d)
+    events = f.select(F.explode("evidence.event_id").alias("event_id")).distinct()
+    kept_events, kept_vectors = reports.purge_cascade(f.filter(_PURGED), events, table(spark, d, "fact_vectors"))
+    return kept_vectors.select(F.lit("vector").alias("what"), F.col("fact_id").alias("id")).unionAll(kept_events.select(F.lit("event"), "event_id"))
+
+
+_SAFE = "CASE WHEN {n} = '' THEN 'unknown' ELSE {n} END"
 
 
-@query(f"WITH {O.FACTS} SELECT 'facts/' || id || '.md' AS path, len(content) AS content_chars FROM f")
+def _safe(x: str) -> str:
+    n = f"regexp_replace(regexp_replace({x}, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')"
+    return _SAFE.format(n=n)
+
+
+@query(
+    f"""WITH {O.FACTS}, {_MENTIONS}, m AS (SELECT me.concept, f.ord, {_safe("f.id")} AS note, {_SESSION} AS s, f.ord // 1000 AS page FROM me JOIN f ON f.id = me.id),
+    n AS (SELECT 'facts/' || {_safe("id")} || '.md' AS path, '# ' || translate(substr(content, 1, 80), '[]', '()') || chr(10) || chr(10) || translate(content, '[]', '()') || chr(10) || chr(10)
+            || array_to_string(list_transform(list_filter(string_split({_CONCEPT_LIST}, ' '), lambda w: w <> ''), lambda w: '[[' || w || ']]'), ' ') AS body FROM f
+        UNION ALL SELECT 'decisions/' || {_safe("id")} || '.md', '# ' || date_key || ' ' || translate(substr(content, 1, 80), '[]', '()') || chr(10) || chr(10) || 'status: ' || status || chr(10) || 'fact: [[' || {_safe("id")} || ']]' FROM f WHERE kind = 'decision'
+        UNION ALL SELECT 'entities/' || concept || '-' || page || '.md', '# ' || concept || chr(10) || chr(10) || 'facts: ' || count(*) || chr(10) || array_to_string(list('- [[' || note || ']]' ORDER BY ord), chr(10)) || chr(10) || chr(10) || 'sessions: ' || array_to_string(list_sort(list(DISTINCT s)), ', ') FROM m GROUP BY concept, page
+        UNION ALL SELECT 'index.md', '# Index' || chr(10) || chr(10) || array_to_string(list('- ' || kind || ': ' || n ORDER BY kind), chr(10)) FROM (SELECT kind, count(*) AS n FROM f GROUP BY kind))
+    SELECT path, sha256(body) AS body_sha256 FROM n"""
+)
 def x2_vault_notes(spark, d):
+    return reports.vault_notes(facts(spark, d)).select("path", F.sha2("body", 256).alias("body_sha256"))
+
+
+# --- smaller operators ----------------------------------------------------------------------------
+
+
+@query("SELECT line_id, coalesce(strftime(ts, '%Y-%m-%d'), regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '')) AS day FROM session_lines")
+def ingest_p8_event_days(spark, d):
+    lines = table(spark, d, "session_lines")
+    return lines.select("line_id", ingest.event_day(lines).alias("day"))
+
+
+@query(f"WITH {O.FACTS} SELECT id, CASE WHEN len(content) <= 120 THEN content ELSE regexp_replace(substr(content, 1, 120), '\\s+$', '') || ' [truncated from ' || len(content) || ' chars]' END AS capped FROM f")
+def ingest_p10_capped_contents(spark, d):
+    return facts(spark, d).select("id", text.cap_content(F.col("content"), 120).alias("capped"))
+
+
+@query("SELECT ord, CASE WHEN extra IS NULL THEN NULL ELSE '{' || array_to_string(list_transform(list_sort(json_keys(extra)), lambda k: '\"' || k || '\": ' || json_extract(extra, '$.' || k)::VARCHAR), ', ') || '}' END AS canonical FROM facts")
+def ingest_p6_canonical_json(spark, d):
+    return table(spark, d, "facts").select("ord", ingest.canonical_json("extra").alias("canonical"))
+
+
+_SECRETS = {"FIRST": "bramble-cradle", "SECOND": "because the", "SHORT": "the"}
+
+
+@query("SELECT line_id AS line_no, path, k AS key FROM session_lines, (VALUES ('FIRST', 'bramble-cradle'), ('SECOND', 'because the')) s(k, v) WHERE contains(message.content, v)")
+def f20_live_secrets(spark, d):
+    lines = table(spark, d, "session_lines").select("path", F.col("line_id").alias("line_no"), F.col("message.content").alias("value"))
+    return reports.live_secrets(lines, _SECRETS)
+
+
+@query(
+    f"""WITH {O.FACTS}, {O.current(NOW)}, w AS (SELECT id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t, content, make_timestamp(day)::DATE AS day FROM cu WHERE kind IN ('decision', 'correction', 'directive')),
+    x AS (SELECT *, len(t) AS n FROM w WHERE len(t) > 0),
+    p AS (SELECT a.id AS ia, b.id AS ib, a.day AS da, b.day AS db, a.content AS ca, b.content AS cb, {_OVERLAP} AS overlap FROM x a JOIN x b ON a.id < b.id WHERE {_OVERLAP} >= 0.6 AND {_OVERLAP} < 0.85),
+    o AS (SELECT CASE WHEN coalesce(db >= da, true) THEN ia ELSE ib END AS earlier, CASE WHEN coalesce(db >= da, true) THEN ib ELSE ia END AS later, CASE WHEN coalesce(db >= da, true) THEN cb ELSE ca END AS new, round(overlap, 3) AS overlap, coalesce(abs(db - da), 0) AS gap FROM p),
+    rk AS (SELECT *, row_number() OVER (ORDER BY overlap DESC, earlier, later) AS place FROM o)
+    SELECT earlier, later, CASE WHEN place > 40 THEN 'unreviewed' WHEN contains(substr(new, 1, 300), 'ledger') THEN 'dropped' WHEN contains(substr(new, 1, 300), 'the') AND gap > 0 THEN 'confirmed' ELSE 'borderline' END AS class FROM rk"""
+)
+def d8c_judged(spark, d):
+    f = facts(spark, d)
+    pairs = similar.contradiction_pairs(f, now(), 0.6)
+    judge = lambda old, new: "Verdict: NO" if "ledger" in new else "verdict: yes" if "the" in new else "perhaps"
+    return extras.judged(pairs, f, judge, 40).select("earlier", "later", "class")
+
+
+_GONE = "g AS (SELECT DISTINCT lower(regexp_replace(fact_id, '^\\s+|\\s+$', '', 'g')) AS id FROM fact_snapshots WHERE fact_id IS NOT NULL)"
+
+
+def _snapshot_ids(spark, d):
+    return table(spark, d, "fact_snapshots").filter(F.col("fact_id").isNotNull()).select(F.lower(text.stripped("fact_id")).alias("id")).distinct()
+
+
+@query(f"WITH {O.FACTS}, {_GONE} SELECT id, 'store' AS side FROM f UNION ALL SELECT id, 'batch' FROM g WHERE id NOT IN (SELECT id FROM f)")
+def u5s_appended_batch(spark, d):
+    f = facts(spark, d).select("id", F.lit("store").alias("side"))
+    return setops.append_batch(f, _snapshot_ids(spark, d).join(f, "id", "left_anti").select("id", F.lit("batch").alias("side")))
+
+
+@query(f"WITH {O.FACTS} SELECT id, kind FROM f WHERE NOT starts_with(id, '0') UNION ALL SELECT '0' || id, 'note' FROM f WHERE kind = 'bug'")
+def u6s_curated_slice(spark, d):
+    f = facts(spark, d).select("id", "kind")
+    return setops.replace_curated(f, f.filter("kind = 'bug'").select(F.concat(F.lit("0"), "id").alias("id"), F.lit("note").alias("kind")), "0")
+
+
+@query("SELECT true AS same, false AS other")
+def u9s_same_rows(spark, d):
+    raw = table(spark, d, "facts").select("id", "ord", "content", "evidence")
+    return spark.createDataFrame([(setops.same_rows(raw, raw.orderBy("content")), setops.same_rows(raw, raw.withColumn("ord", -F.col("ord"))))], "same boolean, other boolean")
+
+
+@query("SELECT id, kind, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS n FROM facts) WHERE n = 1")
+def u12s_r15_last_rows(spark, d):
+    return setops.last_by_id(table(spark, d, "facts").select("id", "ord", "kind", "status"), "ord").select("id", "kind", "status")
+
+
+@query(f"WITH {O.FACTS} SELECT id, {_safe('substr(content, 1, 60)')} AS name, translate(content, '[]', '()') AS plain FROM f")
+def n18_names(spark, d):
+    return facts(spark, d).select("id", text.safe_name(F.substring("content", 1, 60)).alias("name"), text.plain_brackets(F.col("content")).alias("plain"))
+
+
+@query(f"WITH {O.FACTS} SELECT id, CASE WHEN (len(content) - len(replace(content, 'the ', ''))) = 4 THEN replace(content, 'the ', 'that ') END AS replaced FROM f")
+def n23_replaced_once(spark, d):
+    return facts(spark, d).select("id", text.replace_once(F.col("content"), "the ", "that ").alias("replaced"))
+
+
+@query(f"WITH {O.FACTS}, a AS (SELECT id, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_seen_at)) / 3600e6 AS age FROM f) SELECT id, round(age, 3) AS age_hours, coalesce(age < 0 OR age > 26, true) AS stale FROM a")
+def a8_queue_freshness(spark, d):
+    return facts(spark, d).select("id", reports.queue_freshness(F.col("last_seen_at"), now()).alias("q")).select("id", "q.age_hours", "q.stale")
+
+
+_HITS = f"""{O.FACTS}, p0 AS (SELECT id, ord, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS t FROM f WHERE status <> 'superseded'),
+    n0 AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS nth, greatest(1, count(*) OVER () // 50) AS step FROM p0),
+    gold AS (SELECT id, array_to_string(t[len(t) // 2 + 1 : len(t) // 2 + 4], ' ') AS query FROM n0 WHERE nth % step = 0 AND nth < 50 * step AND len(t) >= 2),
+    qt AS (SELECT DISTINCT query, unnest(string_split(query, ' ')) AS term FROM gold), ft AS (SELECT id, ord, content, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS term FROM f),
+    sc AS (SELECT query, id, ord, content, count(*) AS n FROM qt JOIN ft USING (term) GROUP BY ALL),
+    inc AS (SELECT query, id, content, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, ord) AS rank FROM sc) WHERE rank <= 8)"""
+
+
+def _gold_and_hits(spark, d):
+    f = facts(spark, d)
+    gold = cut(reports.fuzz_queries(f, 50))
+    asked = gold.select("query", F.explode(F.split("query", " ")).alias("term")).distinct()
+    words = f.select("id", "ord", F.explode(text.content_tokens(F.col("content"))).alias("term"))
+    scored = words.join(F.broadcast(asked), "term").groupBy("query", "id", "ord").agg(F.count(F.lit(1)).alias("n"))
+    top = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "ord"))).filter("rank <= 8")
+    return f, gold, cut(top.select("query", "id", "rank"))
+
+
+@query(
+    f"""WITH {_HITS}, s AS (SELECT id, {_SESSION} AS k FROM f), h AS (SELECT g.query, g.id, (i.id IS NOT NULL)::INT AS hit FROM gold g LEFT JOIN inc i ON i.query = g.query AND i.id = g.id),
+    o AS (SELECT h.query, h.id AS gold, b.id AS other FROM h JOIN s a ON a.id = h.id JOIN s b ON b.k = a.k AND b.id <> h.id),
+    c AS (SELECT o.query, gold, avg((i.id IS NOT NULL)::INT) AS share FROM o LEFT JOIN inc i ON i.query = o.query AND i.id = o.other GROUP BY ALL), m AS (SELECT share FROM h JOIN c ON c.query = h.query AND c.gold = h.id WHERE hit = 1)
+    SELECT (SELECT count(*) FROM h) AS queries, (SELECT round(avg(hit), 4) FROM h) AS recall, (SELECT round(coalesce(avg(share), 0), 4) FROM m) AS companionship, (SELECT round(coalesce(avg((share > 0)::INT), 0), 4) FROM m) AS companion_rate"""
+)
+def a11_j12_recall_quality(spark, d):
+    f, gold, hits = _gold_and_hits(spark, d)
+    return reports.recall_quality(gold, hits.select("query", "id"), f.select("id", graph.session_of(f).alias("session_key")))
+
+
+@query(f"WITH {_HITS} SELECT 'id ' || g.query AS label, min(CASE WHEN i.id = g.id THEN rank END) AS first_hit FROM gold g LEFT JOIN inc i ON i.query = g.query GROUP BY 1 UNION ALL SELECT 'token ' || g.query, min(CASE WHEN contains(lower(i.content), 'ledger') THEN rank END) FROM gold g LEFT JOIN inc i ON i.query = g.query GROUP BY 1")
+def a12_first_hits(spark, d):
+    f, gold, hits = _gold_and_hits(spark, d)
+    results = hits.join(f.select("id", "content"), "id")
+    by_id = gold.select(F.concat(F.lit("id "), "query").alias("label"), F.concat(F.lit("id:"), "id").alias("ground"))
+    by_token = gold.select(F.concat(F.lit("token "), "query").alias("label"), F.lit("token:Ledger").alias("ground"))
+    both = results.select(F.explode(F.array(F.concat(F.lit("id "), "query"), F.concat(F.lit("token "), "query"))).alias("label"), "rank", "id", "content")
+    return reports.first_hits(by_id.unionAll(by_token).distinct(), both)
+
+
+@query("SELECT n_nationkey AS seq FROM nation WHERE n_nationkey > 0 AND n_nationkey % 7 = 0")
+def j11_chain_breaks(spark, d):
+    n = table(spark, d, "nation")
+    batches = n.select(F.col("n_nationkey").alias("seq"), F.sha1("n_name").alias("digest"))
+    parents = batches.select((F.col("seq") + 1).alias("seq"), F.col("digest").alias("parent_digest"))
+    return attest.chain_breaks(batches.join(parents, "seq", "left").withColumn("parent_digest", F.when(F.col("seq") % 7 == 0, "other").otherwise(F.col("parent_digest")))).select("seq")
+
+
+@query(
+    f"""WITH {_greedy(_CONSOLIDATION_POOL, V.CONSOLIDATION_SIMILARITY)}, m AS (SELECT c.id, cluster, confidence, date_key FROM c JOIN f ON f.id = c.id),
+    b AS (SELECT cluster, arg_max(id, (confidence, date_key, id)) AS canonical FROM m GROUP BY cluster HAVING count(*) >= 2 AND count(DISTINCT date_key) >= 2), k AS (SELECT id, canonical FROM m JOIN b USING (cluster))
+    SELECT f.id, CASE WHEN canonical <> f.id THEN 'superseded' ELSE status END AS status, CASE WHEN canonical <> f.id THEN canonical ELSE superseded_by END AS superseded_by, valid_to FROM f LEFT JOIN k ON k.id = f.id"""
+)
+def c6_applied_consolidation(spark, d):
+    f = facts(spark, d)
+    return similar.apply_consolidation(f, similar.consolidation_clusters(f)).select("id", "status", "superseded_by", F.unix_micros("valid_to").alias("valid_to"))
+
+
+@query(f"WITH {O.FACTS} SELECT id, CASE WHEN id IN (SELECT min(id) FROM f GROUP BY kind) THEN 'superseded' ELSE status END AS status, CASE WHEN id IN (SELECT min(id) FROM f GROUP BY kind) THEN 'newer' ELSE superseded_by END AS superseded_by FROM f")
+def c8_superseded(spark, d):
+    f = facts(spark, d)
+    ids = [r.id for r in f.groupBy("kind").agg(F.min("id").alias("id")).collect()]
+    return similar.supersede(f, ids, "newer", "replaced", NOW).select("id", "status", "superseded_by")
+
+
+@query(f"WITH {O.FACTS}, {_GONE} SELECT id, 'queued' AS status FROM f WHERE kind = 'bug' UNION ALL SELECT id, 'proposed' FROM g WHERE id NOT IN (SELECT id FROM f)")
+def x4_proposal_queue(spark, d):
+    f = facts(spark, d)
+    queue = f.filter("kind = 'bug'").select("id", F.lit("queued").alias("status"))
+    return reports.proposal_queue(queue, _snapshot_ids(spark, d).withColumn("ord", F.lit(0)), f)
+
+
+@query(f"""WITH {O.FACTS}, qd AS (SELECT id, kind, ord FROM f WHERE kind = 'bug') SELECT '{{"queue":"bugs","rows":' || count(*) || ',"dropped":3}}' AS value FROM qd UNION ALL SELECT '{{"id":"' || id || '","kind":"' || kind || '","ord":' || ord || '}}' FROM qd""")
+def x5_queue_document(spark, d):
+    return reports.queue_document(facts(spark, d).filter("kind = 'bug'").select("id", "kind", "ord"), "bugs", 3)
+
+
+@query(
+    f"""WITH {O.FACTS}, x AS (SELECT id, unnest(list_sort(list_filter(string_split({_CONCEPT_LIST}, ' '), lambda w: w <> ''))) AS c FROM f)
+    SELECT a.c AS concept_a, b.c AS concept_b, count(*) AS facts FROM x a JOIN x b ON a.id = b.id AND a.c < b.c GROUP BY ALL"""
+)
+def j13_concept_links(spark, d):
+    return graph.concept_links(facts(spark, d))
+
+
+@query(f"WITH {O.FACTS}, t AS (SELECT min(lower({O.strip('superseded_by')})) AS p FROM f WHERE superseded_by IS NOT NULL) SELECT id FROM f, t WHERE lower({O.strip('superseded_by')}) = p")
+def j6_children(spark, d):
+    f = _with_parents(facts(spark, d))
+    parent = f.agg(F.min(F.element_at("parent_fact_ids", 1))).first()[0]
+    return reports.children(f, parent)
+
+
+@query()
+def r5_r6_composed_recall(spark, d):
     f = facts(spark, d)
-    return reports.vault_notes(f).join(f.select(F.concat(F.lit("facts/"), "id", F.lit(".md")).alias("path"), F.length("content").alias("content_chars")), "path").select("path", "content_chars")
+    clusters = cut(similar.synthesis_clusters(f))
+    made = cut(insights.insights(clusters, f))
+    return rank.select_recall(
+        f, QUERY, now(), verdicts=v2_verdicts(spark, d), vectors=table(spark, d, "fact_vectors"), query_vector=_AXIS, model="static-64", graph_expand=True,
+        insights=insights.insight_facts(made), insight_sources=insights.insight_sources(made, clusters),
+    ).select("position", "id", "line", "used")
 
 
 _P3 = f"""
