@@ -85,7 +85,7 @@ def content_tokens(text: Column) -> Column:
 
 def synthesis_tokens(text: Column) -> Column:
     """The set of tokens of more than 2 characters that are no stopwords."""
-    return F.filter(content_tokens(text), lambda t: (F.length(t) > 2) & ~t.isin(V.SYNTHESIS_STOPWORDS))
+    return F.filter(content_tokens(text), lambda t: (F.length(t) > 2) & ~t.isin(*V.SYNTHESIS_STOPWORDS))
 
 
 REFERENCE_TOKEN = r"(?i)(#\d+|\bpr[-\s]?\d+\b|\bn\d+\b)"
@@ -246,7 +246,7 @@ def pr_numbers(text: Column) -> Column:
 def concepts(text: Column) -> Column:
     """The first eight distinct tokens of at least 4 characters that are no stopwords."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{4,}"), F.lit(0)))
-    return F.slice(F.filter(found, lambda t: ~t.isin(V.CONCEPT_STOPWORDS)), 1, V.CONCEPTS_PER_FACT)
+    return F.slice(F.filter(found, lambda t: ~t.isin(*V.CONCEPT_STOPWORDS)), 1, V.CONCEPTS_PER_FACT)
 
 
 def is_prose(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.functions import values as V
+from factloom.plans import rules as R
 
 
 def quoted(s: str) -> str:
@@ -48,7 +48,7 @@ FACTS = f"""
         FROM r WHERE rn = 1)"""
 
 
-def live(now: str, floor: float = V.MIN_CONFIDENCE) -> str:
+def live(now: str, floor: float = R.MIN_CONFIDENCE) -> str:
     n = f"epoch_us(TIMESTAMP {quoted(now)})"
     return f"l AS (SELECT * FROM f WHERE status <> 'superseded' AND coalesce({n} >= valid_from, true) AND coalesce({n} < valid_to, true) AND confidence >= {floor})"
 
@@ -90,9 +90,9 @@ def stemmed(x: str) -> str:
 
 
 def recency(now: str) -> str:
-    lives = " ".join(f"WHEN {quoted(k)} THEN {h}" for k, h in V.HALF_LIFE_DAYS.items())
+    lives = " ".join(f"WHEN {quoted(k)} THEN {h}" for k, h in R.HALF_LIFE_DAYS.items())
     days = f"((epoch_us(TIMESTAMP {quoted(now)}) - day) / 86400e6)"
-    return f"CASE WHEN day IS NULL OR {days} <= 0 THEN 1.0 ELSE greatest({V.MIN_RECENCY}, pow(0.5::DOUBLE, {days} / (CASE kind {lives} ELSE {V.DEFAULT_HALF_LIFE} END))) END"
+    return f"CASE WHEN day IS NULL OR {days} <= 0 THEN 1.0 ELSE greatest({R.MIN_RECENCY}, pow(0.5::DOUBLE, {days} / (CASE kind {lives} ELSE {R.DEFAULT_HALF_LIFE} END))) END"
 
 
 SUPERSESSION = f"CASE WHEN coalesce(deprecated, false) THEN 0.4 WHEN status = 'current' AND len(coalesce({strip('superseded_by')}, '')) > 0 THEN 0.6 ELSE 1.0 END"
@@ -101,18 +101,18 @@ TRUST = """CASE WHEN lower(coalesce(trust, '')) IN ('untrusted', 'external') OR
 
 
 def bulk(share: str) -> str:
-    return f"CASE WHEN {share} <= {V.BULK_DATE_SHARE} THEN 1.0 ELSE greatest({V.BULK_DATE_FLOOR}, 1.0 - ({share} - {V.BULK_DATE_SHARE})) END"
+    return f"CASE WHEN {share} <= {R.BULK_DATE_SHARE} THEN 1.0 ELSE greatest({R.BULK_DATE_FLOOR}, 1.0 - ({share} - {R.BULK_DATE_SHARE})) END"
 
 
 def bm25(terms: list[str], now: str, min_matched: int) -> str:
     """CTEs f, l, …, s: scored matches as operators.rank.bm25_scores."""
     tf = ", ".join(f"len(list_filter(tokens, lambda x: x = {quoted(t)})) AS tf{i}" for i, t in enumerate(terms))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
-    k1, b = V.BM25_K1, V.BM25_B
+    k1, b = R.BM25_K1, R.BM25_B
     part = " + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * {k1 + 1} / (tf{i} + {k1} * (1 - {b} + {b} * size / avgdl)) ELSE 0 END" for i in range(len(terms)))
     matched = " + ".join(f"(tf{i} > 0)::INT" for i in range(len(terms)))
     near = " + ".join(
-        f"(len(list_filter(range(len(tokens)), lambda i: tokens[i + 1] = {quoted(a)} AND len(list_filter(range(len(tokens)), lambda j: tokens[j + 1] = {quoted(c)} AND abs(i - j) <= {V.PAIR_WINDOW})) > 0)) > 0)::INT"
+        f"(len(list_filter(range(len(tokens)), lambda i: tokens[i + 1] = {quoted(a)} AND len(list_filter(range(len(tokens)), lambda j: tokens[j + 1] = {quoted(c)} AND abs(i - j) <= {R.PAIR_WINDOW})) > 0)) > 0)::INT"
         for a, c in zip(terms, terms[1:])
     ) or "0"
     return f"""{FACTS}, {live(now)},
@@ -130,7 +130,7 @@ RANK_ORDER = "round(score, 9) DESC, pairs DESC, matched DESC, confidence DESC, o
 
 def classify(x: str) -> str:
     """kind of a bullet or null; ``conf`` in the second."""
-    rules = [(p, k, c, "c") for p, k, c in V.TAGGED] + [(p, k, c, "i") for p, k, c in V.INFERRED]
+    rules = [(p, k, c, "c") for p, k, c in R.TAGGED] + [(p, k, c, "i") for p, k, c in R.INFERRED]
     kind = " ".join(f"WHEN regexp_matches({x}, {quoted(p)}, '{f}') THEN {quoted(k)}" for p, k, _, f in rules)
     conf = " ".join(f"WHEN regexp_matches({x}, {quoted(p)}, '{f}') THEN {c}" for p, _, c, f in rules)
     return f"CASE {kind} END", f"CASE {conf} END"

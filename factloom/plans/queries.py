@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import scoring, text
-from factloom.functions import values as V
 from factloom.functions.dates import utc_text
 from factloom.operators import attest, extras, graph, history, ingest, insights, rank, reports, setops, similar, store_view
 from factloom.plans import oracle as O
+from factloom.plans import rules as R
 from factloom.session import cut, table
 
 NOW = "2026-05-01 00:00:00"
@@ -96,13 +96,13 @@ def f17_prose(spark, d):
 
 @query(
     f"""WITH {O.FACTS}, t AS (SELECT id, regexp_replace(translate(content, '’‘“”', '''''""'), '^[\\s"'']+|[\\s"'']+$', '', 'g') AS t FROM f)
-    SELECT id, len(t) >= 12 AND NOT contains(t, '?') AND NOT regexp_matches(t, {O.quoted(V.CHAT_SHAPES)}, 'i') AS lesson FROM t"""
+    SELECT id, len(t) >= 12 AND NOT contains(t, '?') AND NOT regexp_matches(t, {O.quoted(R.CHAT_SHAPES)}, 'i') AS lesson FROM t"""
 )
 def f18_lesson(spark, d):
     return facts(spark, d).select("id", text.is_lesson(F.col("content")).alias("lesson"))
 
 
-@query(f"WITH {_PROMPTS}, t AS (SELECT line_id, ltrim(prompt, ' \n\t\r') AS t, prompt FROM p) SELECT line_id, t <> '' AND NOT regexp_matches(t, {O.quoted(V.GENUINE_TAG)}) AND (starts_with(t, '{{\"') OR starts_with(t, '[{{\"') OR starts_with(t, '```') OR starts_with(t, '<command-') OR starts_with(t, '<task-notification') OR starts_with(t, '<system-reminder') OR regexp_matches(t, {O.quoted(V.NOISE_DUMPS)})) AS structural, {O.matches('prompt', V.SKIP_NOISE)} AS skip FROM t")
+@query(f"WITH {_PROMPTS}, t AS (SELECT line_id, ltrim(prompt, ' \n\t\r') AS t, prompt FROM p) SELECT line_id, t <> '' AND NOT regexp_matches(t, {O.quoted(R.GENUINE_TAG)}) AND (starts_with(t, '{{\"') OR starts_with(t, '[{{\"') OR starts_with(t, '```') OR starts_with(t, '<command-') OR starts_with(t, '<task-notification') OR starts_with(t, '<system-reminder') OR regexp_matches(t, {O.quoted(R.NOISE_DUMPS)})) AS structural, {O.matches('prompt', R.SKIP_NOISE)} AS skip FROM t")
 def f7_f9_noise(spark, d):
     p = prompts(spark, d)
     return p.select("line_id", text.is_structural_noise(F.col("prompt")).alias("structural"), text.is_skip_noise(F.col("prompt")).alias("skip"))
@@ -120,9 +120,9 @@ _KIND, _CONF = O.classify("content")
 
 
 @query(
-    f"""WITH {O.FACTS}, c AS (SELECT id, content, {_KIND} AS k, {_CONF} AS c, {O.matches('content', V.SKIP_NOISE)} AS noise FROM f)
-    SELECT id, CASE WHEN noise OR k IN {O.sql_in(V.EVENT_KINDS)} THEN NULL ELSE k END AS kind, CASE WHEN noise OR k IN {O.sql_in(V.EVENT_KINDS)} THEN NULL ELSE c::DOUBLE END AS confidence,
-    NOT (coalesce(CASE WHEN noise THEN NULL ELSE k END, '') IN {O.sql_in(V.AUTHORITY_KINDS)}) OR regexp_matches(content, {O.quoted(V.AUTHORITY_WORD)}, 'i') AS allowed FROM c"""
+    f"""WITH {O.FACTS}, c AS (SELECT id, content, {_KIND} AS k, {_CONF} AS c, {O.matches('content', R.SKIP_NOISE)} AS noise FROM f)
+    SELECT id, CASE WHEN noise OR k IN {O.sql_in(R.EVENT_KINDS)} THEN NULL ELSE k END AS kind, CASE WHEN noise OR k IN {O.sql_in(R.EVENT_KINDS)} THEN NULL ELSE c::DOUBLE END AS confidence,
+    NOT (coalesce(CASE WHEN noise THEN NULL ELSE k END, '') IN {O.sql_in(R.AUTHORITY_KINDS)}) OR regexp_matches(content, {O.quoted(R.AUTHORITY_WORD)}, 'i') AS allowed FROM c"""
 )
 def d1c_classified(spark, d):
     f = facts(spark, d).withColumn("c", text.classify_bullet(F.col("content")))
@@ -133,7 +133,7 @@ def d1c_classified(spark, d):
 
 @query(
     f"""WITH {_PROMPTS}, t AS (SELECT line_id, trim(lower(prompt), ' \n\t\r') AS q FROM p),
-    g AS (SELECT line_id, q, list_filter([{", ".join(f"CASE WHEN {O.matches('q', p)} THEN {O.quoted(n)} END" for n, p in V.GATE_CATEGORIES)}], lambda x: x IS NOT NULL) AS cats, {O.matches('q', V.GATE_SKIP)} AS skip FROM t)
+    g AS (SELECT line_id, q, list_filter([{", ".join(f"CASE WHEN {O.matches('q', p)} THEN {O.quoted(n)} END" for n, p in R.GATE_CATEGORIES)}], lambda x: x IS NOT NULL) AS cats, {O.matches('q', R.GATE_SKIP)} AS skip FROM t)
     SELECT line_id, NOT skip AND len(q) >= 10 AND len(cats) > 0 AS recall, CASE WHEN skip THEN 'skip_pattern' WHEN len(q) < 10 THEN 'too_short' WHEN len(cats) > 0 THEN 'matched:' || array_to_string(cats, ',') ELSE 'no_trigger' END AS reason FROM g"""
 )
 def d2c_recall_gate(spark, d):
@@ -144,7 +144,7 @@ def d2c_recall_gate(spark, d):
 @query(
     f"""WITH {O.FACTS} SELECT id, array_to_string(list_transform(regexp_extract_all(content, 'PR\\s*#(\\d+)', 1), lambda x: try_cast(x AS INT)::VARCHAR), ',') AS prs,
     substr(sha256(coalesce(source_date || ':', '') || substr(content, 1, 200)), 1, 12) AS minted,
-    {O.distinct_in_order("regexp_extract_all(lower(content), '[a-z0-9]{4,}')", "x NOT IN " + O.sql_in(V.CONCEPT_STOPWORDS), V.CONCEPTS_PER_FACT)} AS concepts FROM f"""
+    {O.distinct_in_order("regexp_extract_all(lower(content), '[a-z0-9]{4,}')", "x NOT IN " + O.sql_in(R.CONCEPT_STOPWORDS), R.CONCEPTS_PER_FACT)} AS concepts FROM f"""
 )
 def d3c_d5c_extracted(spark, d):
     f = facts(spark, d)
@@ -158,7 +158,7 @@ def d3c_d5c_extracted(spark, d):
     f"""WITH {O.FACTS}, t AS (SELECT id, regexp_replace(regexp_replace(content, '^\\[[A-Z_ -]+\\]\\s*', ''), '^\\s+|\\s+$', '', 'g') AS text, ord, kind,
         CASE WHEN contains(upper(content), 'AGENTS.MD') THEN 'AGENTS.md' WHEN contains(upper(content), 'CLAUDE.MD') THEN 'CLAUDE.md' WHEN contains(lower(content), 'skill') THEN 'skills/review'
         WHEN contains(lower(content), 'hook') THEN 'hooks/review' WHEN contains(lower(content), 'identity') OR contains(lower(content), 'invariant') THEN 'identity/review' ELSE 'review/project-rules.md' END AS target
-        FROM f WHERE kind IN {O.sql_in(reports.PROMOTABLE)} AND confidence >= {V.PROMOTION_CONFIDENCE} AND status <> 'superseded'),
+        FROM f WHERE kind IN {O.sql_in(R.PROMOTABLE)} AND confidence >= {R.PROMOTION_CONFIDENCE} AND status <> 'superseded'),
     n AS (SELECT *, row_number() OVER (PARTITION BY target, lower(text) ORDER BY ord) AS nth FROM t)
     SELECT id, kind, target, CASE WHEN regexp_matches(target, '^(hooks|identity|skills)/') THEN 'high' WHEN target IN ('CLAUDE.md', 'AGENTS.md') THEN 'medium' ELSE 'low' END AS risk, text FROM n WHERE nth = 1"""
 )
@@ -183,7 +183,7 @@ _DEDUP_KEY = "substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_re
 
 
 @query(
-    f"""WITH {O.FACTS} SELECT id, array_to_string({O.stemmed('content')}, ' ') AS tokens, len(content) // 4 AS estimate, sha256(substr(content, 1, {V.HASHED_CHARS})) AS hash,
+    f"""WITH {O.FACTS} SELECT id, array_to_string({O.stemmed('content')}, ' ') AS tokens, len(content) // 4 AS estimate, sha256(substr(content, 1, {R.HASHED_CHARS})) AS hash,
     regexp_replace(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, {_KEY17} AS leading FROM f"""
 )
 def n1_text_functions(spark, d):
@@ -203,7 +203,7 @@ def n9_n11_factors(spark, d):
 
 @query(
     f"""WITH {O.FACTS}, s AS (SELECT id, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM f)
-    SELECT id, len(t) AS n14, len(list_filter(t, lambda x: len(x) > 2 AND x NOT IN {O.sql_in(V.SYNTHESIS_STOPWORDS)})) AS n15 FROM s"""
+    SELECT id, len(t) AS n14, len(list_filter(t, lambda x: len(x) > 2 AND x NOT IN {O.sql_in(R.SYNTHESIS_STOPWORDS)})) AS n15 FROM s"""
 )
 def n14_n15_token_sets(spark, d):
     c = F.col("content")
@@ -407,9 +407,11 @@ def a14_fixture_slice(spark, d):
 
 # --- ranking and selection ------------------------------------------------------------------------
 
-_TERMS = text.query_terms(QUERY)
+# the terms of QUERY and CHECK, spelled out: stemmed, without stopwords, in order
+_TERMS = ["kernel", "owns", "weekly", "ledger", "operator"]
+_CHECK_MATCHES = ["know", "about", "retired", "weekly", "ledger", "bramble"]
 _BM25 = O.bm25(_TERMS, NOW, 1)
-_BM25_MIN = O.bm25(_TERMS, NOW, text.min_matches(_TERMS))
+_BM25_MIN = O.bm25(_TERMS, NOW, 2)
 _LINE = "'[' || date_key || '] [' || upper(CASE WHEN kind = '' THEN 'fact' ELSE kind END) || ']' || chr(10) || CASE WHEN status = 'superseded' THEN '[SUPERSEDED] ' ELSE '' END || excerpt"
 _HEADER = "len('Memory recall (' || (SELECT count(*) FROM s) || ' matches, budget 1000 tokens):') // 4"
 
@@ -425,7 +427,7 @@ def r2_keyword_query(spark, d):
 
 
 @query(
-    f"""WITH {_BM25}, k AS (SELECT *, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY rank) > {V.MAX_PER_DATE} AS late FROM k)
+    f"""WITH {_BM25}, k AS (SELECT *, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY rank) > {R.MAX_PER_DATE} AS late FROM k)
     SELECT id, rank, row_number() OVER (ORDER BY late, rank) AS position FROM c"""
 )
 def r3_date_capped(spark, d):
@@ -433,7 +435,7 @@ def r3_date_capped(spark, d):
 
 
 @query(
-    f"""WITH {_BM25_MIN}, k AS (SELECT *, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY rank) > {V.MAX_PER_DATE} AS late FROM k),
+    f"""WITH {_BM25_MIN}, k AS (SELECT *, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS rank FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY date_key ORDER BY rank) > {R.MAX_PER_DATE} AS late FROM k),
     {O.excerpts("c", _TERMS, 320)},
     o AS (SELECT *, row_number() OVER (ORDER BY late, rank) AS position, {_LINE} AS line FROM ex),
     b AS (SELECT *, sum(len(line) // 4) OVER (ORDER BY position) + {_HEADER} AS used FROM o)
@@ -443,16 +445,16 @@ def r7_select_recall(spark, d):
     return rank.select_recall(facts(spark, d), QUERY, now()).select("position", "id", "line", "used")
 
 
-_CHECK_TERMS = text.query_terms(CHECK, V.CHECK_STOPWORDS, 2)
+_CHECK_TERMS = ["retired", "weekly", "ledger", "bramble"]
 
 
 @query(
-    f"""WITH {O.bm25(text.query_terms(CHECK), NOW, 1)}, pool AS (SELECT list_filter({O.sql_list(_CHECK_TERMS)}, lambda t: list_contains({O.stemmed('content')}, t)) AS covered FROM s ORDER BY {O.RANK_ORDER} LIMIT {V.CHECK_POOL}),
+    f"""WITH {O.bm25(_CHECK_MATCHES, NOW, 1)}, pool AS (SELECT list_filter({O.sql_list(_CHECK_TERMS)}, lambda t: list_contains({O.stemmed('content')}, t)) AS covered FROM s ORDER BY {O.RANK_ORDER} LIMIT {R.CHECK_POOL}),
     a AS (SELECT list_distinct(flatten(list(covered))) AS found, coalesce(max(len(covered) / {len(_CHECK_TERMS)}), 0) AS overlap, count(*) FILTER (len(covered) >= 2) AS strong_hits FROM pool),
     b AS (SELECT count(*) AS hits, max(day) AS newest FROM s)
     SELECT {O.quoted(CHECK)} AS query, CASE WHEN hits = 0 THEN 'unknown' WHEN overlap >= 0.6 OR strong_hits >= 2 THEN 'exists' WHEN len(found) > 0 THEN 'probable' ELSE 'unknown' END AS verdict,
     round(len(found) / {len(_CHECK_TERMS)}, 3) AS term_coverage, array_to_string(list_filter({O.sql_list(_CHECK_TERMS)}, lambda t: list_contains(found, t)), ' ') AS matched_terms,
-    hits, strong_hits, strftime(make_timestamp(newest), '%Y-%m-%d') AS freshness, (epoch_us(TIMESTAMP '{NOW}') - newest) // 86400000000 > {V.CHECK_STALE_DAYS} AS stale FROM a, b"""
+    hits, strong_hits, strftime(make_timestamp(newest), '%Y-%m-%d') AS freshness, (epoch_us(TIMESTAMP '{NOW}') - newest) // 86400000000 > {R.CHECK_STALE_DAYS} AS stale FROM a, b"""
 )
 def r9_existence(spark, d):
     return rank.existence(facts(spark, d), CHECK, now()).drop("missing_terms", "advice")
@@ -468,8 +470,8 @@ def r10_briefing(spark, d):
 _PAIRS = f"""{O.FACTS}, {O.current(NOW)}, w AS (SELECT id, kind, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t FROM cu),
     x AS (SELECT id, kind, t, len(t) AS n FROM w WHERE len(t) > 0)"""
 _OVERLAP = "len(list_intersect(a.t, b.t)) / (a.n + b.n - len(list_intersect(a.t, b.t)))"
-_DUPLICATES = f"""{_PAIRS}, p AS (SELECT a.id AS id_a, b.id AS id_b, {_OVERLAP} AS overlap FROM x a JOIN x b ON a.kind = b.kind AND a.id < b.id AND a.n >= {V.DEDUP_SIMILARITY} * b.n AND b.n >= {V.DEDUP_SIMILARITY} * a.n
-    WHERE {_OVERLAP} >= {V.DEDUP_SIMILARITY})"""
+_DUPLICATES = f"""{_PAIRS}, p AS (SELECT a.id AS id_a, b.id AS id_b, {_OVERLAP} AS overlap FROM x a JOIN x b ON a.kind = b.kind AND a.id < b.id AND a.n >= {R.DEDUP_SIMILARITY} * b.n AND b.n >= {R.DEDUP_SIMILARITY} * a.n
+    WHERE {_OVERLAP} >= {R.DEDUP_SIMILARITY})"""
 
 
 @query(f"WITH {_DUPLICATES} SELECT id_a, id_b, round(overlap, 6) AS overlap FROM p")
@@ -496,12 +498,12 @@ def c5_applied_duplicates(spark, d):
 
 
 @query(
-    f"""WITH {_PAIRS}, y AS (SELECT x.*, (make_timestamp(f.day))::DATE AS day FROM x JOIN f USING (id) WHERE x.kind IN {O.sql_in(V.WATCHED_KINDS)}),
-    p AS (SELECT a.id AS ia, b.id AS ib, a.day AS da, b.day AS db, {_OVERLAP} AS overlap FROM y a JOIN y b ON a.id < b.id WHERE {_OVERLAP} >= {V.CONTRADICTION_LOW} AND {_OVERLAP} < {V.CONTRADICTION_HIGH}),
+    f"""WITH {_PAIRS}, y AS (SELECT x.*, (make_timestamp(f.day))::DATE AS day FROM x JOIN f USING (id) WHERE x.kind IN {O.sql_in(R.WATCHED_KINDS)}),
+    p AS (SELECT a.id AS ia, b.id AS ib, a.day AS da, b.day AS db, {_OVERLAP} AS overlap FROM y a JOIN y b ON a.id < b.id WHERE {_OVERLAP} >= {R.CONTRADICTION_LOW} AND {_OVERLAP} < {R.CONTRADICTION_HIGH}),
     o AS (SELECT CASE WHEN coalesce(db >= da, true) THEN ia ELSE ib END AS earlier, CASE WHEN coalesce(db >= da, true) THEN ib ELSE ia END AS later, round(overlap, 3) AS overlap, overlap AS exact, coalesce(abs(db - da), 0) AS gap_days FROM p),
-    b AS (SELECT coalesce(max(t), 0.3) AS t FROM (VALUES (0.7), (0.55), (0.42)) v(t) WHERE (SELECT count(*) FROM o WHERE exact >= t) >= {V.CONTRADICTION_TOP}),
+    b AS (SELECT coalesce(max(t), 0.3) AS t FROM (VALUES (0.7), (0.55), (0.42)) v(t) WHERE (SELECT count(*) FROM o WHERE exact >= t) >= {R.CONTRADICTION_TOP}),
     q AS (SELECT earlier, later, overlap, gap_days, t FROM o, b WHERE exact >= t)
-    SELECT earlier, later, overlap, gap_days, greatest((SELECT count(*) FROM q) - {V.CONTRADICTION_TOP}, 0) AS dropped, t::DOUBLE AS counted_from FROM q ORDER BY overlap DESC, earlier, later LIMIT {V.CONTRADICTION_TOP}"""
+    SELECT earlier, later, overlap, gap_days, greatest((SELECT count(*) FROM q) - {R.CONTRADICTION_TOP}, 0) AS dropped, t::DOUBLE AS counted_from FROM q ORDER BY overlap DESC, earlier, later LIMIT {R.CONTRADICTION_TOP}"""
 )
 def j2_r11_contradictions(spark, d):
     return similar.top_contradictions(facts(spark, d), now())
@@ -516,17 +518,17 @@ def _greedy(pool: str, similarity: float) -> str:
     c AS (SELECT x AS id, arg_min(y, (f.ord, f.id)) AS cluster FROM every JOIN f ON f.id = every.y GROUP BY x)"""
 
 
-_SYNTHESIS_POOL = f"SELECT id, kind, ord, list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')), lambda w: len(w) > 2 AND w NOT IN {O.sql_in(V.SYNTHESIS_STOPWORDS)}) AS t FROM f WHERE status <> 'superseded' AND confidence >= {V.SYNTHESIS_CONFIDENCE}"
-_CONSOLIDATION_POOL = f"SELECT * FROM (SELECT id, kind, ord, list_distinct(regexp_extract_all(regexp_replace(lower(content), '(#\\d+|\\bpr[-\\s]?\\d+\\b|\\bn\\d+\\b)', ' ', 'gi'), '[a-z0-9]+')) AS t FROM f WHERE status = 'current' AND kind IN {O.sql_in(V.DURABLE_KINDS)}) WHERE len(t) >= 3"
+_SYNTHESIS_POOL = f"SELECT id, kind, ord, list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')), lambda w: len(w) > 2 AND w NOT IN {O.sql_in(R.SYNTHESIS_STOPWORDS)}) AS t FROM f WHERE status <> 'superseded' AND confidence >= {R.SYNTHESIS_CONFIDENCE}"
+_CONSOLIDATION_POOL = f"SELECT * FROM (SELECT id, kind, ord, list_distinct(regexp_extract_all(regexp_replace(lower(content), '(#\\d+|\\bpr[-\\s]?\\d+\\b|\\bn\\d+\\b)', ' ', 'gi'), '[a-z0-9]+')) AS t FROM f WHERE status = 'current' AND kind IN {O.sql_in(R.DURABLE_KINDS)}) WHERE len(t) >= 3"
 
 
-@query(f"WITH {_greedy(_SYNTHESIS_POOL, V.SYNTHESIS_SIMILARITY)} SELECT c.id, f.kind, cluster FROM c JOIN f ON f.id = c.id")
+@query(f"WITH {_greedy(_SYNTHESIS_POOL, R.SYNTHESIS_SIMILARITY)} SELECT c.id, f.kind, cluster FROM c JOIN f ON f.id = c.id")
 def c2_synthesis_clusters(spark, d):
     return similar.synthesis_clusters(facts(spark, d))
 
 
 @query(
-    f"""WITH {_greedy(_CONSOLIDATION_POOL, V.CONSOLIDATION_SIMILARITY)}, m AS (SELECT c.id, f.kind, cluster, confidence, date_key FROM c JOIN f ON f.id = c.id),
+    f"""WITH {_greedy(_CONSOLIDATION_POOL, R.CONSOLIDATION_SIMILARITY)}, m AS (SELECT c.id, f.kind, cluster, confidence, date_key FROM c JOIN f ON f.id = c.id),
     b AS (SELECT cluster, arg_max(id, (confidence, date_key, id)) AS canonical FROM m GROUP BY cluster HAVING count(*) >= 2 AND count(DISTINCT date_key) >= 2)
     SELECT id, kind, cluster, canonical FROM m JOIN b USING (cluster)"""
 )
@@ -544,9 +546,9 @@ def c4_bulk_archive(spark, d):
 
 
 @query(
-    f"""WITH {_greedy(_SYNTHESIS_POOL, V.SYNTHESIS_SIMILARITY)}, k AS MATERIALIZED (SELECT id, cluster FROM c), y AS (SELECT k.cluster, f.*, CASE WHEN {O.strip("source_date")} <> '' THEN source_date END AS sd FROM k JOIN f USING (id)),
+    f"""WITH {_greedy(_SYNTHESIS_POOL, R.SYNTHESIS_SIMILARITY)}, k AS MATERIALIZED (SELECT id, cluster FROM c), y AS (SELECT k.cluster, f.*, CASE WHEN {O.strip("source_date")} <> '' THEN source_date END AS sd FROM k JOIN f USING (id)),
     i AS (SELECT cluster, min(kind) AS of_kind, count(*) AS recurrence, coalesce(min(sd), '') AS first_date, coalesce(max(sd), '') AS last_date, avg(confidence) AS mean, arg_max(content, (coalesce(source_date, ''), ord)) AS latest, array_to_string(list_sort(list(id)), ',') AS ids FROM y GROUP BY cluster HAVING count(*) >= 2),
-    t AS (SELECT cluster, term, count(*) AS n FROM (SELECT cluster, unnest(list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')), lambda x: len(x) > 2 AND x NOT IN {O.sql_in(V.SYNTHESIS_STOPWORDS)})) AS term FROM k JOIN f USING (id)) GROUP BY ALL),
+    t AS (SELECT cluster, term, count(*) AS n FROM (SELECT cluster, unnest(list_filter(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')), lambda x: len(x) > 2 AND x NOT IN {O.sql_in(R.SYNTHESIS_STOPWORDS)})) AS term FROM k JOIN f USING (id)) GROUP BY ALL),
     h AS (SELECT cluster, array_to_string(list(term ORDER BY nth), ', ') AS theme FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) AS nth FROM t) WHERE nth <= 5 GROUP BY cluster)
     SELECT 'ins_' || substr(sha256(of_kind || ':' || coalesce(theme, '') || ':' || ids), 1, 10) AS id, of_kind, coalesce(theme, '') AS theme, recurrence, first_date, last_date, round(least(0.95, 0.7 + 0.05 * recurrence, mean), 2) AS confidence,
     'Recurring ' || of_kind || ' (seen ' || recurrence || 'x' || CASE WHEN last_date = '' THEN '' WHEN first_date = last_date THEN ', ' || first_date ELSE ', ' || first_date || '..' || last_date END || '): ' || coalesce(theme, '') || '. Most recent: ' || substr(latest, 1, 160) AS content
@@ -558,7 +560,7 @@ def a4_a5_insights(spark, d):
     return made.select("id", "of_kind", "theme", "recurrence", "first_date", "last_date", "confidence", "content")
 
 
-@query(f"WITH {_greedy(_SYNTHESIS_POOL, V.SYNTHESIS_SIMILARITY)}, b AS (SELECT cluster FROM c GROUP BY cluster HAVING count(*) >= 2) SELECT id FROM f WHERE id NOT IN (SELECT id FROM c JOIN b USING (cluster))")
+@query(f"WITH {_greedy(_SYNTHESIS_POOL, R.SYNTHESIS_SIMILARITY)}, b AS (SELECT cluster FROM c GROUP BY cluster HAVING count(*) >= 2) SELECT id FROM f WHERE id NOT IN (SELECT id FROM c JOIN b USING (cluster))")
 def u8s_uncovered(spark, d):
     f = facts(spark, d)
     clusters = similar.synthesis_clusters(f)
@@ -568,7 +570,7 @@ def u8s_uncovered(spark, d):
 # --- graph and vectors ----------------------------------------------------------------------------
 
 _SESSION = f"coalesce(nullif({O.strip('session')}, ''), 'unknown')"
-_CONCEPT_LIST = O.distinct_in_order("regexp_extract_all(lower(content), '[a-z0-9]{4,}')", "x NOT IN " + O.sql_in(V.CONCEPT_STOPWORDS), V.CONCEPTS_PER_FACT)
+_CONCEPT_LIST = O.distinct_in_order("regexp_extract_all(lower(content), '[a-z0-9]{4,}')", "x NOT IN " + O.sql_in(R.CONCEPT_STOPWORDS), R.CONCEPTS_PER_FACT)
 _MENTIONS = f"mm AS (SELECT id, unnest(string_split({_CONCEPT_LIST}, ' ')) AS concept FROM f), me AS (SELECT * FROM mm WHERE concept <> '')"
 
 
@@ -585,11 +587,11 @@ def x1_graph_nodes(spark, d):
 @query(
     f"""WITH {_BM25}, k AS (SELECT id FROM s ORDER BY {O.RANK_ORDER} LIMIT 10), {_MENTIONS},
     sc AS (SELECT concept, count(*) AS seeds FROM me WHERE id IN (SELECT id FROM k) GROUP BY concept), cm AS (SELECT concept, count(*) AS members FROM me WHERE concept IN (SELECT concept FROM sc) GROUP BY concept),
-    bc AS (SELECT id, sum({V.CONCEPT_WEIGHT}::DOUBLE * seeds / members) AS w FROM me JOIN sc USING (concept) JOIN cm USING (concept) GROUP BY id),
-    ss AS (SELECT {_SESSION} AS s, {V.SESSION_WEIGHT}::DOUBLE * count(*) AS w FROM f WHERE id IN (SELECT id FROM k) GROUP BY 1), bs AS (SELECT f.id, ss.w FROM f JOIN ss ON {_SESSION} = ss.s),
+    bc AS (SELECT id, sum({R.CONCEPT_WEIGHT}::DOUBLE * seeds / members) AS w FROM me JOIN sc USING (concept) JOIN cm USING (concept) GROUP BY id),
+    ss AS (SELECT {_SESSION} AS s, {R.SESSION_WEIGHT}::DOUBLE * count(*) AS w FROM f WHERE id IN (SELECT id FROM k) GROUP BY 1), bs AS (SELECT f.id, ss.w FROM f JOIN ss ON {_SESSION} = ss.s),
     rw AS (SELECT id, sum(w) AS raw FROM (SELECT * FROM bc UNION ALL SELECT * FROM bs) WHERE id NOT IN (SELECT id FROM k) GROUP BY id),
     gs AS (SELECT l.id, l.ord, l.confidence, raw * confidence * {O.recency(NOW)} * {O.SUPERSESSION} * {O.TRUST} AS graph_score FROM l JOIN rw ON l.id = rw.id)
-    SELECT id, round(graph_score, 6) AS graph_score, row_number() OVER (ORDER BY round(graph_score, 9) DESC, confidence DESC, ord) AS rank FROM gs WHERE graph_score > 0 ORDER BY rank LIMIT {V.EXPANSION_TOP}"""
+    SELECT id, round(graph_score, 6) AS graph_score, row_number() OVER (ORDER BY round(graph_score, 9) DESC, confidence DESC, ord) AS rank FROM gs WHERE graph_score > 0 ORDER BY rank LIMIT {R.EXPANSION_TOP}"""
 )
 def j3_expansion(spark, d):
     f = facts(spark, d)
@@ -602,7 +604,7 @@ def j13_concept_index(spark, d):
     return graph.concept_index(facts(spark, d))
 
 
-@query(f"WITH {O.FACTS}, h AS (SELECT DISTINCT fact_id AS id, content_sha256 AS have FROM fact_vectors WHERE model_id = 'static-64' AND len(vector) > 0 AND fact_id IS NOT NULL), w AS (SELECT id, sha256(substr(content, 1, {V.HASHED_CHARS})) AS want FROM f) SELECT coalesce(w.id, h.id) AS id, CASE WHEN max(want) IS NULL THEN 'prune' WHEN coalesce(bool_or(have = want), false) THEN 'keep' ELSE 'embed' END AS action FROM w FULL JOIN h ON w.id = h.id GROUP BY 1")
+@query(f"WITH {O.FACTS}, h AS (SELECT DISTINCT fact_id AS id, content_sha256 AS have FROM fact_vectors WHERE model_id = 'static-64' AND len(vector) > 0 AND fact_id IS NOT NULL), w AS (SELECT id, sha256(substr(content, 1, {R.HASHED_CHARS})) AS want FROM f) SELECT coalesce(w.id, h.id) AS id, CASE WHEN max(want) IS NULL THEN 'prune' WHEN coalesce(bool_or(have = want), false) THEN 'keep' ELSE 'embed' END AS action FROM w FULL JOIN h ON w.id = h.id GROUP BY 1")
 def j10_sidecar_plan(spark, d):
     return graph.sidecar_plan(facts(spark, d), table(spark, d, "fact_vectors"), "static-64")
 
@@ -611,7 +613,7 @@ _AXIS = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
 _DENSE = f"""{O.FACTS}, {O.live(NOW)}, q AS (SELECT {[float(x) for x in _AXIS]}::DOUBLE[] AS q),
     u AS (SELECT fact_id AS id, content_sha256, list_cosine_similarity(vector::DOUBLE[], q) AS cosine FROM fact_vectors, q WHERE model_id = 'static-64' AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
     v AS (SELECT id, content_sha256, max(cosine) AS cosine FROM u GROUP BY ALL),
-    dn AS (SELECT l.id, cosine, ord FROM l JOIN v ON v.id = l.id AND sha256(substr(content, 1, {V.HASHED_CHARS})) = content_sha256 ORDER BY round(cosine, 9) DESC, ord LIMIT {V.DENSE_TOP})"""
+    dn AS (SELECT l.id, cosine, ord FROM l JOIN v ON v.id = l.id AND sha256(substr(content, 1, {R.HASHED_CHARS})) = content_sha256 ORDER BY round(cosine, 9) DESC, ord LIMIT {R.DENSE_TOP})"""
 
 
 @query(f"WITH {_DENSE} SELECT id, round(cosine, 6) AS cosine, row_number() OVER (ORDER BY round(cosine, 9) DESC, ord) AS dense_rank FROM dn")
@@ -622,8 +624,8 @@ def j4_dense_ranks(spark, d):
 @query(
     f"""WITH {_BM25}, sr AS (SELECT id, row_number() OVER (ORDER BY {O.RANK_ORDER}) AS seed_rank FROM s), {_DENSE.split(f"{O.live(NOW)}, ", 1)[1]},
     dr AS (SELECT id, row_number() OVER (ORDER BY round(cosine, 9) DESC, ord) AS dense_rank FROM dn),
-    fu AS (SELECT coalesce(sr.id, dr.id) AS id, seed_rank, dense_rank, coalesce(1.0::DOUBLE / ({V.RRF_K} + seed_rank), 0) + coalesce(1.0::DOUBLE / ({V.RRF_K} + dense_rank), 0) AS rrf FROM sr FULL JOIN dr ON sr.id = dr.id)
-    SELECT id, round(rrf, 9) AS rrf, coalesce(dense_rank <= {V.DENSE_RESERVED}, false) AND seed_rank IS NULL AS reserved FROM fu"""
+    fu AS (SELECT coalesce(sr.id, dr.id) AS id, seed_rank, dense_rank, coalesce(1.0::DOUBLE / ({R.RRF_K} + seed_rank), 0) + coalesce(1.0::DOUBLE / ({R.RRF_K} + dense_rank), 0) AS rrf FROM sr FULL JOIN dr ON sr.id = dr.id)
+    SELECT id, round(rrf, 9) AS rrf, coalesce(dense_rank <= {R.DENSE_RESERVED}, false) AND seed_rank IS NULL AS reserved FROM fu"""
 )
 def j4_fused(spark, d):
     f = facts(spark, d)
@@ -692,7 +694,7 @@ def v8_resign_plan(spark, d):
     return extras.resign_plan(changed, signed, KEY)
 
 
-@query(f"WITH {O.FACTS}, {O.excerpts('f', text.query_terms(QUERY), 80)} SELECT id, excerpt FROM ex")
+@query(f"WITH {O.FACTS}, {O.excerpts('f', _TERMS, 80)} SELECT id, excerpt FROM ex")
 def n6_excerpts(spark, d):
     return facts(spark, d).select("id", text.excerpt(F.col("content"), text.query_terms(QUERY), 80).alias("excerpt"))
 
@@ -877,7 +879,7 @@ def j11_chain_breaks(spark, d):
 
 
 @query(
-    f"""WITH {_greedy(_CONSOLIDATION_POOL, V.CONSOLIDATION_SIMILARITY)}, m AS (SELECT c.id, cluster, confidence, date_key FROM c JOIN f ON f.id = c.id),
+    f"""WITH {_greedy(_CONSOLIDATION_POOL, R.CONSOLIDATION_SIMILARITY)}, m AS (SELECT c.id, cluster, confidence, date_key FROM c JOIN f ON f.id = c.id),
     b AS (SELECT cluster, arg_max(id, (confidence, date_key, id)) AS canonical FROM m GROUP BY cluster HAVING count(*) >= 2 AND count(DISTINCT date_key) >= 2), k AS (SELECT id, canonical FROM m JOIN b USING (cluster))
     SELECT f.id, CASE WHEN canonical <> f.id THEN 'superseded' ELSE status END AS status, CASE WHEN canonical <> f.id THEN canonical ELSE superseded_by END AS superseded_by, valid_to FROM f LEFT JOIN k ON k.id = f.id"""
 )
