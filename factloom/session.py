@@ -59,10 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once a session: they need it wherever they run.
 
-    Sets the session's time zone to UTC, as times without offset mean UTC here.
+    Sets the session's time zone to UTC, as times without offset mean UTC here, and keeps Arrow batches of long texts small.
     """
     context = spark.sparkContext
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     if getattr(context, "_factloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
