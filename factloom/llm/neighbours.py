@@ -225,7 +225,7 @@ def nearest(vectors: DataFrame, key: str, width: int, k: int = K, min_score: flo
 
 MODEL, WIDTH, ALIKE = "static-64", 64, 0.9
 #: For the whole list of neighbours, near or not; near ones are found with fewer
-FULL_ORDERINGS, FULL_BLOCK = 16, 2048
+FULL_ORDERINGS, FULL_BLOCK = 8, 5120
 
 
 def fact_neighbours(vectors: DataFrame, min_score: float = -1.0, orderings: int = FULL_ORDERINGS, block: int = FULL_BLOCK) -> DataFrame:
