@@ -5,8 +5,11 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.functions.text import stripped
+
 LINE = (
     "type string, sessionId string, timestamp string, uuid string, isSidechain boolean, message struct<role:string,content:string>, "
     "compactMetadata string, prNumber int, prRepository string, _bad string"
@@ -26,9 +29,18 @@ def read_lines(spark: SparkSession, paths: str | list[str], suffix: str = "*.jso
     reader = spark.read.option("pathGlobFilter", suffix).option("recursiveFileLookup", recursive)
     if since_days and since_days > 0:
         reader = reader.option("modifiedAfter", ((now or datetime.now(timezone.utc)) - timedelta(days=since_days)).strftime("%Y-%m-%dT%H:%M:%S"))
-    files = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").dropDuplicates(["path"])
-    lines = files.select("path", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("at", "value"))
-    return lines.filter(F.trim("value") != "").select("path", (F.col("at") + 1).cast("int").alias("line_no"), "value")
+    if not isinstance(paths, str) and len(paths) > 1:
+        # overlapping folders name a file twice
+        paths = sorted(set(reader.text(list(paths)).inputFiles()))
+        if not paths:
+            return spark.createDataFrame([], "path string, line_no int, value string")
+        reader = spark.read
+    rows = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    # a block is read in order by one task; only the counts of the blocks are aggregated, of which there are few
+    blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = blocks.withColumn("before", F.sum("n").over(W.partitionBy("path").orderBy("block")) - F.col("n")).select("path", "block", "first", "before")
+    numbered = rows.join(before, ["path", "block"]).withColumn("line_no", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int"))
+    return numbered.filter(stripped("value") != "").select("path", "line_no", "value")
 
 
 def session_lines(lines: DataFrame) -> DataFrame:

@@ -150,3 +150,20 @@ def test_store_view_takes_latest_row(make_facts):
     f = make_facts({"id": "a", "content": "x", "kind": " Bug ", "status": None, "source": " "}, {"id": "a", "content": "x", "kind": "bug", "status": "SUPERSEDED ", "source": "me"})
     row = store_view.tidy(f).first()
     assert (row.kind, row.status, row.source) == ("bug", "superseded", "me")
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """A file in many blocks, blank lines, all line ends, a folder named twice."""
+    lines = [f'{{"n": {i}}}' if i % 7 else "  " for i in range(3000)]
+    (tmp_path / "a.jsonl").write_bytes("".join(x + ("\r\n" if i % 3 else "\n") for i, x in enumerate(lines)).encode())
+    (tmp_path / "b.jsonl").write_text("\n\nlast")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        rows = jsonl.read_lines(spark, [str(tmp_path), str(tmp_path / "a.jsonl")])
+        assert rows.rdd.getNumPartitions() > 1
+        got = {(r.path.rsplit("/", 1)[1], r.line_no): r.value for r in rows.collect()}
+        assert rows.count() == len(got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {("a.jsonl", i + 1): x for i, x in enumerate(lines) if x.strip()} | {("b.jsonl", 3): "last"}
