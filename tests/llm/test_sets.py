@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import batch_dedup, common, components, near_dup, term_scores, windows
+from factloom.llm import batch_dedup, common, components, near_dup, similar_sets, term_scores, windows
 from factloom.llm.similar_sets import word_sets
 
 
@@ -62,6 +62,24 @@ def test_long_lists_in_cells_lose_no_pair(spark):
     assert got.count() == got.distinct().count() == 60 * 59 // 2
 
 
+@pytest.mark.parametrize("run", [near_dup.near_duplicate_pairs, near_dup.near_duplicate_classes])
+def test_no_table_of_records_passes_through_the_driver(spark, run, monkeypatch, tmp_path):
+    plans = []
+    make(spark, variants(1), 1)[1].write.parquet(str(tmp_path / "facts"))  # only files have a size that Spark goes by
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    # small tables: Spark would broadcast them, as it does larger ones of which it estimates too little
+    cut = similar_sets.cut
+    for module in (similar_sets, near_dup):
+        monkeypatch.setattr(module, "cut", lambda df: cut(seen(df)))
+    seen(run(spark.read.parquet(str(tmp_path / "facts"))))
+    assert len(plans) == 5 and sum("SortMergeJoin" in p for p in plans) == 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("similarity", [0.6, 0.7, 0.75, 0.8, 0.9])
 def test_similar_sets_share_windows(similarity):
     """The match threshold holds for random similar sets, and is 1 at least."""
