@@ -134,6 +134,46 @@ def test_batches_equal_sequential_replay(spark, seed, loads, longest, monkeypatc
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("longest", [1, 65_536])
+def test_a_batch_is_searched_in_what_it_searches_for(spark, longest, tmp_path, monkeypatch):
+    """No stretch of a batch is sorted twice, and runs of one stretch may lie in many Arrow batches."""
+    rows, df = make(spark, variants(7), 7)
+    sorted_rows, search = spark.sparkContext.accumulator(0), batch_dedup._search
+
+    def counted(*args):
+        work = search(*args)
+
+        def run(batches):
+            def tap():
+                for b in batches:
+                    sorted_rows.add(b.num_rows)
+                    yield b
+
+            yield from work(tap())
+
+        return run
+
+    monkeypatch.setattr(batch_dedup, "_search", counted)
+    facts = {r[0]: tokens(r[2]) for r in rows if r[0] and len(tokens(r[2])) >= 8}
+    half = {i for i in facts if i < "f040"}
+    index = batch_dedup.BatchIndex(spark, str(tmp_path / "index"), longest=longest)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.id for r in index.add(df.filter(F.col("id") < "f040")).collect() if r.rejected}
+        first = sorted_rows.value
+        got |= {r.id for r in index.add(df.filter(F.col("id") >= "f040")).collect() if r.rejected}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    accepted = []
+    for i in sorted(facts):
+        if not any(alike(facts[i], facts[x]) for x in accepted):
+            accepted.append(i)
+    assert got == set(facts) - set(accepted)
+    stretches = sum(len(w) - index.q + 1 for w in {facts[i] for i in half})
+    assert first > 0 and (longest == 1 or first <= stretches)
+
+
 def test_rejection_depends_on_acceptance(spark):
     # b is like a and rejected; c is like b only, and so accepted
     w = [f"w{i}" for i in range(20)]
