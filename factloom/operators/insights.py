@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,16 +24,27 @@ def themes(clusters: DataFrame, facts: DataFrame, top: int = 5) -> DataFrame:
     return best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "term"))), lambda x: x["term"]), ", ").alias("theme"))
 
 
-#: The id of an insight hashes the list of its facts up to so many; of larger clusters their number and an order-free hash
-MOST_LISTED = 10_000
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (cluster, at, part), in that order, to (cluster, digest): the SHA-256 of the head (at 0) and of the other parts joined by commas."""
+    cluster, sha, listed = None, hashlib.sha256(), 0
+    for b in batches:
+        done: list[tuple[str, str]] = []
+        for name, at, part in zip(*(c.to_pylist() for c in b.columns)):
+            if name != cluster:
+                if cluster is not None:
+                    done.append((cluster, sha.hexdigest()))
+                cluster, sha, listed = name, hashlib.sha256(), 0
+            sha.update(("," + part if at and listed else part).encode())
+            listed += at
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in range(2)], ["cluster", "digest"])
+    if cluster is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (cluster, sha.hexdigest())], ["cluster", "digest"])
 
 
-def _source_lists(clusters: DataFrame) -> DataFrame:
-    """(cluster, listed): the sorted ids of a cluster as text, or number and hash of a cluster of more than MOST_LISTED."""
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).cast("string").alias("h"))
-    small = clusters.join(sizes.filter(F.col("n") <= MOST_LISTED).select("cluster"), "cluster", "left_semi")
-    lists = small.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
-    return sizes.join(lists, "cluster", "left").select("cluster", F.coalesce("ids", F.concat_ws(":", F.lit("#"), F.col("n").cast("string"), "h")).alias("listed"))
+def _digests(heads: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, digest): SHA-256 in hex of a cluster's head and the sorted list of its ids. The ids are hashed as they pass by, so a list of any length is held by no task."""
+    parts = heads.select("cluster", F.lit(0).alias("at"), F.col("head").alias("part")).unionAll(clusters.select("cluster", F.lit(1).alias("at"), F.col("id").alias("part")))
+    return parts.repartition("cluster").sortWithinPartitions("cluster", "at", "part").mapInArrow(_digest, "cluster string, digest string")
 
 
 def insights(clusters: DataFrame, facts: DataFrame, min_size: int = 2, synthesizer: Callable[[str], str] | None = None) -> DataFrame:
@@ -48,8 +61,9 @@ def insights(clusters: DataFrame, facts: DataFrame, min_size: int = 2, synthesiz
         F.first("kind").alias("of_kind"), F.count(F.lit(1)).alias("recurrence"), F.coalesce(F.min(date), F.lit("")).alias("first_date"), F.coalesce(F.max(date), F.lit("")).alias("last_date"),
         F.avg("confidence").alias("mean"), F.max_by("content", F.struct(F.coalesce("source_date", F.lit("")), "ord")).alias("latest"),
     ).filter(F.col("recurrence") >= min_size)
-    named = grouped.join(themes(clusters, facts), "cluster", "left").fillna({"theme": ""}).join(_source_lists(clusters), "cluster")
-    seed = F.concat_ws(":", "of_kind", "theme", "listed")
+    named = grouped.join(themes(clusters, facts), "cluster", "left").fillna({"theme": ""})
+    digests = _digests(named.select("cluster", F.concat("of_kind", F.lit(":"), "theme", F.lit(":")).alias("head")), clusters)
+    named = named.join(digests.hint("merge"), "cluster")
     confidence = F.round(F.least(F.lit(0.95), 0.7 + 0.05 * F.col("recurrence"), F.col("mean")), 2)
     span = F.when(F.col("first_date") == F.col("last_date"), F.col("first_date")).otherwise(F.concat("first_date", F.lit(".."), "last_date"))
     told = F.concat(
@@ -57,7 +71,7 @@ def insights(clusters: DataFrame, facts: DataFrame, min_size: int = 2, synthesiz
         F.lit(". Most recent: "), F.substring("latest", 1, 160),
     )
     made = named.select(
-        F.concat(F.lit("ins_"), F.substring(F.sha2(seed, 256), 1, 10)).alias("id"), "cluster", "of_kind", "theme", "recurrence", "first_date", "last_date", confidence.alias("confidence"), told.alias("content")
+        F.concat(F.lit("ins_"), F.substring("digest", 1, 10)).alias("id"), "cluster", "of_kind", "theme", "recurrence", "first_date", "last_date", confidence.alias("confidence"), told.alias("content")
     )
     if synthesizer is None:
         return made.withColumn("synthesized_by", F.lit("heuristic"))

@@ -116,6 +116,15 @@ def test_insights_cover_sources(make_facts, now):
     assert [r.id for r in rank.bm25_scores(made_facts, "alpha theta", now).collect()] == [row.id]
 
 
+def test_insight_ids_hash_every_source(make_facts, spark):
+    # more sources than 10,000, of which ids once hashed only number and sum
+    names = [f"n{i}" for i in range(10_500)]
+    clusters = spark.createDataFrame([(n, "bug", "n0") for n in names] + [("z1", "bug", "z0"), ("z0", "bug", "z0")], "id string, kind string, cluster string")
+    f = store_view.tidy(make_facts(*[fact(n, "alpha beta") for n in names], fact("z0", "gamma"), fact("z1", "gamma")))
+    got = {r.recurrence: r.id for r in insights.insights(clusters, f).collect()}
+    assert got == {n: "ins_" + hashlib.sha256(seed.encode()).hexdigest()[:10] for n, seed in ((10_500, "bug:alpha, beta:" + ",".join(sorted(names))), (2, "bug:gamma:z0,z1"))}
+
+
 def test_set_operations(make_facts):
     f = store_view.tidy(make_facts(fact("a", "The cat"), fact("b", "cat"), fact("c", "dog")))
     assert sorted(r.id for r in setops.dedup_text(f).collect()) == ["a", "c"]
