@@ -39,29 +39,38 @@ def owner(source: Column) -> Column:
     return F.when(tidy == "", V.SHARED_SOURCE).otherwise(tidy)
 
 
-def tidy(facts: DataFrame) -> DataFrame:
+#: What tidied columns are made of, where that isn't the column of their name
+MADE_OF = {"day": "source_date", "date_key": "source_date", "valid_from": "valid_at", "valid_to": "invalid_at"}
+
+
+def tidy(facts: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
     """``latest`` with kind and status trimmed and lower-cased, bounds and dates as instants.
 
     A missing status is ``current``, missing confidence 0, missing content empty. ``day`` is the instant
-    of source_date or null, ``date_key`` its text or ``unknown``.
+    of source_date or null, ``date_key`` its text or ``unknown``. With ``only``, these columns besides the id, and no others are shuffled.
     """
+    if only:
+        kept = {MADE_OF.get(c, c) for c in only} | {"ord", "last_seen_at"}
+        facts = facts.select("id", *[c for c in COLUMNS if c in facts.columns and c != "id" and (c in kept or (c == "extra" and "provenance" in only))])
     status = F.lower(stripped(F.coalesce("status", F.lit(""))))
     key = stripped(F.coalesce("source_date", F.lit("")))
     newest = latest(facts)
-    if "provenance" not in newest.columns:
+    if "provenance" not in newest.columns and (not only or "provenance" in only):
         # an open field of a fact rides in its extra JSON
         newest = newest.withColumn("provenance", F.get_json_object("extra", "$.provenance") if "extra" in newest.columns else F.lit(None).cast("string"))
-    return (
-        newest.withColumn("kind", F.lower(stripped(F.coalesce("kind", F.lit("")))))
-        .withColumn("status", F.when(status == "", "current").otherwise(status))
-        .withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-        .withColumn("content", F.coalesce("content", F.lit("")))
-        .withColumn("source", owner(F.col("source")))
-        .withColumn("day", scoring.parse_day(F.col("source_date")))
-        .withColumn("date_key", F.when(key == "", "unknown").otherwise(key))
-        .withColumn("valid_from", instant(F.col("valid_at")))
-        .withColumn("valid_to", instant(F.col("invalid_at")))
-    )
+    made = {
+        "kind": lambda: F.lower(stripped(F.coalesce("kind", F.lit("")))),
+        "status": lambda: F.when(status == "", "current").otherwise(status),
+        "confidence": lambda: F.coalesce("confidence", F.lit(0.0)),
+        "content": lambda: F.coalesce("content", F.lit("")),
+        "source": lambda: owner(F.col("source")),
+        "day": lambda: scoring.parse_day(F.col("source_date")),
+        "date_key": lambda: F.when(key == "", "unknown").otherwise(key),
+        "valid_from": lambda: instant(F.col("valid_at")),
+        "valid_to": lambda: instant(F.col("invalid_at")),
+    }
+    whole_rows = newest.withColumns({name: value() for name, value in made.items() if not only or name in only})
+    return whole_rows.select("id", *only) if only else whole_rows
 
 
 def current(facts: DataFrame, now: Column) -> DataFrame:

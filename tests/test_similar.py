@@ -5,7 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import text
 from factloom.operators import insights, rank, setops, similar, store_view
+from factloom.session import cut
 
 
 def fact(i, content, kind="bug", **more):
@@ -37,6 +39,37 @@ def test_pairs_equal_brute_force(make_facts, seed, low, now):
     assert {(r.id_a, r.id_b) for r in similar.duplicate_pairs(f, now, low).collect()} == want
 
 
+def test_no_table_that_grows_is_broadcast(make_facts, now, monkeypatch):
+    # with Spark's default threshold tables of sets passed through the driver, as estimates take a list of tokens for one
+    plans = []
+    monkeypatch.setattr(similar, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    f = store_view.tidy(make_facts(*random_facts(4)))
+    for made in (similar.duplicate_pairs(f, now, 0.6), similar.duplicate_clusters(f, now, 0.6), similar.synthesis_clusters(f)):
+        plans.append(made._jdf.queryExecution().toString())
+    joins = [line for plan in plans for line in plan.split("== Physical Plan ==")[1].splitlines() if "BroadcastHashJoin" in line]
+    # one small table may be: the parts that are split into blocks, at most one in BLOCK classes
+    assert all("part" in line for line in joins), joins
+
+
+@pytest.mark.parametrize("seed, low, block", [(5, 0.3, 7), (6, 0.45, 1000), (7, 0.8, 5)])
+def test_blocks_equal_prefixes(make_facts, seed, low, block):
+    long = [fact(f"long{i}", " ".join(f"v{j}" for j in range(i, 300 + i))) for i in (0, 20, 90)]
+    f = store_view.tidy(make_facts(*random_facts(seed, 90), *long))
+    _, classes = similar.token_classes(f, text.content_tokens(F.col("content")), F.col("kind"))
+    one, other = ({(r.a, r.b): round(r.overlap, 9) for r in made.collect()} for made in (similar._block_pairs(classes, low, block), similar._prefix_pairs(classes, low)))
+    assert one and one == other
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_of_copies_equal_those_of_all_pairs(make_facts, seed):
+    rnd = random.Random(seed)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    f = store_view.tidy(make_facts(*[fact(f"f{i:02}", " ".join(rnd.sample(words, rnd.randint(2, 3)))) for i in rnd.sample(range(70), 70)]))
+    tokens = text.content_tokens(F.col("content"))
+    want = {tuple(r) for r in similar.greedy_clusters(f, similar.similar_pairs(f, tokens, F.col("kind"), 0.5)).collect()}
+    assert {tuple(r) for r in similar.clusters_of(f, tokens, 0.5).collect()} == want
+
+
 def test_components_and_greedy_differ_as_they_should(make_facts, spark):
     rows = store_view.tidy(make_facts(fact("a", "x"), fact("c", "z"), fact("b", "y")))
     pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "id_a string, id_b string")
