@@ -112,6 +112,14 @@ def test_duplicate_lifecycle(make_facts, now):
         similar.check_manifest(clusters, clusters.select("id", "canonical").limit(0))
 
 
+def test_estimates_stay_small_over_rounds(spark):
+    # a checkpoint keeps the estimates of its plan, and those of joins multiply: after some rounds the numbers alone filled the driver
+    pairs = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(40)], "id_a string, id_b string")
+    labels = similar.label_components(pairs)
+    assert {r.label for r in labels.collect()} == {"n00"}
+    assert int(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10**12
+
+
 def test_versions_never_consolidate(make_facts):
     f = store_view.tidy(make_facts(
         fact("a", "upgrade the database engine to version 14 now", "config", source_date="2026-06-01"), fact("b", "upgrade the database engine to version 15 now", "config", source_date="2026-06-02"),
