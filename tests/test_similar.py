@@ -120,6 +120,14 @@ def test_estimates_stay_small_over_rounds(spark):
     assert int(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10**12
 
 
+def test_applied_duplicates_are_not_broadcast(make_facts, spark):
+    f = store_view.tidy(make_facts(fact("a", "x"), fact("b", "y")))
+    clusters = spark.createDataFrame([("a", "bug", "a", "a"), ("b", "bug", "a", "a")], "id string, kind string, cluster string, canonical string")
+    done = similar.apply_duplicates(f, clusters, "2026-06-13T00:00:00Z")
+    assert "BroadcastHashJoin" not in done._jdf.queryExecution().toString()
+    assert {r.id: r.superseded_by for r in done.collect()} == {"a": None, "b": "a"}
+
+
 def test_versions_never_consolidate(make_facts):
     f = store_view.tidy(make_facts(
         fact("a", "upgrade the database engine to version 14 now", "config", source_date="2026-06-01"), fact("b", "upgrade the database engine to version 15 now", "config", source_date="2026-06-02"),
