@@ -128,6 +128,16 @@ def test_applied_duplicates_are_not_broadcast(make_facts, spark):
     assert {r.id: r.superseded_by for r in done.collect()} == {"a": None, "b": "a"}
 
 
+def test_copies_make_no_pairs_of_facts(make_facts, monkeypatch):
+    # two linked sets of 30 copies each: once 1,770 pairs, now each fact has at most one link to an earlier one of the other set
+    seen = []
+    first_fit = similar._first_fit
+    monkeypatch.setattr(similar, "_first_fit", lambda placed, links, nodes=None: seen.append(links.count()) or first_fit(placed, links, nodes))
+    f = store_view.tidy(make_facts(*[fact(f"f{i:02}", "alpha beta gamma" if i % 2 else "alpha beta delta") for i in range(60)]))
+    assert {r.cluster for r in similar.synthesis_clusters(f).collect()} == {"f00"}
+    assert seen[0] <= 60
+
+
 def test_versions_never_consolidate(make_facts):
     f = store_view.tidy(make_facts(
         fact("a", "upgrade the database engine to version 14 now", "config", source_date="2026-06-01"), fact("b", "upgrade the database engine to version 15 now", "config", source_date="2026-06-02"),
