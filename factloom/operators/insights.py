@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from factloom.functions import scoring, text
 from factloom.functions import values as V
 from factloom.operators.numbering import numbered
+from factloom.session import cut, release
 
 
 def themes(clusters: DataFrame, facts: DataFrame, top: int = 5) -> DataFrame:
     """A4: (cluster, theme): the terms that most members have; ties in order of the term."""
-    terms = clusters.select("id", "cluster").join(facts.select("id", "content"), "id").select("cluster", F.explode(text.synthesis_tokens(F.col("content"))).alias("term"))
+    return _themes(clusters.select("id", "cluster").join(facts.select("id", "content").hint("merge"), "id"), top)
+
+
+def _themes(rows: DataFrame, top: int = 5) -> DataFrame:
+    terms = rows.select("cluster", F.explode(text.synthesis_tokens(F.col("content"))).alias("term"))
     counts = terms.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("n"))
     best = counts.withColumn("nth", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("n"), "term"))).filter(F.col("nth") <= top)
     return best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "term"))), lambda x: x["term"]), ", ").alias("theme"))
@@ -55,13 +60,15 @@ def insights(clusters: DataFrame, facts: DataFrame, min_size: int = 2, synthesiz
     first 160 characters of the latest member (the highest ord on ties); a synthesizer (U1) may replace it with a text that passes the lesson gate.
     Members without date leave the span as it is; an insight without any has empty dates.
     """
-    rows = clusters.select("id", "cluster").join(facts.select("id", "kind", "source_date", "confidence", "content", "ord"), "id")
+    # read twice, so facts are joined once
+    rows = cut(clusters.select("id", "cluster").join(facts.select("id", "kind", "source_date", "confidence", "content", "ord").hint("merge"), "id"))
+    release(rows.sparkSession)
     date = F.when(text.stripped("source_date") != "", F.col("source_date"))
     grouped = rows.groupBy("cluster").agg(
         F.first("kind").alias("of_kind"), F.count(F.lit(1)).alias("recurrence"), F.coalesce(F.min(date), F.lit("")).alias("first_date"), F.coalesce(F.max(date), F.lit("")).alias("last_date"),
         F.avg("confidence").alias("mean"), F.max_by("content", F.struct(F.coalesce("source_date", F.lit("")), "ord")).alias("latest"),
     ).filter(F.col("recurrence") >= min_size)
-    named = grouped.join(themes(clusters, facts), "cluster", "left").fillna({"theme": ""})
+    named = grouped.join(_themes(rows).hint("merge"), "cluster", "left").fillna({"theme": ""})
     digests = _digests(named.select("cluster", F.concat("of_kind", F.lit(":"), "theme", F.lit(":")).alias("head")), clusters)
     named = named.join(digests.hint("merge"), "cluster")
     confidence = F.round(F.least(F.lit(0.95), 0.7 + 0.05 * F.col("recurrence"), F.col("mean")), 2)
@@ -101,9 +108,15 @@ def insight_facts(made: DataFrame) -> DataFrame:
     )
 
 
+def covered(clusters: DataFrame, min_size: int = 2) -> DataFrame:
+    """(id): the facts of clusters that make insights, which are the sources of ``insight_sources`` without their insights' texts."""
+    large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_size)
+    return clusters.select("id", "cluster").join(large.select("cluster").hint("merge"), "cluster", "left_semi").select("id")
+
+
 def insight_sources(made: DataFrame, clusters: DataFrame) -> DataFrame:
     """(insight_id, id): the facts that an insight covers."""
-    return made.select(F.col("id").alias("insight_id"), "cluster").join(clusters.select("cluster", "id"), "cluster").select("insight_id", "id")
+    return made.select(F.col("id").alias("insight_id"), "cluster").join(clusters.select("cluster", "id").hint("merge"), "cluster").select("insight_id", "id")
 
 
 def ranked_insights(made: DataFrame) -> DataFrame:

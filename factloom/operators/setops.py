@@ -78,8 +78,8 @@ def partition_queue(queue: DataFrame, approved: DataFrame, rejected: DataFrame,
 
 
 def uncovered(facts: DataFrame, sources: DataFrame) -> DataFrame:
-    """U8s: facts that no insight has among its sources (insight_id, id)."""
-    return facts.join(sources.select("id"), "id", "left_anti")
+    """U8s: facts that no insight has among its sources (id)."""
+    return facts.join(sources.select("id").hint("merge"), "id", "left_anti")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -184,6 +184,13 @@ def test_insight_ids_hash_every_source(make_facts, spark):
     assert got == {n: "ins_" + hashlib.sha256(seed.encode()).hexdigest()[:10] for n, seed in ((10_500, "bug:alpha, beta:" + ",".join(sorted(names))), (2, "bug:gamma:z0,z1"))}
 
 
+def test_insights_broadcast_no_facts(make_facts):
+    f = store_view.tidy(make_facts(fact("a", "alpha beta"), fact("b", "alpha beta")))
+    made = insights.insights(similar.synthesis_clusters(f), f)
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().toString()
+    assert made.first().recurrence == 2
+
+
 def test_set_operations(make_facts):
     f = store_view.tidy(make_facts(fact("a", "The cat"), fact("b", "cat"), fact("c", "dog")))
     assert sorted(r.id for r in setops.dedup_text(f).collect()) == ["a", "c"]
