@@ -191,6 +191,13 @@ def test_insights_broadcast_no_facts(make_facts):
     assert made.first().recurrence == 2
 
 
+def test_covered_are_the_sources_of_insights(make_facts, spark):
+    f = store_view.tidy(make_facts(*[fact(n, "alpha beta") for n in "abc"], fact("d", "gamma")))
+    clusters = spark.createDataFrame([(n, "bug", "a") for n in "abc"] + [("d", "bug", "d")], "id string, kind string, cluster string")
+    sources = insights.insight_sources(insights.insights(clusters, f), clusters)
+    assert sorted(r.id for r in insights.covered(clusters).collect()) == sorted(r.id for r in sources.collect()) == ["a", "b", "c"]
+
+
 def test_set_operations(make_facts):
     f = store_view.tidy(make_facts(fact("a", "The cat"), fact("b", "cat"), fact("c", "dog")))
     assert sorted(r.id for r in setops.dedup_text(f).collect()) == ["a", "c"]
