@@ -198,6 +198,14 @@ def test_covered_are_the_sources_of_insights(make_facts, spark):
     assert sorted(r.id for r in insights.covered(clusters).collect()) == sorted(r.id for r in sources.collect()) == ["a", "b", "c"]
 
 
+def test_tidy_shuffles_only_what_is_asked_for(make_facts):
+    f = make_facts(fact("a", " x ", " Bug ", invalid_at="2026-01-01"), fact("b", None))
+    slim, whole = store_view.tidy(f, ("kind", "content", "day", "valid_to", "provenance")), store_view.tidy(f)
+    assert sorted(slim.collect()) == sorted(whole.select(*slim.columns).collect())
+    scan = [line for line in slim._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert scan and all("evidence" not in line and "session" not in line for line in scan)
+
+
 def test_set_operations(make_facts):
     f = store_view.tidy(make_facts(fact("a", "The cat"), fact("b", "cat"), fact("c", "dog")))
     assert sorted(r.id for r in setops.dedup_text(f).collect()) == ["a", "c"]
